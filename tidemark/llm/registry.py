@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .simhash import op1_simhash
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
