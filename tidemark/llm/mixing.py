@@ -113,6 +113,25 @@ def training_order(assigned: DataFrame) -> DataFrame:
     return copies.repartitionByRange(parts, "position").sortWithinPartitions("position", "doc_id")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each copy the mix takes, sorted by range of position.
+
+    The mix is worked out on ids, sources and sizes; the texts meet their
+    positions on (id, hash of the text), and repeated rows there are told
+    apart by number.
+    """
+    key = [F.col("doc_id").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("__th")]
+    light = docs.select(*key, F.col("source"), F.col("text"))
+    copies = assign(light).select("doc_id", "__th", "source", "positions").where(F.size("positions") > 0)
+    row = F.row_number().over(Window.partitionBy("doc_id", "__th", "source").orderBy("__th"))
+    chosen = copies.withColumn("__row", row).select(F.col("doc_id").alias("__i"), F.col("__th").alias("__t"), F.col("source").alias("__s"), F.col("__row").alias("__r"), "positions")
+    texts = docs.withColumn("__th", key[1]).withColumn("__row", row)
+    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__row") == F.col("__r"))
+    taken = texts.join(chosen.withColumnRenamed("positions", "__positions"), same).withColumn("__position", F.explode("__positions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return taken.repartitionByRange(parts, "__position").sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = assign(docs.select("doc_id", "source", "text"))
