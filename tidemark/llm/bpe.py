@@ -162,7 +162,7 @@ def encode(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> Data
     kind = rows.schema["doc_id"].dataType
     short = rows.where(F.length("text") <= piece)
     long = rows.where(F.length("text") > piece)
-    schema = short.schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    schema = T.StructType([*short.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)

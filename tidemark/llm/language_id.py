@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 #: Labelled rows a language is learned from at most (in expectation).
@@ -161,7 +162,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     every text where nothing was learned. Columns of those names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *added])
     at = keep.index("text")
 
     def run(batches):

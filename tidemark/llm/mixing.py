@@ -51,7 +51,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
         ((F.sum("source_size").over(total) - F.coalesce(F.sum("limit").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after).cast("double")).alias("level"),
     )
     full = F.col("limit").cast("double") <= F.col("weight").cast("double") * F.col("level")
-    level = F.min(F.when(~full, F.col("level"))).over(total)
+    # the levels rise to the first source that is not full and fall after it
+    level = F.max(F.when(~full, F.col("level"))).over(total)
     share = F.when(full, F.col("limit").cast("double")).otherwise(F.col("weight").cast("double") * level)
     return levelled.select("source", "source_size", share.alias("target"), (F.row_number().over(order) - 1).alias("rank"))
 
@@ -96,13 +97,13 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     placed = keyed.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__sl")))
     first = (F.col("__start") + F.col("__in")).cast("double")
-    rounds = F.sequence(F.lit(0), F.lit(epochs - 1))
-    begins = F.transform(rounds, lambda e: first + e * F.col("source_size"))
-    taken = F.filter(begins, lambda b: (F.col("size") > 0) & (b + F.col("size") / 2 <= F.col("target")))
-    placed = placed.withColumn("__begins", taken).withColumn("copies", F.size("__begins"))
+    begins = [first + e * F.col("source_size") for e in range(epochs)]
+    taken = [(F.col("size") > 0) & (b + F.col("size") / 2 <= F.col("target")) for b in begins]
+    placed = placed.withColumn("copies", sum((t.cast("int") for t in taken), F.lit(0)))
+    at = [invert_demand(F.least(b / F.col("target"), F.lit(1.0)), _slope(F.col("rank"))) for b in begins]
     return placed.select(
         *docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-        F.transform("__begins", lambda b: invert_demand(F.least(b / F.col("target"), F.lit(1.0)), _slope(F.col("rank")))).alias("positions"),
+        F.array_compact(F.array(*(F.when(t, p) for t, p in zip(taken, at, strict=True)))).alias("positions"),
     )
 
 
@@ -122,7 +123,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     key = [F.col("doc_id").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("__th")]
     light = docs.select(*key, F.col("source"), F.col("text"))
-    copies = assign(light).select("doc_id", "__th", "source", "positions").where(F.size("positions") > 0)
+    copies = assign(light).where("copies > 0").select("doc_id", "__th", "source", "positions")
     row = F.row_number().over(Window.partitionBy("doc_id", "__th", "source").orderBy("__th"))
     chosen = copies.withColumn("__row", row).select(F.col("doc_id").alias("__i"), F.col("__th").alias("__t"), F.col("source").alias("__s"), F.col("__row").alias("__r"), "positions")
     texts = docs.withColumn("__th", key[1]).withColumn("__row", row)
@@ -135,7 +136,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = assign(docs.select("doc_id", "source", "text"))
-    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.element_at("positions", F.when(F.col("copies") > 0, 1)).alias("first_position"))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.try_element_at("positions", F.lit(1)).alias("first_position"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the order in which training meets them; those not taken come last
     return rows.repartitionByRange(parts, F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
@@ -158,7 +159,7 @@ l AS (
 t AS (
   SELECT source, source_size, rnk,
          CASE WHEN lim::DOUBLE <= weight::DOUBLE * lvl THEN lim::DOUBLE
-              ELSE weight::DOUBLE * min(CASE WHEN lim::DOUBLE > weight::DOUBLE * lvl THEN lvl END) OVER () END AS target
+              ELSE weight::DOUBLE * max(CASE WHEN lim::DOUBLE > weight::DOUBLE * lvl THEN lvl END) OVER () END AS target
   FROM l),
 c AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.rnk,
