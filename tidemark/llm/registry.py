@@ -9,6 +9,7 @@ from .language_id import op9_language_id
 from .licenses import op3_licenses
 from .mixing import OP5_SQL, op5_mixing
 from .simhash import op1_simhash
+from .suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_licenses": op3_licenses, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_fingerprints": op7_fingerprints, "op9_language_id": op9_language_id, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_licenses": op3_licenses, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_fingerprints": op7_fingerprints, "op9_language_id": op9_language_id, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
