@@ -7,10 +7,11 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op7_fingerprints
 from .language_id import op9_language_id
 from .licenses import op3_licenses
+from .line_dedup import op8_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .pii import op4_pii
 from .simhash import op1_simhash
 from .suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_licenses": op3_licenses, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_fingerprints": op7_fingerprints, "op9_language_id": op9_language_id, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_licenses": op3_licenses, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_fingerprints": op7_fingerprints, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
