@@ -1,10 +1,8 @@
-"""Registry of the queries and their SQL, gathered from ``tidemark.plans``."""
+"""The queries and their SQL, as the plans have registered them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import scans, verification  # noqa: F401  they register their queries
+from .plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
