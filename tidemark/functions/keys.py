@@ -13,7 +13,7 @@ MAX_UNSIGNED, MAX_BINARY_BYTES = 18446744073709551615, 4096
 def unsigned(column: Column, bits: int) -> Column:
     """A signed reading of an unsigned number, put right; always a decimal that holds 64 bits."""
     wide = column.cast(UNSIGNED)
-    return F.when(wide < 0, (wide + F.lit(2**bits).cast(UNSIGNED)).cast(UNSIGNED)).otherwise(wide)
+    return F.when(wide < 0, (wide + F.lit(str(2**bits)).cast(UNSIGNED)).cast(UNSIGNED)).otherwise(wide)
 
 
 def to_hex(key: Column) -> Column:
@@ -39,12 +39,12 @@ def numeric_position(key: Column, binary: bool) -> Column:
 
 def is_max(key: Column, binary: bool) -> Column:
     """Whether a key is the largest of its kind, which also marks a completed table."""
-    return F.hex(key).rlike("^(FF)+$") if binary else key.cast(UNSIGNED) == F.lit(MAX_UNSIGNED).cast(UNSIGNED)
+    return F.hex(key).rlike("^(FF)+$") if binary else key.cast(UNSIGNED) == F.lit(str(MAX_UNSIGNED)).cast(UNSIGNED)
 
 
 def max_key(size: int | None = None) -> Column:
     """The largest number, or the largest binary key of a column of ``size`` bytes. The smallest is no bound at all: null."""
-    return F.lit(MAX_UNSIGNED).cast(UNSIGNED) if size is None else F.lit(b"\xff" * min(size, MAX_BINARY_BYTES))
+    return F.lit(str(MAX_UNSIGNED)).cast(UNSIGNED) if size is None else F.lit(b"\xff" * min(size, MAX_BINARY_BYTES))
 
 
 def compare(a: Column, b: Column) -> Column:
