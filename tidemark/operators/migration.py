@@ -11,6 +11,7 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..metrics import Metrics
 from ..sources.store import TableStore
 from ..state import RunState
 from ..streaming.apply import ReverifyStore, applier, log_stream, start
@@ -111,6 +112,9 @@ class Migration:
     unlock: Callable[[], None] = lambda: None
     most_downtime: float = 0.0
     stage: Stage = Stage.STARTING
+    on_copied: tuple[Callable[[Table], None], ...] = ()
+    on_error: Callable[[str, Exception], None] | None = None
+    metrics: Metrics = field(default_factory=Metrics)
 
     def __post_init__(self) -> None:
         self.reverify = ReverifyStore(self.spark, f"{self.checkpoint}/reverify")
@@ -133,6 +137,9 @@ class Migration:
         else:
             self._again(found, table)
         self.state.completed.append(table.name)
+        self.metrics.count("copied_tables", tags={"table": table.name})
+        for listener in self.on_copied:
+            listener(table)
 
     def _again(self, found: DataFrame, table: Table) -> None:
         keys = found.select(F.lit("").alias("db"), F.lit(table.name).alias("table_name"), F.col(table.key).cast("bigint").alias("key"))
@@ -235,12 +242,39 @@ class Migration:
 
     def run(self, meanwhile: Iterable[Callable[[], None]] = ()) -> RunState:
         """Copy, catch up, verify, cut over. ``meanwhile``: called in turn after the copy, each before a catch-up."""
-        self.copy()
-        for step in meanwhile:
-            step()
+        try:
+            with self.metrics.measure("copy"):
+                self.copy()
+            for step in meanwhile:
+                step()
+                self.catch_up()
+            self.stage = Stage.WAITING
             self.catch_up()
-        self.stage = Stage.WAITING
-        self.catch_up()
-        self.verify_before_cutover()
-        self.cutover()
+            with self.metrics.measure("verify_before_cutover"):
+                self.verify_before_cutover()
+            with self.metrics.measure("cutover"):
+                self.cutover()
+        except Exception as error:
+            if self.on_error:
+                self.on_error(self.dump(), error)
+            raise
         return self.state
+
+    # --- control ---
+
+    def pause(self) -> None:
+        self.throttler.paused = True
+
+    def unpause(self) -> None:
+        self.throttler.paused = False
+
+    def dump(self) -> str:
+        """The state as JSON, to go on from with ``state=RunState.loads(...)``; none may be taken during cutover."""
+        if self.stage is Stage.CUTOVER and not self.on_error:
+            raise RuntimeError("a run in cutover can't be interrupted")
+        return self.state.dumps()
+
+    def status(self) -> DataFrame:
+        """table_name, state: the tables that wait, those that are copied, those that are done."""
+        state = lambda t: "completed" if t.name in self.state.completed else "copying" if self.stage is Stage.COPYING else "waiting"
+        return self.spark.createDataFrame([(t.name, state(t)) for t in self.tables], "table_name string, state string")
