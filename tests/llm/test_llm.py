@@ -287,7 +287,7 @@ def tok():
 def test_tree_concatenation_is_exact(parts, piece):
     tok, text = bpe.load(bpe.default_path()), "".join(parts)
     want = tok.encode(text, add_special_tokens=False).ids
-    assert bpe.Encoder(bpe.default_path()).ids(text) == want
+    assert bpe.Encoder(bpe.default_path()).ids([text, text]) == [want, want]
     nodes = [(b, text[b : b + piece], bpe._spans(tok, text[b : b + piece], b)) for b in range(0, len(text), piece)]
     while len(nodes) > 1:
         pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,16 @@ from .common import staged
 PIECE = 32_768
 #: Code points of a window's sides at first, and tokens that must agree on either side.
 WINDOW, AGREE = 64, 4
-#: Strings between white space whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Strings between white space, and words, whose ids a worker remembers.
+REMEMBERED = 300_000
 #: Texts encoded between two batches handed on.
 ROWS = 128
 #: Characters that lower-case and compose alike one by one, here and in the library; white space among them always splits.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-įı-ɏ]*")
 
+#: Fixed value: the words that the file's own pattern splits such strings into.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -58,29 +62,54 @@ def load(path: str):
 
 
 class Encoder:
-    """Encodes texts as the library does; remembers the ids of strings between white space."""
+    """Encodes texts as the library does; remembers the ids of strings between white space and of their words.
+
+    White space always splits, so such a string's ids don't depend on what is
+    around it. New words are encoded together, white space between them; the
+    tokens that end words tell them apart again.
+    """
 
     def __init__(self, path: str):
         self.tok = load(path)
         self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        parts = text.lower().split()
-        known = self.known
-        new = list({p for p in parts if p not in known})
+        self.words: dict[str, list[int]] = {}
+        self.ends = np.array([self.tok.id_to_token(i).endswith("</w>") for i in range(self.tok.get_vocab_size())])
+
+    def _learn(self, parts: list[str]) -> None:
+        split = [(p, [p] if p.isalpha() else _WORDS.findall(p)) for p in parts]
+        words = self.words
+        new = list({w for _, ws in split for w in ws if w not in words})
+        if len(words) + len(new) > REMEMBERED:
+            words.clear()
+            new = list({w for _, ws in split for w in ws})
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                flat, begin = ids.tolist(), 0
+                for w, end in zip(some, cut.tolist(), strict=True):
+                    words[w] = flat[begin:end]
+                    begin = end
+            else:  # a word that the library splits otherwise
+                for w in some:
+                    words[w] = self.tok.encode(w, add_special_tokens=False).ids
+        for p, ws in split:
+            self.known[p] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of some texts; what is new in any of them is learned at once."""
+        plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        parts = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        there = set().union(*parts)
+        new = there.difference(self.known)
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            for at in range(0, len(new), 1024):
-                for part, e in zip(new[at : at + 1024], self.tok.encode_batch_fast(new[at : at + 1024], add_special_tokens=False), strict=True):
-                    known[part] = e.ids
-        out: list[int] = []
-        for p in parts:
-            out += known[p]
-        return out
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = there
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [list(chain.from_iterable(map(get, own))) if p else self.tok.encode(t, add_special_tokens=False).ids for t, p, own in zip(texts, plain, parts, strict=True)]
 
 
 def _spans(tok, text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +147,18 @@ def join_tokens(tok, text: str, at: int, cut: int, left: tuple, right: tuple) ->
         side *= 2
 
 
-_NODE = "uid bigint, node bigint, begin bigint, text string, ids array<int>, starts array<bigint>, clean array<boolean>"
+#: ``starts`` are offsets in the text; one that is not clean is -1 less its number.
+_NODE = "uid bigint, node bigint, begin bigint, text string, ids array<int>, starts array<int>"
+
+
+def _stored(spans: tuple) -> dict:
+    ids, starts, clean = spans
+    return {"ids": ids.astype(np.int32), "starts": np.where(clean, starts, -1 - starts).astype(np.int32)}
+
+
+def _restored(row: dict) -> tuple:
+    starts = np.asarray(row["starts"], dtype=np.int64)
+    return np.asarray(row["ids"], dtype=np.int64), np.where(starts < 0, -1 - starts, starts), starts >= 0
 
 
 def _encode_pieces(path: str):
@@ -126,8 +166,8 @@ def _encode_pieces(path: str):
         tok = load(path)
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                ids, starts, clean = _spans(tok, row.text, row.begin)
-                yield pd.DataFrame({"uid": [row.uid], "node": [row.node], "begin": [row.begin], "text": [row.text], "ids": [ids], "starts": [starts], "clean": [clean]})
+                node = {"uid": row.uid, "node": row.node, "begin": row.begin, "text": row.text, **_stored(_spans(tok, row.text, row.begin))}
+                yield pd.DataFrame({k: [v] for k, v in node.items()})
 
     return run
 
@@ -139,9 +179,7 @@ def _join_nodes(path: str):
         if len(rows) == 2:
             tok, right = load(path), rows[1]
             text = out["text"] + right["text"]
-            parts = [tuple(np.asarray(r[k]) for k in ("ids", "starts", "clean")) for r in rows]
-            ids, starts, clean = join_tokens(tok, text, out["begin"], right["begin"], *parts)
-            out |= {"text": text, "ids": ids, "starts": starts, "clean": clean}
+            out |= {"text": text, **_stored(join_tokens(tok, text, out["begin"], right["begin"], _restored(out), _restored(right)))}
         out["node"] //= 2
         return pd.DataFrame({k: [v] for k, v in out.items()})
 
@@ -168,7 +206,7 @@ def encode(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> Data
         encoder = Encoder(path)
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                ids = [encoder.ids(t.as_py()) for t in part.column(1)]
+                ids = encoder.ids(part.column(1).to_pylist())
                 decoded = [encoder.tok.decode(x, skip_special_tokens=False) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
