@@ -45,9 +45,8 @@ def _shingle(line16: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(line16, 2 * at + 1, F.lit(2 * SHINGLE)))
 
 
-def shingle_set(line: Column) -> Column:
-    """The distinct hashed shingles of a line."""
-    wide = F.encode(line, "UTF-16BE")
+def shingle_set(wide: Column) -> Column:
+    """The distinct hashed shingles of a UTF-16 line. Give a column, not an expression: it is read for every shingle."""
     return F.array_distinct(F.transform(_starts(wide), lambda i: _shingle(wide, i)))
 
 
@@ -66,12 +65,16 @@ def band_members(signed: DataFrame) -> DataFrame:
     return rows.select("key", "lid", F.min("lid").over(band).alias("least"), F.max("lid").over(band).alias("most"), F.count("*").over(band).alias("n")).where("least <> most").drop("most")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard likeness of SIMILARITY or more."""
-    side = lambda k: sets.select(F.col("lid").alias(k), F.col("shingles").alias(f"s{k}"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard likeness of SIMILARITY or more.
+
+    ``texts``: lid, w (UTF-16). Lines are shuffled, not their sets, which are ten times as large.
+    """
+    side = lambda k: texts.select(F.col("lid").alias(k), F.col("w").alias(f"w{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    sets = both.select("a", "b", shingle_set(F.col("wa")).alias("sa"), shingle_set(F.col("wb")).alias("sb"))
+    counted = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return counted.where(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
 def line_components(of: DataFrame) -> DataFrame:
@@ -79,8 +82,9 @@ def line_components(of: DataFrame) -> DataFrame:
     members = staged(band_members(signatures(of)), "bands")
     stars = members.where("lid <> least").select(F.col("least").alias("a"), F.col("lid").alias("b")).distinct()
     wanted = members.select("lid").distinct()
-    sets = staged(of.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line")).select("lid", shingle_set(F.col("line")).alias("shingles")), "sets")
-    links = staged(verified(stars, sets), "links")
+    # one text of each line: copies of a line meet as one row per task before the shuffle
+    texts = staged(of.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line")).select("lid", F.encode("line", "UTF-16BE").alias("w")), "texts")
+    links = staged(verified(stars, texts), "links")
     label = components(links)
     rest = members.where("n > 2").select("key", "lid").join(label.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", F.coalesce("label", "lid").alias("label"))
     rest = staged(rest, "rest")
@@ -88,7 +92,7 @@ def line_components(of: DataFrame) -> DataFrame:
     open_ = rest.join(mixed, "key", "left_semi")
     other = open_.select("key", F.col("lid").alias("b"), F.col("label").alias("other"))
     pairs = open_.withColumnRenamed("lid", "a").join(other, "key").where("a < b AND label <> other").select("a", "b").distinct()
-    return components(links.unionByName(verified(pairs, sets)))
+    return components(links.unionByName(verified(pairs, texts)))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
