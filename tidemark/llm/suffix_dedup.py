@@ -13,9 +13,13 @@ strings cover.
   suffixes of its segments by Larsson-Sadakane refinement, takes common
   prefixes by Kasai's method, and marks starts with a neighbour of 400 equal
   bytes.
-- A name with more bytes than a shard holds is split over several. Each of its
-  shards hands on its distinct strings as sorted digests, and ranges of those
-  are merged across shards by binary search.
+- A name with more bytes than a shard holds is refined first. Two places that
+  share 400 bytes around a substring share at least 184 on one side of it, so
+  its segments are grouped by those bytes, left and right; a group of one is
+  not repeated, and what only shares a frequent short passage falls apart here.
+- A group that still is larger than a shard is split over several. Each of its
+  shards hands on its strings as sorted digests, and ranges of those are merged
+  across shards by binary search.
 
 Texts are shuffled by (id, hash), so copies of one text spread over all tasks.
 """
@@ -64,8 +68,12 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :]) if width > n else h
 
 
-def runs(data: bytes) -> list[tuple[int, int, int, int, bool]]:
-    """(first start, last start, name, segment hash, name occurs again in the segment) by run of starts."""
+#: Bytes that two equal strings share beside the substring that names them, on one side at least.
+SIDE = (LENGTH - GRAM) // 2
+
+
+def runs(data: bytes) -> list[tuple[int, int, int, int, bool, list[int]]]:
+    """(first start, last start, name, segment hash, name occurs again in the segment, hashes of its sides) by run of starts."""
     if len(data) < LENGTH:
         return []
     h = gram_hashes(data)
@@ -77,8 +85,10 @@ def runs(data: bytes) -> list[tuple[int, int, int, int, bool]]:
     out = []
     for s, e in zip(first.tolist(), last.tolist(), strict=True):
         seg = xxhash.xxh3_64_intdigest(view[s : e + LENGTH])
-        again = e - s >= width or np.count_nonzero(h[s : e + width] == names[s]) > 1
-        out.append((s, e, int(signed[s]), seg - (seg >> 63 << 64), bool(again)))
+        places = (np.flatnonzero(h[s : e + width] == names[s]) + s).tolist()
+        sides = {xxhash.xxh3_64_intdigest(view[a - SIDE : a + GRAM], 1) for a in places if a >= SIDE}
+        sides |= {xxhash.xxh3_64_intdigest(view[a : a + GRAM + SIDE], 2) for a in places if a + GRAM + SIDE <= len(data)}
+        out.append((s, e, int(signed[s]), seg - (seg >> 63 << 64), len(places) > 1, [x - (x >> 63 << 64) for x in sides]))
     return out
 
 
@@ -170,7 +180,7 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     return [marked[a : a + c] for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
 
 
-_MARK = "did bigint, key bigint, first int, last int, name bigint, digest bigint, shard int"
+_MARK = "did bigint, key bigint, firsts array<int>, lasts array<int>, range int, digests array<bigint>, more array<bigint>"
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,62 +188,86 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of repeated starts in a shard; of split names also every distinct string's digest."""
-    pdf = pdf.drop_duplicates(["name", "segment"])
-    flags = repeated_starts(pdf["segment"].tolist())
-    rows, shard = [], int(pdf["shard"].iloc[0])
-    for row, own in zip(pdf.itertuples(index=False), flags, strict=True):
-        first, last = _spans(own)
-        rows += [(row.did, row.key, row.first + a, row.first + b, None, None, shard) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        if row.split:
-            view = memoryview(row.segment)
-            for p in range(len(own)):
-                d = xxhash.xxh3_64_intdigest(view[p : p + LENGTH])
-                rows.append((row.did, row.key, row.first + p, row.first + p, row.name, d - (d >> 63 << 64), shard))
-    out = pd.DataFrame(rows, columns=["did", "key", "first", "last", "name", "digest", "shard"])
-    return out.astype({"name": "Int64", "digest": "Int64"})
+def _shard(ranges: int):
+    """A shard's work: ranges of repeated starts, a row a segment; of split groups also every string's digest.
+
+    Digests go out sorted, an array for each of ``ranges`` ranges of them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a segment may be in two groups of one shard; its strings are one place each
+        pdf = pdf.sort_values("split", ascending=False).drop_duplicates("segment")
+        rows = []
+        for row, own in zip(pdf.itertuples(index=False), repeated_starts(pdf["segment"].tolist()), strict=True):
+            first, last = _spans(own)
+            if len(first):
+                rows.append((row.did, row.key, row.first + first, row.first + last, -1, None, None))
+            if row.split:
+                view = memoryview(row.segment)
+                raw = b"".join(xxhash.xxh3_128_digest(view[p : p + LENGTH]) for p in range(len(own)))
+                pair = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+                order = np.lexsort((pair[:, 1], pair[:, 0]))
+                at = (pair[order, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+                for r in np.unique(at).tolist():
+                    some = order[at == r]
+                    rows.append((row.did, row.key, row.first + some, None, r, pair[some, 0], pair[some, 1]))
+        return pd.DataFrame(rows, columns=["did", "key", "firsts", "lasts", "range", "digests", "more"])
+
+    return run
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings of split names that another shard holds too: each is looked up in the other shards' sorted digests."""
-    pair = np.rec.fromarrays([pdf["name"].to_numpy(np.int64), pdf["digest"].to_numpy(np.int64)], names="name,digest")
-    shard = pdf["shard"].to_numpy()
-    total = np.sort(np.concatenate([np.unique(pair[shard == s]) for s in np.unique(shard)]))
-    held = np.searchsorted(total, pair, side="right") - np.searchsorted(total, pair, side="left")
-    return pdf.loc[held > 1, ["did", "key", "first", "last"]]
+    """Strings that start at another place too: each is looked up in the sorted digests of all shards.
+
+    A place that two shards have handed on counts once.
+    """
+    pdf = pdf.drop_duplicates(["did", "key", "first"])
+    pairs = [np.rec.fromarrays([np.asarray(d, dtype=np.int64), np.asarray(m, dtype=np.int64)], names="digest,more") for d, m in zip(pdf["digests"], pdf["more"], strict=True)]
+    total, rows = np.sort(np.concatenate(pairs)), []
+    for did, key, firsts, pair in zip(pdf["did"], pdf["key"], pdf["firsts"], pairs, strict=True):
+        held = np.searchsorted(total, pair, side="right") - np.searchsorted(total, pair, side="left")
+        found = np.asarray(firsts)[held > 1]
+        if len(found):
+            rows.append((did, key, found, found))
+    return pd.DataFrame(rows, columns=["did", "key", "firsts", "lasts"])
 
 
 # --- the whole table -------------------------------------------------------
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(did, key, first, last): ranges of starts whose 400-byte strings start elsewhere too.
+    """(did, key, firsts, lasts): ranges of starts whose 400-byte strings start elsewhere too.
 
     ``docs``: did, key, data (bytes).
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for did, key, data in zip(*(c for c in batch.columns), strict=True):
                 for row in runs(data.as_py()):
                     for c, v in zip(cols, (did.as_py(), key.as_py(), *row), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["did", "key", "first", "last", "name", "seg", "again"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["did", "key", "first", "last", "name", "seg", "again", "sides"])
 
     long = docs.where(F.octet_length("data") >= LENGTH)
-    found = staged(long.mapInArrow(find, "did bigint, key bigint, first int, last int, name bigint, seg bigint, again boolean"), "runs")
-    groups = found.groupBy("name", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "first", "last")).alias("one"), F.max("again").alias("again"))
-    sizes = F.sum(F.col("one.last") - F.col("one.first") + LENGTH)
-    names = groups.groupBy("name").agg(F.count("*").alias("segments"), sizes.alias("bytes")).where("segments > 1")
+    found = staged(long.mapInArrow(find, "did bigint, key bigint, first int, last int, name bigint, seg bigint, again boolean, sides array<bigint>"), "runs")
+    groups = found.groupBy("name", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "first", "last")).alias("one"), F.max("again").alias("again"), F.min("sides").alias("sides"))
+    own = (F.col("one.last") - F.col("one.first") + LENGTH).cast("bigint")
+    names = groups.groupBy("name").agg(F.count("*").alias("segments"), F.sum(own).alias("bytes")).where("segments > 1")
     whole = found.join(groups.where("n > 1").select("name", "seg"), ["name", "seg"]).select("did", "key", "first", "last")
 
-    several = groups.join(names, "name")
-    lone = groups.where("again AND n = 1").join(names.select("name"), "name", "left_anti").withColumn("segments", F.lit(1).cast("bigint"))
-    lone = lone.withColumn("bytes", (F.col("one.last") - F.col("one.first") + LENGTH).cast("bigint"))
-    wanted = staged(several.unionByName(lone).select("name", "seg", "bytes", "one.*"), "wanted")
+    several = staged(groups.join(names, "name"), "several")
+    cols = ["name", "seg", "bytes", "one.*"]
+    large = several.where(F.col("bytes") > SHARD_BYTES)
+    sided = large.select("name", "seg", "one", own.alias("own"), F.explode("sides").alias("side"))
+    alike = sided.groupBy("name", "side").agg(F.count("*").alias("segments"), F.sum("own").alias("bytes")).where("segments > 1")
+    refined = sided.join(alike, ["name", "side"]).withColumn("name", F.xxhash64("name", "side"))
+    # a segment that may repeat within itself is looked at alone, unless its whole name is
+    alone = groups.where("again AND n = 1").join(names.where(F.col("bytes") <= SHARD_BYTES).select("name"), "name", "left_anti")
+    alone = alone.withColumn("bytes", own).withColumn("name", F.xxhash64("name", "seg"))
+    wanted = staged(several.where(F.col("bytes") <= SHARD_BYTES).select(*cols).unionByName(refined.select(*cols)).unionByName(alone.select(*cols)), "wanted")
     total = wanted.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
     parts = F.ceil(F.col("bytes") / SHARD_BYTES)
@@ -244,12 +278,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     cut = docs.join(asked, ["did", "key"]).select("did", "key", "data", F.explode("wanted").alias("w")).select(
         "did", "key", "w.*", F.expr(f"substring(data, w.first + 1, w.last - w.first + {LENGTH})").alias("segment")
     )
-    marks = staged(cut.groupBy("shard").applyInPandas(_shard, _MARK), "marks")
-    inside = marks.where("digest IS NULL").select("did", "key", "first", "last")
-    handed = marks.where("digest IS NOT NULL")
-    ranges = max(1, handed.count() // MERGE_ROWS)
-    across = handed.groupBy(F.pmod(F.xxhash64("digest"), F.lit(ranges)).alias("range")).applyInPandas(_merge, "did bigint, key bigint, first int, last int")
-    return whole.unionByName(inside).unionByName(across)
+    handed = dealt.where("split").agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    marks = staged(cut.groupBy("shard").applyInPandas(_shard(max(1, handed // MERGE_ROWS)), _MARK), "marks")
+    inside = marks.where("range < 0").select("did", "key", "firsts", "lasts")
+    # a segment is named by its smallest start here, so that two shards' rows for it are seen to be one
+    across = marks.where("range >= 0").withColumn("first", F.array_min("firsts")).groupBy("range").applyInPandas(_merge, "did bigint, key bigint, firsts array<int>, lasts array<int>")
+    return whole.select("did", "key", F.array("first").alias("firsts"), F.array("last").alias("lasts")).unionByName(inside).unionByName(across)
 
 
 def removed(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -273,7 +307,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
-    ranges = repeated_ranges(rows).groupBy("did", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    ranges = repeated_ranges(rows).groupBy("did", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("firsts", "lasts")))).alias("ranges"))
     joined = rows.join(ranges, ["did", "key"], "left").select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "data", "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -282,7 +316,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             sizes, spans, kept = [], [], []
             for data, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = data.as_py()
-                gone = removed(len(data), [(r["first"], r["last"]) for r in found.as_py() or []])
+                gone = removed(len(data), [(r["firsts"], r["lasts"]) for r in found.as_py() or []])
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in gone])
                 ends = [0, *(x for g in gone for x in g), len(data)]
