@@ -206,6 +206,16 @@ def test_a_stopped_stream_goes_on(spark, tmp_path):
     assert dict(rows(store.read())) == want
 
 
+def test_threads_take_turns(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = ReverifyStore(spark, f"file://{tmp_path}/r", 2)
+    one = lambda i: store.add(spark.createDataFrame([("d", "t", i)], "db string, table_name string, key bigint"))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(one, range(6)))
+    assert rows(store.entries()) == [("d", "t", i, 1) for i in range(6)]
+
+
 def test_events_after_cutover_are_an_error(spark, tmp_path):
     store = ReverifyStore(spark, f"file://{tmp_path}/r", 2)
     e = spark.createDataFrame([("d", "t", 1)], "db string, table_name string, key bigint")

@@ -10,6 +10,7 @@ again.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +24,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 16):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+        self._writing = threading.RLock()  # threads of one run take turns; another run's change is an error
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +68,10 @@ class TableStore:
 
     def change(self, buckets: list[int], rows: DataFrame, batch: int | None = None) -> None:
         """Put ``rows`` in the place of what the buckets hold."""
+        with self._writing:
+            self._change(buckets, rows, batch)
+
+    def _change(self, buckets: list[int], rows: DataFrame, batch: int | None) -> None:
         now = self.manifest()
         version = now["version"] + 1
         folder = f"{self.path}/v{version}-{uuid.uuid4().hex}"
@@ -83,5 +89,6 @@ class TableStore:
         At most ``buckets`` numbers come to the driver.
         """
         touched = [r["b"] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
-        if touched or batch is not None:
-            self.change(touched, fold(self.read(touched)), batch)
+        with self._writing:
+            if touched or batch is not None:
+                self._change(touched, fold(self.read(touched)), batch)
