@@ -34,6 +34,8 @@ from .common import components, staged
 WIDE_WORDS = 8
 #: Members of a bucket up to which all its pairs are compared at once.
 PAIRWISE = 64
+#: Where words only stand for wider fingerprints: members up to which all pairs are, and edges of each member beyond.
+NEAREST_FROM, NEAREST = 12, 5
 #: Hashes whose bits are summed at once; bounds the memory of a long text.
 BLOCK = 1 << 15
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)  # fixed odd values
@@ -129,16 +131,35 @@ def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.nd
     return out
 
 
-def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among rows sorted by key: pairs with equal keys whose words differ in at most ``bits`` bits."""
+def _nearest(ids: np.ndarray, words: np.ndarray, bits: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each member's ``k`` nearest others that differ in at most ``bits`` bits."""
+    out, block = [], max(1, (1 << 22) // len(ids))
+    for at in range(0, len(ids), block):
+        apart = _popcount(words[at : at + block, None] ^ words[None, :])
+        mine = np.arange(len(apart))
+        apart[mine, at + mine] = 255
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        fits = np.take_along_axis(apart, near, axis=1) <= bits
+        out.append((np.repeat(ids[at : at + block], k)[fits.ravel()], ids[near.ravel()][fits.ravel()]))
+    return out
+
+
+def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among rows sorted by key: pairs with equal keys whose words differ in at most ``bits`` bits.
+
+    In a large bucket edges that span what is linked, or, with ``nearest``,
+    each member's so many nearest: at most as many edges a member.
+    """
+    pairwise = NEAREST_FROM if nearest else PAIRWISE
     a, b = [], []
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[cut, len(keys)])
-    for s, n in zip(cut[size > PAIRWISE].tolist(), size[size > PAIRWISE].tolist(), strict=True):
-        for x, y in _spanning(ids[s : s + n], words[s : s + n], bits):
+    for s, n in zip(cut[size > pairwise].tolist(), size[size > pairwise].tolist(), strict=True):
+        own = ids[s : s + n], words[s : s + n], bits
+        for x, y in _nearest(*own, nearest) if nearest else _spanning(*own):
             a.append(x)
             b.append(y)
-    small = np.repeat(size <= PAIRWISE, size)
+    small = np.repeat(size <= pairwise, size)
     keys, ids, words = keys[small], ids[small], words[small]
     at, lag = np.arange(len(keys) - 1), 1
     while len(at):
@@ -151,7 +172,7 @@ def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def colliding(variants: DataFrame, bits: int) -> DataFrame:
+def colliding(variants: DataFrame, bits: int, nearest: int = 0) -> DataFrame:
     """Verified edges (a, b) among rows (key, id, word) that share a key.
 
     A key's rows come together sorted, in batches; the last key of a batch is
@@ -163,7 +184,7 @@ def colliding(variants: DataFrame, bits: int) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def edges(part):
-            a, b = _linked(*part, bits)
+            a, b = _linked(*part, bits, nearest)
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -260,7 +281,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Two texts link if their 512-bit fingerprints over ``words``-word shingles
     differ in no more bits than texts of the given Jaccard likeness do on
     average. Candidates share a variant of one of ten bands: at a likeness of
-    0.8 a pair meets with probability 0.96, at 0.85 with 0.99. Texts with
+    0.8 a pair meets with probability 0.96, at 0.85 with 0.99. In a bucket of
+    more than twelve, each fingerprint is verified against its five nearest, so
+    that a large group gets edges in proportion to its members and is held
+    together by its closest pairs, in each of ten bands by others. Texts with
     equal fingerprints, the empty ones among them, are one group. One row of
     each component is kept: its smallest doc_id (nulls last), of several the
     one with the smallest text hash.
@@ -272,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # one word of 64 bits stands for eight at first: three deviations above what the limit has in it
     share = limit / (64 * WIDE_WORDS)
     loose = math.ceil(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
-    pairs = colliding(band_variants(nodes), loose)
+    pairs = colliding(band_variants(nodes), loose, NEAREST)
     side = lambda k: nodes.select(F.col("node").alias(k), F.array(*names).alias(f"w{k}"))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= limit).select("a", "b")
