@@ -147,6 +147,44 @@ def test_near_duplicate_stage(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [3, 5, 11]
 
 
+def word_set(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def templates():
+    """Texts on one template each: pairs of 0.70 to 0.86, and groups whose members are at about 0.7 of each other."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    out = []
+    for i in range(160):
+        base = [word() for _ in range(404)]
+        edited = list(base)
+        cut = 28 + i % 40
+        edited[-cut:] = [word() for _ in range(cut)]
+        out += [" ".join(base), " ".join(edited)]
+    shared = [word() for _ in range(330)]
+    for _ in range(60):
+        own = shared + [word() for _ in range(74)]
+        out += [" ".join(own), " ".join([*own[:-30], *(word() for _ in range(30))])]
+    return out
+
+
+def test_near_duplicates_are_decided_by_jaccard(spark, templates):
+    sets = [word_set(t) for t in templates]
+    docs = spark.createDataFrame(list(enumerate(templates)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    want = brute_components(list(range(len(sets))), lambda a, b: likeness(sets[a], sets[b]) >= 0.8)
+    assert all(want[i] == want[c] for i, c in got.items())  # no false link
+    linked = [(i, w) for i, w in want.items() if i != w]
+    assert sum(got[i] == w for i, w in linked) >= 0.95 * len(linked)
+
+
 # --- 2 ---
 
 

@@ -13,8 +13,8 @@ radius 1 over the other 48 bits meet in that block's table. That is 4 x 49
 variants, and no pair within 3 bits is missed.
 
 For looser likeness the fingerprint is wider (512 bits) and the tables are
-bands of 24 of its bits, each with radius 2 by balls of radius 1; colliding
-pairs are verified over all 512 bits.
+bands of 24 of its bits, each with radius 2 by balls of radius 1. Fingerprints
+only say which pairs may be alike; the sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -75,7 +75,10 @@ def fingerprint(text: str | None, words: int = 3, width: int = 1) -> list[int]:
     The first word comes from the XXH64 values themselves, the others from
     values mixed from them.
     """
-    h = shingle_hashes(text, words)
+    return _wide(shingle_hashes(text, words), width)
+
+
+def _wide(h: np.ndarray, width: int) -> list[int]:
     out = [_majority(h)]
     for j in range(1, width):
         x = (h ^ np.uint64(_MIX[j])) * np.uint64(_MIX[j - 1])
@@ -275,32 +278,83 @@ def band_variants(nodes: DataFrame) -> DataFrame:
     return v.select(F.expr(f"shiftleft(cast(t as bigint), {BAND_BITS})").bitwiseOR(band.bitwiseXOR(flip)).alias("key"), F.col("node").alias("id"), "word")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, th, component_id and ``kept`` of every (doc_id, text): near duplicates by wide SimHash.
-
-    Two texts link if their 512-bit fingerprints over ``words``-word shingles
-    differ in no more bits than texts of the given Jaccard likeness do on
-    average. Candidates share a variant of one of ten bands: at a likeness of
-    0.8 a pair meets with probability 0.96, at 0.85 with 0.99. In a bucket of
-    more than twelve, each fingerprint is verified against its five nearest, so
-    that a large group gets edges in proportion to its members and is held
-    together by its closest pairs, in each of ten bands by others. Texts with
-    equal fingerprints, the empty ones among them, are one group. One row of
-    each component is kept: its smallest doc_id (nulls last), of several the
-    one with the smallest text hash.
+def with_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """doc_id, th, node (hash of the set of shingles), size (of the set), fp0, fp1, ... of every row."""
+    schema = "doc_id bigint, th bigint, node bigint, size bigint, " + ", ".join(f"fp{j} bigint" for j in range(width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros((batch.num_rows, 2 + width), dtype=np.uint64)
+            for i, t in enumerate(batch.column(2)):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                rows[i] = [xxhash.xxh64_intdigest(h.tobytes()), len(h), *_wide(h, width)]
+            rows = rows.view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(2 + width))],
+                names=["doc_id", "th", "node", "size", *(f"fp{j}" for j in range(width))],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node → shingles, the set of hashes, of the nodes (node, th) given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(text_hash(), F.col("text").cast("string").alias("text")).join(nodes, "th").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard likeness of ``similarity`` or more.
+
+    Pairs that sizes rule out, or that differ in more than ``limit`` bits, are left out first.
     """
     names = [f"fp{j}" for j in range(WIDE_WORDS)]
-    prints = staged(with_fingerprints(docs, words, WIDE_WORDS).withColumn("node", F.xxhash64(*names)), "docs")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in names)), "nodes")
-    limit = bits_at(similarity, WIDE_WORDS)
-    # one word of 64 bits stands for eight at first: three deviations above what the limit has in it
-    share = limit / (64 * WIDE_WORDS)
-    loose = math.ceil(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
-    pairs = colliding(band_variants(nodes), loose, NEAREST)
-    side = lambda k: nodes.select(F.col("node").alias(k), F.array(*names).alias(f"w{k}"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.array(*names).alias(f"w{k}"))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= limit).select("a", "b")
-    groups = _spread(nodes, components(links), "node")
+    sized = F.least("na", "nb") / F.greatest("na", "nb") >= similarity
+    may = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (differ <= limit)).select("a", "b", "na", "nb"), "pairs")
+    wanted = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
+    sets = staged(shingle_sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "th"), words), "sets")
+    own = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
+    counted = may.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return counted.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b")
+
+
+def above(limit: int, bits: int, of: int) -> int:
+    """Differing bits, of ``bits`` drawn from ``of``, three deviations above a mean of ``limit`` in ``of``."""
+    share = limit / of
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, th, component_id and ``kept`` of every (doc_id, text): near duplicates by exact Jaccard likeness.
+
+    Two texts link if their sets of ``words``-word shingles have the given
+    Jaccard likeness or more, which is counted on the sets. Candidates share a
+    variant of one of ten bands of a 512-bit SimHash of the set, and differ in
+    no more bits than three deviations above the mean at that likeness: at 0.8
+    a pair becomes one with probability 0.96, at 0.85 with 0.99. Texts with
+    equal sets, the empty ones among them, are one group. One row of each
+    component is kept: its smallest doc_id (nulls last), of several the one
+    with the smallest text hash.
+    """
+    names = [f"fp{j}" for j in range(WIDE_WORDS)]
+    prints = staged(with_sets(docs, words, WIDE_WORDS), "docs")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *(F.first(c).alias(c) for c in ["size", *names])), "nodes")
+    bits = 64 * WIDE_WORDS
+    mean = bits_at(similarity, WIDE_WORDS)
+    # one word of 64 bits stands for eight at first
+    pairs = colliding(band_variants(nodes), above(mean, 64, bits), NEAREST)
+    links = alike(pairs, nodes, docs, words, similarity, above(mean, bits, bits))
+    groups = _spread(nodes.select("node", "least"), components(links), "node")
     rows = prints.select("doc_id", "th", "node").distinct().join(groups, "node")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
