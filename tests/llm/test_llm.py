@@ -185,6 +185,34 @@ def test_near_duplicates_are_decided_by_jaccard(spark, templates):
     assert sum(got[i] == w for i, w in linked) >= 0.95 * len(linked)
 
 
+@pytest.mark.parametrize("pairs", [1, 1 << 22])
+def test_members_of_a_bucket_meet_all_that_are_not_connected(spark, monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    words = [int(w) for w in rng.integers(0, 1 << 20, 400)]
+    rows = [(i % 7 // 3, i, words[i], i // 5 * 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "key bigint, id bigint, word bigint, label bigint")
+    got = {(r["a"], r["b"]) for r in simhash.unlinked(df, 6).collect()}
+    assert got == {(a, b) for k, a, x, m in rows for q, b, y, n in rows if a < b and k == q and m != n and (x ^ y).bit_count() <= 6}
+
+
+def test_no_member_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(330)]
+    texts = []
+    for _ in range(80):
+        own = shared + [word() for _ in range(74)]
+        texts += [" ".join(own), " ".join([*own[:-30], *(word() for _ in range(30))])]
+    # one bucket for all, whose words rank the true partner last
+    words = lambda n: n.select(F.lit(1).cast("bigint").alias("key"), F.col("node").alias("id"), (F.col("node").bitwiseAND(F.lit(7))).alias("word"))
+    monkeypatch.setattr(simhash, "band_variants", words)
+    sets = [word_set(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == brute_components(list(range(len(sets))), lambda a, b: likeness(sets[a], sets[b]) >= 0.8)
+
+
 # --- 2 ---
 
 

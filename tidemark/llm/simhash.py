@@ -34,8 +34,8 @@ from .common import components, staged
 WIDE_WORDS = 8
 #: Members of a bucket up to which all its pairs are compared at once.
 PAIRWISE = 64
-#: Where words only stand for wider fingerprints: members up to which all pairs are, and edges of each member beyond.
-NEAREST_FROM, NEAREST = 12, 5
+#: Pairs of a bucket looked at at once; bounds the memory of a large bucket.
+PAIRS = 1 << 22
 #: Hashes whose bits are summed at once; bounds the memory of a long text.
 BLOCK = 1 << 15
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)  # fixed odd values
@@ -134,32 +134,32 @@ def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.nd
     return out
 
 
-def _nearest(ids: np.ndarray, words: np.ndarray, bits: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each member's ``k`` nearest others that differ in at most ``bits`` bits."""
-    out, block = [], max(1, (1 << 22) // len(ids))
+def _across(ids: np.ndarray, words: np.ndarray, labels: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket that differ in label and in at most ``bits`` bits."""
+    order = np.argsort(labels, kind="stable")
+    ids, words, labels = ids[order], words[order], labels[order]
+    # rows are sorted by label: each is compared with those behind its own label's last
+    behind = np.searchsorted(labels, labels, side="right")
+    block = max(1, PAIRS // len(ids))
     for at in range(0, len(ids), block):
-        apart = _popcount(words[at : at + block, None] ^ words[None, :])
-        mine = np.arange(len(apart))
-        apart[mine, at + mine] = 255
-        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        fits = np.take_along_axis(apart, near, axis=1) <= bits
-        out.append((np.repeat(ids[at : at + block], k)[fits.ravel()], ids[near.ravel()][fits.ravel()]))
-    return out
+        near = _popcount(words[at : at + block, None] ^ words[None, :]) <= bits
+        near &= np.arange(len(ids)) >= behind[at : at + block, None]
+        x, y = np.nonzero(near)
+        if len(x):
+            yield ids[at + x], ids[y]
 
 
-def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pairwise: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges among rows sorted by key: pairs with equal keys whose words differ in at most ``bits`` bits.
 
-    In a large bucket edges that span what is linked, or, with ``nearest``,
-    each member's so many nearest: at most as many edges a member.
+    In a bucket of more than ``pairwise`` members edges that span what is linked.
     """
-    pairwise = NEAREST_FROM if nearest else PAIRWISE
+    pairwise = pairwise or PAIRWISE
     a, b = [], []
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[cut, len(keys)])
     for s, n in zip(cut[size > pairwise].tolist(), size[size > pairwise].tolist(), strict=True):
-        own = ids[s : s + n], words[s : s + n], bits
-        for x, y in _nearest(*own, nearest) if nearest else _spanning(*own):
+        for x, y in _spanning(ids[s : s + n], words[s : s + n], bits):
             a.append(x)
             b.append(y)
     small = np.repeat(size <= pairwise, size)
@@ -175,41 +175,95 @@ def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, nea
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def colliding(variants: DataFrame, bits: int, nearest: int = 0) -> DataFrame:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows that come sorted by the first; a key's rows are never parted.
+
+    The last key of a batch is carried into the next.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = tuple(c.to_numpy() for c in batch.columns)
+        if held and held[0][0][0] == now[0][-1]:
+            held.append(now)
+            continue
+        now = tuple(np.concatenate(x) for x in zip(*held, now, strict=True))
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield tuple(x[:cut] for x in now)
+        held = [tuple(x[cut:] for x in now)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def colliding(variants: DataFrame, bits: int) -> DataFrame:
     """Verified edges (a, b) among rows (key, id, word) that share a key.
 
-    A key's rows come together sorted, in batches; the last key of a batch is
-    carried into the next. A bucket holds distinct fingerprints of one small
-    ball only, since copies were merged before.
+    A key's rows come together sorted. A bucket holds distinct fingerprints of
+    one small ball only, since copies were merged before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def edges(part):
-            a, b = _linked(*part, bits, nearest)
+        for part in _buckets(batches):
+            a, b = _linked(*part, bits)
             if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = tuple(batch.column(i).to_numpy() for i in range(3))
-            if held and held[0][0][0] == now[0][-1]:
-                held.append(now)
-                continue
-            now = tuple(np.concatenate(x) for x in zip(*held, now, strict=True))
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            yield from edges(tuple(x[:cut] for x in now))
-            held = [tuple(x[cut:] for x in now)]
-        if held:
-            yield from edges(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield _pairs(a, b)
 
     spread = variants.repartition("key").sortWithinPartitions("key")
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def bucket_members(variants: DataFrame, bits: int) -> DataFrame:
+    """key, id, word, least, n, near: rows of every bucket that has more than one.
+
+    ``near``: the word differs in at most ``bits`` bits from that of the least id of the bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, words in _buckets(batches):
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            n = np.diff(np.r_[cut, len(keys)])
+            shared = np.repeat(n > 1, n)
+            if not shared.any():
+                continue
+            keys, ids, words, n = keys[shared], ids[shared], words[shared], n[n > 1]
+            order = np.lexsort((ids, keys))
+            ids, words = ids[order], words[order]
+            first = np.repeat(np.cumsum(n) - n, n)
+            near = _popcount(words ^ words[first]) <= bits
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, words, ids[first], np.repeat(n, n), near)], names=["key", "id", "word", "least", "n", "near"])
+
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, id bigint, word bigint, least bigint, n bigint, near boolean")
+
+
+def unlinked(members: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, word, label) that share a key, differ in label and in at most ``bits`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, words, labels in _buckets(batches):
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            mixed = np.flatnonzero(np.minimum.reduceat(labels, cut) != np.maximum.reduceat(labels, cut))
+            end = np.r_[cut[1:], len(keys)]
+            found, held = [], 0
+            for s, e in zip(cut[mixed].tolist(), end[mixed].tolist(), strict=True):
+                for pair in _across(ids[s:e], words[s:e], labels[s:e], bits):
+                    found.append(pair)
+                    held += len(pair[0])
+                    if held > PAIRS // 4:
+                        yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                        found, held = [], 0
+            if found:
+                yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def ball_variants(prints: DataFrame) -> DataFrame:
     """(key, id, word) for radius 3: 4 tables of 48 bits, each with its ball of radius 1."""
     v = prints.select(F.col("fp0").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(4 * 49 - 1))).alias("v"))
@@ -341,8 +395,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Jaccard likeness or more, which is counted on the sets. Candidates share a
     variant of one of ten bands of a 512-bit SimHash of the set, and differ in
     no more bits than three deviations above the mean at that likeness: at 0.8
-    a pair becomes one with probability 0.96, at 0.85 with 0.99. Texts with
-    equal sets, the empty ones among them, are one group. One row of each
+    a pair becomes one with probability 0.96, at 0.85 with 0.99. In a first
+    round a bucket's members meet its least one only; in a second, those that
+    are not connected by then meet each other, so no link between candidates
+    is lost and a large group does not become all its pairs. Texts with equal
+    sets, the empty ones among them, are one group. One row of each
     component is kept: its smallest doc_id (nulls last), of several the one
     with the smallest text hash.
     """
@@ -352,9 +409,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     bits = 64 * WIDE_WORDS
     mean = bits_at(similarity, WIDE_WORDS)
     # one word of 64 bits stands for eight at first
-    pairs = colliding(band_variants(nodes), above(mean, 64, bits), NEAREST)
-    links = alike(pairs, nodes, docs, words, similarity, above(mean, bits, bits))
-    groups = _spread(nodes.select("node", "least"), components(links), "node")
+    loose = above(mean, 64, bits)
+    check = lambda pairs: alike(pairs, nodes, docs, words, similarity, above(mean, bits, bits))
+    members = staged(bucket_members(band_variants(nodes), loose), "buckets")
+    stars = members.where("near AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = staged(check(stars), "links")
+    label = components(links).withColumnRenamed("node", "id")
+    rest = members.where("n > 2 AND id <> least").select("key", "id", "word").join(label, "id", "left")
+    pairs = unlinked(rest.select("key", "id", "word", F.coalesce("label", "id").alias("label")), loose).join(stars, ["a", "b"], "left_anti")
+    groups = _spread(nodes.select("node", "least"), components(links.unionByName(check(pairs))), "node")
     rows = prints.select("doc_id", "th", "node").distinct().join(groups, "node")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
