@@ -308,6 +308,20 @@ def test_surrogates_stay_distinct(spark):
     assert mails.nunique() == 600 and ips.nunique() == 600 and not set(ips) & {f"10.0.{i // 250}.{i % 250}" for i in range(600)}
 
 
+def test_names_keep_their_words_where_surrogates_collide(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", "ba be bo da de do fa fe fi fo".split())
+    word = lambda i, by: "".join("abcdefghij"[int(c)] for c in str(i * by + 1000))
+    rows = [(i, f"Mr X{word(i, 7)} Y{word(i, 13)} and Mr Y{word(i, 13)}, Mrs Y{word(i, 13)}.") for i in range(500)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").toPandas()["text"]
+    parts = got.str.extract(r"^Mr (\w+) (\w+) and Mr (\w+), Mrs (\w+)\.$")
+    assert (parts[1] == parts[2]).all() and (parts[1] == parts[3]).all() and parts[1].nunique() == 500 and parts[0].nunique() == 500
+
+
+@pytest.mark.parametrize("n", [1, 1521, 1522, 10_000, 10**6, 10**9])
+def test_there_are_names_enough(n):
+    assert 39 ** pii._syllables(n) >= 39 * n and pii._syllables(1521) == 3
+
+
 # --- 5 ---
 
 

@@ -9,10 +9,14 @@ Detection, replacement and collision checks are DataFrame functions only.
   the gender its title tells. Mail goes to reserved example domains.
 - No two entities share a surrogate, and none is an entity of the corpus: those
   that collide are drawn again with the next attempt until none does.
+- The words of names are entities of their own, so that a word has one surrogate
+  in every mention; made-up names get longer with the number of words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he jo ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo za".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до жа за зе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то фа ха".split(),
 }
+#: Kinds of the words of names, with the gender of given names.
+WORDS = {"surname": None, "given-m": "m", "given-f": "f"}
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -112,19 +118,27 @@ def _letters(h: Column, text: Column, from_: int = 0) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(h: Column, word: Column, gender: str | None) -> Column:
+def _syllables(n: int) -> int:
+    """Syllables, three or more, that give at least as many names for each of ``n`` words as there are syllables."""
+    pool, least = min(map(len, SYLLABLES.values())), 3
+    while pool ** (least - 1) < n:
+        least += 1
+    return least
+
+
+def _name(h: Column, word: Column, gender: str | None, syllables: int) -> Column:
     """A made-up name in the word's script: a given name with the gender's ending, else a surname."""
     def of(script: str) -> Column:
         pool = F.array(*(F.lit(x) for x in SYLLABLES[script]))
         at = 0 if gender else 8
-        parts = [F.element_at(pool, _byte(h, at + i) % len(SYLLABLES[script]) + 1) for i in range(3)]
+        parts = [F.element_at(pool, _byte(h, at + i) % len(SYLLABLES[script]) + 1) for i in range(syllables)]
         return F.initcap(F.concat(*parts, F.lit(ENDINGS[script, gender] if gender else "")))
 
     return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
-def canonical(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate's normal form for an entity's normal form."""
+def canonical(key: str, kind: Column, norm: Column, attempt: Column, syllables: Mapping[str, int]) -> Column:
+    """The surrogate's normal form for an entity's normal form; ``syllables`` of the kinds of words."""
     h = _hex(key, kind, norm, attempt)
     digits = F.translate(h, "abcdef", "270594")
     code = F.greatest(F.length(norm) - 10, F.lit(0))
@@ -139,18 +153,21 @@ def canonical(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     secret = F.substring(h, F.lit(1), F.length(norm))
     iban = F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(1), F.length(norm) - 2))
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))  # numbers that begin with 9 are not given out
-    words = F.split(norm, " ")
-    title, last = F.element_at(words, 1), F.element_at(words, -1)
-    own = lambda w: _hex(key, F.lit("name"), w, attempt)  # noqa: E731  one word, one surrogate, in every mention
-    male = title.isin(*(x for t in TITLES["m"] for x in (t, f"{t}.")))
-    given = F.when(F.size(words) > 2, F.concat(F.when(male, _name(own(F.element_at(words, 2)), F.element_at(words, 2), "m")).otherwise(_name(own(F.element_at(words, 2)), F.element_at(words, 2), "f")), F.lit(" "))).otherwise(F.lit(""))
-    name = F.concat(title, F.lit(" "), given, _name(own(last), last, None))
     return (
         F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email)
-        .when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ssn", ssn).when(kind == "name", name)
+        .when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ssn", ssn)
+        .otherwise(F.coalesce(*(F.when(kind == k, _name(h, norm, gender, syllables.get(k, 3))) for k, gender in WORDS.items())))
     )
 
 
+def name_words(names: DataFrame) -> DataFrame:
+    """norm, title, given_kind, given (null without one) and surname of every name."""
+    words = F.split("norm", " ")
+    title = F.element_at(words, 1)
+    male = title.isin(*(x for t in TITLES["m"] for x in (t, f"{t}.")))
+    return names.select("norm", title.alias("title"), F.when(male, "given-m").otherwise("given-f").alias("given_kind"), F.when(F.size(words) > 2, F.element_at(words, 2)).alias("given"), F.element_at(words, -1).alias("surname"))
+
+
 def reshape(kind: Column, surface: Column, form: Column) -> Column:
     """The surrogate in the shape of a mention: its punctuation and its case."""
     chars = F.split(surface, "")
@@ -163,11 +180,30 @@ def reshape(kind: Column, surface: Column, form: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm → form: distinct, and no entity's own, by drawing collisions again.
 
+    Words of names are drawn as entities of their own, and names are put
+    together from them: as no two words share a surrogate and none is a word
+    of a name in the corpus, the same holds for names.
+    """
+    all_ = staged(entities.select("kind", "norm").distinct(), "entities")
+    names = name_words(all_.where("kind = 'name'"))
+    words = names.select(F.lit("surname").alias("kind"), F.col("surname").alias("norm")).unionByName(names.where("given IS NOT NULL").select(F.col("given_kind").alias("kind"), F.col("given").alias("norm")))
+    forms = drawn(all_.where("kind <> 'name'").unionByName(words.distinct()), key)
+    last = forms.where("kind = 'surname'").select(F.col("norm").alias("surname"), F.col("form").alias("last"))
+    first = forms.select(F.col("kind").alias("given_kind"), F.col("norm").alias("given"), F.col("form").alias("first"))
+    made = names.join(last, "surname").join(first, ["given_kind", "given"], "left")
+    made = made.select(F.lit("name").alias("kind"), "norm", F.concat_ws(" ", "title", "first", "last").alias("form"))
+    return forms.where(~F.col("kind").isin(*WORDS)).unionByName(made)
+
+
+def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """kind, norm → form of entities and words: distinct in each kind, and none that is there.
+
     Each round's table is written to the shared folder; a round draws only
     those that collided, of which fewer are left each time.
     """
-    known = staged(entities.select("kind", "norm").distinct(), "entities")
-    name = lambda df: df.withColumn("form", canonical(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+    known = staged(entities, "known")
+    counts = {r["kind"]: _syllables(r["count"]) for r in known.where(F.col("kind").isin(*WORDS)).groupBy("kind").count().collect()}
+    name = lambda df: df.withColumn("form", canonical(key, F.col("kind"), F.col("norm"), F.col("attempt"), counts))
     now = staged(name(known.withColumn("attempt", F.lit(0))), "surrogates")
     while True:
         shared = now.groupBy("kind", "form").agg(F.min("norm").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -176,8 +212,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         again = staged(taken.unionByName(real).distinct(), "again")
         if again.isEmpty():
             return now.select("kind", "norm", "form")
-        drawn = now.join(again, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        after = staged(now.join(again, ["kind", "norm"], "left_anti").unionByName(name(drawn)), "surrogates")
+        redrawn = now.join(again, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
+        after = staged(now.join(again, ["kind", "norm"], "left_anti").unionByName(name(redrawn)), "surrogates")
         discard(now)
         now = after
 
