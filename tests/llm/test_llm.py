@@ -435,6 +435,22 @@ def test_line_dedup_has_no_python_in_its_plan(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_like_lines_of_any_length_meet(spark, k):
+    rng = random.Random(k)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for i in range(1500):  # 9k shingles each, 8k of them in both: 0.8
+        same = line(8 * k + 4)
+        rows += [(2 * i, same + "X" + line(k - 1)), (2 * i + 1, same + "Y" + line(k - 1))]
+    members = line_dedup.band_members(line_dedup.signatures(spark.createDataFrame(rows, "lid bigint, line string")))
+    keys = {}
+    for r in members.select("key", "lid").collect():
+        keys.setdefault(r["lid"], set()).add(r["key"])
+    met = sum(bool(keys.get(2 * i, set()) & keys.get(2 * i + 1, set())) for i in range(1500))
+    assert met >= 0.97 * 1500
+
+
 # --- 9 ---
 
 
