@@ -247,11 +247,26 @@ def test_suffix_dedup(spark, monkeypatch, shard_bytes):
     assert [(r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["h"]) for r in got] == brute_removed(texts)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_repeats_longer_than_a_string_mark_nothing_else(seed):
+    rng = random.Random(seed)
+    word = lambda n: bytes(rng.choice(b"ab" if seed % 2 else b"abcdefgh") for _ in range(n))
+    shared = [word(rng.randint(400, 900)) for _ in range(3)]
+    segments = list({word(rng.randint(0, 300)) + rng.choice(shared)[rng.randint(0, 60) :] + word(rng.randint(100, 300)) for _ in range(rng.randint(2, 9))})
+    segments = [s for s in segments if len(s) >= 400]
+    count: dict = {}
+    for s in segments:
+        for p in range(len(s) - 399):
+            count[s[p : p + 400]] = count.get(s[p : p + 400], 0) + 1
+    got = suffix_dedup.repeated_starts(segments) if segments else []
+    assert [x.tolist() for x in got] == [[count[s[p : p + 400]] > 1 for p in range(len(s) - 399)] for s in segments]
+
+
 @given(st.binary(min_size=1, max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array(data):
     text = np.r_[np.frombuffer(data, dtype=np.uint8).astype(np.int16) + 1, 0]
-    sa = suffix_dedup.suffix_array(text, 1000)
+    sa = suffix_dedup.suffix_array(text)
     assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
     got = suffix_dedup.common_prefixes(text, sa, np.array([0]), np.array([len(data)]), 50)
     for a, b in zip(sa[:-1], sa[1:], strict=True):

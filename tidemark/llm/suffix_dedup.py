@@ -18,8 +18,9 @@ strings cover.
   its segments are grouped by those bytes, left and right; a group of one is
   not repeated, and what only shares a frequent short passage falls apart here.
 - A group that still is larger than a shard is split over several. Each of its
-  shards hands on its strings as sorted digests, and ranges of those are merged
-  across shards by binary search.
+  shards hands on its different strings as sorted digests, one row a range of
+  them, however often a string occurs; ranges are merged across shards by binary
+  search, and what repeats goes back to the shards that hold it.
 
 Texts are shuffled by (id, hash), so copies of one text spread over all tasks.
 """
@@ -95,12 +96,13 @@ def runs(data: bytes) -> list[tuple[int, int, int, int, bool, list[int]]]:
 # --- one shard -------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``text`` (small non-negative numbers under 512) sorted by their first ``depth`` symbols or more.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions of ``text`` (small non-negative numbers under 512) sorted by their suffixes.
 
     Suffixes are grouped by 7 packed symbols, then groups of several are split
     by the ranks of the suffixes that follow, the known length doubling each
-    time; suffixes that stand alone are not touched again.
+    time, until all stand alone; those that do are not touched again. The order
+    must be whole: common prefixes rest on it.
     """
     n = len(text)
     padded = np.r_[text.astype(np.int64), np.zeros(8, dtype=np.int64)]
@@ -113,11 +115,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n + 1, dtype=np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, slots, 0)) + 1 if n else 0
     known = 7
-    while known < depth:
+    while True:
         alone = new & np.r_[new[1:], True]
         keep = ~alone
         if not keep.any():
-            break
+            return sa
         slots, pos = slots[keep], sa[slots[keep]]
         second = rank[np.minimum(pos + known, n)]
         both = rank[pos] * (n + 2) + second
@@ -127,7 +129,6 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         new = np.r_[True, both[1:] != both[:-1]]
         rank[pos] = np.maximum.accumulate(np.where(new, slots, 0)) + 1
         known *= 2
-    return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -170,7 +171,7 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     for at, s in zip(starts.tolist(), segments, strict=True):
         text[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int16) + 1
     counts = sizes - LENGTH + 1
-    sa = suffix_array(text, LENGTH)
+    sa = suffix_array(text)
     prefix = common_prefixes(text, sa, starts, counts, LENGTH)
     # a prefix is known where a start is valid; a start's successor with 400 equal bytes is valid too
     long = prefix >= LENGTH
@@ -180,7 +181,9 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     return [marked[a : a + c] for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
 
 
-_MARK = "did bigint, key bigint, firsts array<int>, lasts array<int>, range int, digests array<bigint>, more array<bigint>"
+#: Rows without ``did`` are a range's different digests, with the least and the greatest place of each.
+_MARK = "shard int, did bigint, key bigint, firsts array<int>, lasts array<int>, range int, digests array<bigint>, more array<bigint>, least array<bigint>, most array<bigint>"
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,47 +191,86 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+def _places(did: int, key: int, starts: np.ndarray) -> np.ndarray:
+    """A number for every place; a place that two shards hold has one number."""
+    row = np.uint64(xxhash.xxh64_intdigest(f"{did},{key}"))
+    return (row + starts.astype(np.uint64) * _PLACE).view(np.int64)
+
+
+def _different(pairs: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows of ``pairs``, sorted, with the least and greatest place of each."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, least, most = pairs[order], least[order], most[order]
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
+    return pairs[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+
+
 def _shard(ranges: int):
     """A shard's work: ranges of repeated starts, a row a segment; of split groups also every string's digest.
 
-    Digests go out sorted, an array for each of ``ranges`` ranges of them.
+    Digests fall into ``ranges`` ranges; a segment's go out as an array a range.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a segment may be in two groups of one shard; its strings are one place each
         pdf = pdf.sort_values("split", ascending=False).drop_duplicates("segment")
-        rows = []
+        rows, held = [], {}
         for row, own in zip(pdf.itertuples(index=False), repeated_starts(pdf["segment"].tolist()), strict=True):
             first, last = _spans(own)
             if len(first):
-                rows.append((row.did, row.key, row.first + first, row.first + last, -1, None, None))
+                rows.append((row.shard, row.did, row.key, row.first + first, row.first + last, -1, None, None, None, None))
             if row.split:
                 view = memoryview(row.segment)
-                raw = b"".join(xxhash.xxh3_128_digest(view[p : p + LENGTH]) for p in range(len(own)))
-                pair = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                at = (pair[order, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+                pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[p : p + LENGTH]) for p in range(len(own))), dtype="<i8").reshape(-1, 2)
+                at = (pair[:, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64) if len(pair) else np.zeros(0, np.int64)
                 for r in np.unique(at).tolist():
-                    some = order[at == r]
-                    rows.append((row.did, row.key, row.first + some, None, r, pair[some, 0], pair[some, 1]))
-        return pd.DataFrame(rows, columns=["did", "key", "firsts", "lasts", "range", "digests", "more"])
+                    some = np.flatnonzero(at == r)
+                    starts = row.first + some
+                    rows.append((row.shard, row.did, row.key, starts, None, r, pair[some, 0], pair[some, 1], None, None))
+                    held.setdefault(r, []).append((pair[some], _places(row.did, row.key, starts)))
+        for r, parts in held.items():
+            places = np.concatenate([p for _, p in parts])
+            pairs, least, most = _different(np.concatenate([x for x, _ in parts]), places, places)
+            rows.append((pdf["shard"].iloc[0], None, None, None, None, r, pairs[:, 0], pairs[:, 1], least, most))
+        names = ["shard", "did", "key", "firsts", "lasts", "range", "digests", "more", "least", "most"]
+        # as objects first: numbers beside nulls would become floats
+        return pd.DataFrame(rows, columns=names, dtype=object).astype({"shard": "int32", "did": "Int64", "key": "Int64", "range": "int32"})
 
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings that start at another place too: each is looked up in the sorted digests of all shards.
+def _pairs(row) -> np.ndarray:
+    return np.stack([np.asarray(row.digests, dtype=np.int64), np.asarray(row.more, dtype=np.int64)], axis=1)
 
-    A place that two shards have handed on counts once.
-    """
-    pdf = pdf.drop_duplicates(["did", "key", "first"])
-    pairs = [np.rec.fromarrays([np.asarray(d, dtype=np.int64), np.asarray(m, dtype=np.int64)], names="digest,more") for d, m in zip(pdf["digests"], pdf["more"], strict=True)]
-    total, rows = np.sort(np.concatenate(pairs)), []
-    for did, key, firsts, pair in zip(pdf["did"], pdf["key"], pdf["firsts"], pairs, strict=True):
-        held = np.searchsorted(total, pair, side="right") - np.searchsorted(total, pair, side="left")
-        found = np.asarray(firsts)[held > 1]
-        if len(found):
-            rows.append((did, key, found, found))
+
+def _in(pairs: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which rows of ``pairs`` are in ``found``, which is sorted: by binary search."""
+    as_rows = lambda x: np.rec.fromarrays([x[:, 0], x[:, 1]], names="digest,more")
+    at = np.searchsorted(as_rows(found), as_rows(pairs))
+    return (at < len(found)) & (found[np.minimum(at, len(found) - 1)] == pairs).all(axis=1) if len(found) else np.zeros(len(pairs), dtype=bool)
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strings of a range that start at two places or more, for each shard that holds them."""
+    own = [_pairs(r) for r in pdf.itertuples(index=False)]
+    pairs, least, most = _different(np.concatenate(own), np.concatenate(pdf["least"].tolist()), np.concatenate(pdf["most"].tolist()))
+    repeated, rows = pairs[least != most], []
+    for row, mine in zip(pdf.itertuples(index=False), own, strict=True):
+        held = mine[_in(mine, repeated)]
+        if len(held):
+            rows.append((row.shard, row.range, held[:, 0], held[:, 1]))
+    return pd.DataFrame(rows, columns=["shard", "range", "digests", "more"])
+
+
+def _return(places: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """The starts of a shard and range whose strings repeat."""
+    rows = []
+    if len(found):
+        repeated = _pairs(found.iloc[0])
+        for row in places.itertuples(index=False):
+            starts = np.asarray(row.firsts)[_in(_pairs(row), repeated)]
+            if len(starts):
+                rows.append((row.did, row.key, starts, starts))
     return pd.DataFrame(rows, columns=["did", "key", "firsts", "lasts"])
 
 
@@ -280,9 +322,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     )
     handed = dealt.where("split").agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
     marks = staged(cut.groupBy("shard").applyInPandas(_shard(max(1, handed // MERGE_ROWS)), _MARK), "marks")
+    ranges = "did bigint, key bigint, firsts array<int>, lasts array<int>"
     inside = marks.where("range < 0").select("did", "key", "firsts", "lasts")
-    # a segment is named by its smallest start here, so that two shards' rows for it are seen to be one
-    across = marks.where("range >= 0").withColumn("first", F.array_min("firsts")).groupBy("range").applyInPandas(_merge, "did bigint, key bigint, firsts array<int>, lasts array<int>")
+    repeated = marks.where("did IS NULL").select("shard", "range", "digests", "more", "least", "most").groupBy("range").applyInPandas(_merge, "shard int, range int, digests array<bigint>, more array<bigint>")
+    places = marks.where("range >= 0 AND did IS NOT NULL").select("shard", "range", "did", "key", "firsts", "digests", "more")
+    across = places.groupBy("shard", "range").cogroup(repeated.groupBy("shard", "range")).applyInPandas(_return, ranges)
     return whole.select("did", "key", F.array("first").alias("firsts"), F.array("last").alias("lasts")).unionByName(inside).unionByName(across)
 
 
