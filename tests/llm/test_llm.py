@@ -382,12 +382,41 @@ def tok():
 def test_tree_concatenation_is_exact(parts, piece):
     tok, text = bpe.load(bpe.default_path()), "".join(parts)
     want = tok.encode(text, add_special_tokens=False).ids
-    assert bpe.Encoder(bpe.default_path()).ids([text, text]) == [want, want]
-    nodes = [(b, text[b : b + piece], bpe._spans(tok, text[b : b + piece], b)) for b in range(0, len(text), piece)]
-    while len(nodes) > 1:
-        pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]
-        nodes = [p[0] if len(p) == 1 else (p[0][0], p[0][1] + p[1][1], bpe.join_tokens(tok, p[0][1] + p[1][1], p[0][0], p[1][0], p[0][2], p[1][2])) for p in pairs]
-    assert nodes[0][2][0].tolist() == want
+    encoder = bpe.Encoder(bpe.default_path())
+    ids = encoder.ids([text, "", text])
+    assert [np.frombuffer(x, dtype="<i4").tolist() for x in ids] == [want, [], want]
+    assert encoder.decode(ids).to_pylist() == [tok.decode(x, skip_special_tokens=False) for x in (want, [], want)]
+    for spans in (lambda t, at: bpe._spans(tok, t, at), encoder.spans):
+        nodes = [(b, text[b : b + piece], spans(text[b : b + piece], b)) for b in range(0, len(text), piece)]
+        while len(nodes) > 1:
+            pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]
+            nodes = [p[0] if len(p) == 1 else (p[0][0], p[0][1] + p[1][1], bpe.join_tokens(tok, p[0][1] + p[1][1], p[0][0], p[1][0], p[0][2], p[1][2])) for p in pairs]
+        assert nodes[0][2][0].tolist() == want
+
+
+def test_known_places_are_the_librarys(tok):
+    text = "It's 42 words, é ß or so...  and\tmore\n don't " * 5
+    ids, starts = bpe.Encoder(bpe.default_path()).spans(text, 100)
+    want, places = bpe._spans(tok, text, 100)
+    assert ids.tolist() == want.tolist()
+    assert [(i, a) for i, a in enumerate(starts.tolist()) if a >= 0] == [(i, a) for i, a in enumerate(places.tolist()) if a == 100 or text[a - 101].isspace()]
+
+
+@pytest.mark.parametrize("forget", [None, 0])
+def test_other_files_go_to_the_library(spark, monkeypatch, forget):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if forget is not None:
+        monkeypatch.setattr(bpe, "REMEMBERED", forget)
+    texts = ["It's GOOD, isn't it?\n\n  Yes 日本", None, "the cat sat on the mat " * 200, "ß" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        other = Tokenizer.from_file(public_tokenizers.path(name))
+        assert bpe.splits_at_white_space(public_tokenizers.path(name)) == name.startswith("word")
+        for r in bpe.encode(docs, public_tokenizers.path(name), piece=300).collect():
+            want = other.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert r["ids"] == want and r["decoded"] == other.decode(want, skip_special_tokens=False)
 
 
 def test_long_unsplit_texts(spark, tok):
