@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNSIGNED = "decimal(20,0)"
 #: The largest unsigned 64-bit number and the most bytes of a largest binary key.
@@ -47,6 +48,15 @@ def max_key(size: int | None = None) -> Column:
     return F.lit(str(MAX_UNSIGNED)).cast(UNSIGNED) if size is None else F.lit(b"\xff" * min(size, MAX_BINARY_BYTES))
 
 
+def key_text(key: Column, kind: T.DataType) -> Column:
+    """A key of any type as text that ``key_value`` makes the same key of: bytes in hexadecimal digits."""
+    return to_hex(key) if isinstance(kind, T.BinaryType) else key.cast("string")
+
+
+def key_value(text: Column, kind: T.DataType) -> Column:
+    return from_hex(text) if isinstance(kind, T.BinaryType) else text.cast(kind)
+
+
 def compare(a: Column, b: Column) -> Column:
     return F.when(a < b, F.lit(-1)).when(a == b, F.lit(0)).when(a > b, F.lit(1))
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Events of a key up to which they are folded as one array; longer histories are folded as a stream.
 FOLD_AT_ONCE = 10_000
 
@@ -94,55 +96,78 @@ def apply_changes(target: DataFrame, events: DataFrame, key: str, at_once: int =
     that equals their old row in all columns, nulls too. Keys without events
     pass by; of the target only the rows themselves are read.
 
-    A key's events are folded as one array. A key with more than ``at_once``
-    goes another way, sorted and streamed through one task with nothing but
-    the current row in memory; its result is the same.
+    A key's events are folded as one array. Keys with more than ``at_once``
+    go another way, sorted and streamed through a task with nothing but the
+    current row in memory; the result is the same for every type. Whether there
+    are any is counted first, in a log of more than ``at_once`` events.
     """
-    row = F.struct(*(F.col(c) for c in target.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in target.columns))
     base = target.select(F.col(key).alias("key"), row.alias("row"))
     order = ["position", "row_at"] if "row_at" in events.columns else ["position"]
     slim = events.select("key", *order, "op", "old", "new")
-    counts = slim.groupBy("key").agg(F.count("*").alias("n"))
-    long = counts.where(F.col("n") > at_once).select("key")
-    short = slim.join(long, "key", "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*order, "op", "old", "new"))).alias("events"))
     start = F.struct(F.col("row").isNotNull().alias("there"), F.col("row").alias("row"))
-    joined = base.join(short, "key", "full_outer")
-    folded = F.when(F.col("events").isNull(), start).otherwise(F.aggregate("events", start, _step))
-    some = joined.join(long, "key", "left_anti").select("key", folded.alias("s")).where("s.there").select("s.row.*")
-    return some.unionByName(_streamed(base, slim, long, order, target))
-
 
-def _streamed(base: DataFrame, events: DataFrame, long: DataFrame, order: list[str], target: DataFrame) -> DataFrame:
-    """The fold of keys with long histories: rows as JSON, event after event."""
-    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    first = base.join(long, "key", "left_semi").select("key", *(F.lit(None).cast("bigint").alias(c) for c in order), F.lit("0").alias("op"), F.lit(None).cast("string").alias("old"), text("row").alias("new"))
-    then = events.join(long, "key", "left_semi").select("key", *(F.col(c).cast("bigint").alias(c) for c in order), "op", text("old").alias("old"), text("new").alias("new"))
+    def folded(base: DataFrame, some: DataFrame) -> DataFrame:
+        by_key = some.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*order, "op", "old", "new"))).alias("events"))
+        state = F.when(F.col("events").isNull(), start).otherwise(F.aggregate("events", start, _step))
+        return base.join(by_key, "key", "full_outer").select(state.alias("s")).where("s.there").select("s.row.*")
+
+    if slim.limit(at_once + 1).count() <= at_once:
+        return folded(base, slim)
+    long = written(slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("key"), "long")
+    if long.isEmpty():
+        return folded(base, slim)
+    rest = folded(base.join(long, "key", "left_anti"), slim.join(long, "key", "left_anti"))
+    return rest.unionByName(_streamed(base.join(long, "key", "left_semi"), slim.join(long, "key", "left_semi"), order, target))
+
+
+def _equal(a: object, b: object) -> bool:
+    """As Spark's null-safe comparison: NaN equals NaN, minus zero zero."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return all(_equal(x, y) for x, y in zip(a.values(), b.values(), strict=True))
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(_equal(x, y) for x, y in zip(a, b, strict=True))
+    return a is b or a == b or (a != a and b != b)
+
+
+def _streamed(base: DataFrame, events: DataFrame, order: list[str], target: DataFrame) -> DataFrame:
+    """The fold of keys with long histories, event after event; rows stay Arrow values of their own types."""
+    kind = target.schema
+    first = base.select("key", *(F.lit(None).cast("bigint").alias(c) for c in order), F.lit("0").alias("op"), F.lit(None).cast(kind).alias("old"), F.col("row").cast(kind).alias("new"))
+    then = events.select("key", *(F.col(c).cast("bigint").alias(c) for c in order), "op", F.col("old").cast(kind).alias("old"), F.col("new").cast(kind).alias("new"))
     dealt = first.unionByName(then).repartition("key").sortWithinPartitions("key", *(F.col(c).asc_nulls_first() for c in order))
-    named = dealt.select(F.col("key").cast("string").alias("key"), "op", "old", "new")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, row = None, None
-        for pdf in frames:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = object()
+        key, row, held = nothing, None, None  # held: the row's Arrow array, of length one
+
+        def flat(rows: list[pa.StructArray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(pa.concat_arrays(rows).flatten(), names=kind.names)
+
+        for batch in batches:
             out = []
-            for k, op, old, new in zip(pdf["key"], pdf["op"], pdf["old"], pdf["new"], strict=True):
-                if k != key:
+            keys, ops, olds, news = (batch.column(i) for i in (0, *range(len(order) + 1, len(order) + 4)))
+            for i, (k, op, old, new) in enumerate(zip(keys.to_pylist(), ops.to_pylist(), olds.to_pylist(), news.to_pylist(), strict=True)):
+                if key is nothing or k != key:
                     if row is not None:
-                        out.append(row)
-                    key, row = k, None
-                if op == "0" or op == "I" and row is None or op == "U" and row is not None and row == old:
-                    row = new
-                elif op == "D" and row is not None and row == old:
-                    row = None
-            yield pd.DataFrame({"row": out}, dtype=object)
+                        out.append(held)
+                    key, row, held = k, None, None
+                if op == "0" or op == "I" and row is None or op == "U" and row is not None and _equal(row, old):
+                    row, held = new, news.slice(i, 1)
+                elif op == "D" and row is not None and _equal(row, old):
+                    row, held = None, None
+            if out:
+                yield flat(out)
         if row is not None:
-            yield pd.DataFrame({"row": [row]})
+            yield flat([held])
 
-    return named.mapInPandas(fold, "row string").select(F.from_json("row", target.schema).alias("r")).select("r.*")
+    return dealt.mapInArrow(fold, kind)
 
 
 def latest_images(events: DataFrame) -> DataFrame:
     """key and the last event's new row, deleted keys left out: the fold of a log whose old rows all match."""
-    last = events.groupBy("key").agg(F.max_by(F.struct("op", "new"), "position").alias("last"))
+    at = F.struct("position", "row_at") if "row_at" in events.columns else F.col("position")
+    last = events.groupBy("key").agg(F.max_by(F.struct("op", "new"), at).alias("last"))
     return last.where("last.op <> 'D'").select("key", "last.new")
 
 

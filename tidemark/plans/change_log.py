@@ -101,6 +101,25 @@ def cdc_apply_long_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_changes(fixtures.balances(spark, sf_dir), fixtures.change_log(spark, sf_dir), "k", at_once=50)
 
 
+def _typed(v):
+    """Columns of several types made of a number."""
+    micros = F.timestamp_micros(v * 1000 + 123456)
+    return [v.alias("v"), micros.alias("at"), (v / 8).cast("double").alias("d"), v.cast("decimal(20,4)").alias("amount"), v.cast("string").cast("binary").alias("raw")]
+
+
+@query(f"SELECT k, v, v * 1000 + 123456 AS at, v / 8 AS d, v::VARCHAR || '.0000' AS amount, hex(v::VARCHAR) AS raw, 0::DOUBLE AS zero FROM ({_fold_sql(BALANCES)})")
+def cdc_apply_long_histories_of_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long histories of rows with times, fractions, decimals and bytes; old rows say minus zero where the table says zero."""
+    def row(c: str, zero: str):
+        v = F.col(f"{c}.v")
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.k").alias("k"), *_typed(v), F.lit(float(zero)).alias("zero"))).alias(c)
+
+    log = fixtures.change_log(spark, sf_dir).select("position", "op", "key", row("old", "-0.0"), row("new", "0.0"))
+    base = fixtures.balances(spark, sf_dir).select("k", *_typed(F.col("v")), F.lit(0.0).alias("zero"))
+    done = changes.apply_changes(base, log, "k", at_once=50)
+    return done.select("k", "v", F.unix_micros("at").alias("at"), "d", F.col("amount").cast("string").alias("amount"), F.hex("raw").alias("raw"), "zero")
+
+
 @query(f"SELECT key AS k, v FROM (SELECT key, arg_max(op, position) AS op, arg_max(coalesce(new_v, -1), position) AS v FROM {LOG} GROUP BY key) WHERE op <> 'D'")
 def cdc_latest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key's last row."""
