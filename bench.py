@@ -31,7 +31,7 @@ def copy_and_verify(spark, sf_dir: str, name: str, key: str) -> tuple[float, int
 
     source = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows, out = source.count(), f"file://{tempfile.mkdtemp(prefix='bench-')}"
-    table = Table(name, key, lambda: source, TableStore(spark, f"{out}/{name}", source.schema, key, 8))
+    table = Table(name, key, lambda: source, TableStore(spark, f"{out}/{name}", source.schema, key))
     began = time.time()
     Migration(spark, [table], T.StructType(), f"{out}/run", enforce=True).copy()
     return time.time() - began, rows

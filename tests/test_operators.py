@@ -213,7 +213,7 @@ def test_threads_take_turns(spark, tmp_path):
     one = lambda i: store.add(spark.createDataFrame([("d", "t", i)], "db string, table_name string, key bigint"))
     with ThreadPoolExecutor(3) as pool:
         list(pool.map(one, range(6)))
-    assert rows(store.entries()) == [("d", "t", i, 1) for i in range(6)]
+    assert rows(store.entries()) == [("d", "t", str(i), 1) for i in range(6)]
 
 
 def test_events_after_cutover_are_an_error(spark, tmp_path):
@@ -221,7 +221,7 @@ def test_events_after_cutover_are_an_error(spark, tmp_path):
     e = spark.createDataFrame([("d", "t", 1)], "db string, table_name string, key bigint")
     store.add(e)
     store.add(e)
-    assert rows(store.entries()) == [("d", "t", 1, 2)]
+    assert rows(store.entries()) == [("d", "t", "1", 2)]
     store.closed = True
     with pytest.raises(RuntimeError):
         store.add(e)

@@ -1,10 +1,15 @@
-"""A table of Parquet files that is changed bucket by bucket.
-
-Rows are dealt into buckets by a hash of the key. A change writes the touched
-buckets anew and then a manifest that names each bucket's files; the manifest
-appears by a rename, so readers see all of a change or nothing. It also holds
-the last batch applied, so that a batch that is delivered again is not applied
-again.
+"""A table of Parquet files that is changed by key.
+
+The rows lie in a base, dealt into buckets by a hash of the key and sorted by it
+in each; there are as many buckets as the table's size asks for. A change writes
+what it makes of its keys beside the base, as a delta: the rows that are there
+now and the keys that are gone. Readers take the newest of each key. When deltas
+have grown to a share of the base, or are many, all is written anew as a base,
+so that a row is rewritten a bounded number of times.
+
+A manifest names the base and the deltas; it appears by a rename, so readers see
+all of a change or nothing. It also holds the last batch of each log that was
+applied, so that a batch that is delivered again is not applied again.
 """
 
 from __future__ import annotations
@@ -14,30 +19,47 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a bucket, deltas after which the base is written anew, and the share of its rows that they may hold.
+ROWS_A_BUCKET, MOST_DELTAS, DELTA_SHARE = 1_000_000, 12, 0.25
+#: Versions whose files stay when a base is written anew, for those who still read them.
+KEPT_VERSIONS = 20
+#: Buckets from which on a change looks up which of them its keys fall into.
+PRUNED_FROM = 16
+
 
 class TableStore:
-    """``path`` holds the data and the manifests; works on any file system Spark writes to."""
+    """``path`` holds the data and the manifests; works on any file system Spark writes to.
+
+    ``buckets``: a fixed number, or None for one by size. Keys may have any
+    type that Spark hashes; a null key is a key like any other in a base, and
+    can't be changed.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int | None = None):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
         self._writing = threading.RLock()  # threads of one run take turns; another run's change is an error
 
+    # --- manifests ---
+
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict:
-        """The newest manifest: version, files by bucket, last batch."""
+    def _manifests(self) -> list[str]:
         folder, fs = self._fs(f"{self.path}/manifests")
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        newest = max((n for n in names if n.endswith(".json")), default=None)
-        if newest is None:
-            return {"version": 0, "buckets": {}, "batch": -1}
-        at, fs = self._fs(f"{self.path}/manifests/{newest}")
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def manifest(self, name: str | None = None) -> dict:
+        """The newest manifest: version, base, its buckets and rows, deltas (path, rows), last batch by log."""
+        name = name or next(iter(self._manifests()[::-1]), None)
+        if name is None:
+            return {"version": 0, "base": None, "buckets": 0, "rows": 0, "deltas": [], "batches": {}}
+        at, fs = self._fs(f"{self.path}/manifests/{name}")
         stream = fs.open(at)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -55,40 +77,122 @@ class TableStore:
             fs.delete(tmp, False)
             raise RuntimeError(f"another writer has published version {manifest['version']} of {self.path}")
 
-    def bucket(self):
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+    # --- reading ---
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(max(1, buckets))).cast("int")
+
+    def _delta_schema(self) -> T.StructType:
+        return T.StructType([T.StructField(self.key, self.schema[self.key].dataType), T.StructField("__gone", T.BooleanType()), T.StructField("__version", T.LongType()), T.StructField("__row", self.schema)])
+
+    def _newest(self, now: dict) -> DataFrame:
+        """Key, __gone and __row of every key that a delta holds."""
+        deltas = self.spark.read.schema(self._delta_schema()).parquet(*(p for p, _ in now["deltas"]))
+        if len(now["deltas"]) == 1:
+            return deltas.select(self.key, "__gone", "__row")
+        last = F.max_by(F.struct("__gone", "__row"), "__version").alias("last")
+        return deltas.groupBy(self.key).agg(last).select(self.key, "last.__gone", "last.__row")
+
+    def _read(self, now: dict, buckets: list[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        of = (lambda df: df) if keys is None else (lambda df: df.join(keys, self.key, "left_semi"))
+        if now["base"] is None:
+            base = self.spark.createDataFrame([], self.schema)
+        else:
+            held = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(now["base"])
+            base = of((held if buckets is None else held.where(F.col("__bucket").isin(buckets))).select(*self.schema.names))
+        if not now["deltas"]:
+            return base
+        newest = of(self._newest(now))
+        return base.join(newest.select(self.key), self.key, "left_anti").unionByName(newest.where("NOT __gone").select("__row.*"))
+
+    def read(self) -> DataFrame:
+        """The table as it is now."""
+        return self._read(self.manifest())
+
+    # --- writing ---
+
+    def _write_base(self, rows: DataFrame, count: int, path: str) -> tuple[int, int]:
+        """Buckets and rows of a new base."""
+        buckets = self.buckets or max(1, -(-count // ROWS_A_BUCKET))
+        dealt = rows.select(*self.schema.names).withColumn("__bucket", self._bucket(buckets))
+        dealt.repartition(buckets, "__bucket").sortWithinPartitions("__bucket", self.key).write.partitionBy("__bucket").parquet(path)
+        return buckets, self._count(path)
+
+    def _count(self, path: str) -> int:
+        """Rows of files just written; Spark reads their footers only."""
+        return self.spark.read.schema(T.StructType([])).parquet(path).count()
+
+    def replace(self, rows: DataFrame, batches: dict[str, int] | None = None) -> None:
+        """Put ``rows`` in the place of all that is there."""
+        with self._writing:
+            now = self.manifest()
+            path = f"{self.path}/base-{now['version'] + 1}-{uuid.uuid4().hex}"
+            count = now["rows"] + sum(n for _, n in now["deltas"])
+            if not (self.buckets or count):
+                count = rows.count()
+            buckets, n = self._write_base(rows, count, path)
+            self._publish({"version": now["version"] + 1, "base": path, "buckets": buckets, "rows": n, "deltas": [], "batches": now["batches"] | (batches or {})})
+
+    def compact(self) -> None:
+        """Write base and deltas anew as one base; files that no kept version names are deleted."""
+        with self._writing:
+            if self.manifest()["deltas"]:
+                self.replace(self.read())
+            self.vacuum()
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        """The table, or those of its buckets."""
-        held = self.manifest()["buckets"]
-        paths = [p for b, p in held.items() if buckets is None or int(b) in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def vacuum(self, keep: int = KEPT_VERSIONS) -> int:
+        """Delete the manifests before the last ``keep``, and the files that only those name."""
+        with self._writing:
+            names = self._manifests()
+            kept = [self.manifest(n) for n in names[-max(1, keep) :]]
+            needed = {p.rsplit("/", 1)[-1] for m in kept for p in [m["base"] or "", *(d for d, _ in m["deltas"])]}
+            for n in names[: -max(1, keep)]:
+                at, fs = self._fs(f"{self.path}/manifests/{n}")
+                fs.delete(at, False)
+            folder, fs = self._fs(self.path)
+            gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith(("base-", "delta-")) and s.getPath().getName() not in needed] if fs.exists(folder) else []
+            for p in gone:
+                fs.delete(p, True)
+            return len(gone)
+
+    def _delta(self, now: dict, rows: DataFrame, batches: dict[str, int]) -> None:
+        path, version = f"{self.path}/delta-{now['version'] + 1}-{uuid.uuid4().hex}", now["version"] + 1
+        rows.withColumn("__version", F.lit(version).cast("bigint")).select(*self._delta_schema().names).write.parquet(path)
+        n = self._count(path)
+        deltas = [*now["deltas"], [path, n]] if n else now["deltas"]
+        self._publish(now | {"version": version, "deltas": deltas, "batches": now["batches"] | batches})
+        if len(deltas) > MOST_DELTAS or sum(n for _, n in deltas) > max(ROWS_A_BUCKET, DELTA_SHARE * now["rows"]):
+            self.compact()
+
+    def insert(self, rows: DataFrame) -> None:
+        """Add the rows whose key is not there; of several with one key the least."""
+        from ..operators.changes import insert_ignore
 
-    def change(self, buckets: list[int], rows: DataFrame, batch: int | None = None) -> None:
-        """Put ``rows`` in the place of what the buckets hold."""
         with self._writing:
-            self._change(buckets, rows, batch)
-
-    def _change(self, buckets: list[int], rows: DataFrame, batch: int | None) -> None:
-        now = self.manifest()
-        version = now["version"] + 1
-        folder = f"{self.path}/v{version}-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).withColumn("__bucket", self.bucket()).repartition(max(1, len(buckets)), "__bucket").write.partitionBy("__bucket").parquet(folder)
-        kept = {b: p for b, p in now["buckets"].items() if int(b) not in buckets}
-        for b in buckets:
-            at, fs = self._fs(f"{folder}/__bucket={b}")
-            if fs.exists(at):
-                kept[str(b)] = f"{folder}/__bucket={b}"
-        self._publish({"version": version, "buckets": kept, "batch": now["batch"] if batch is None else batch})
-
-    def update(self, keys: DataFrame, fold: Callable[[DataFrame], DataFrame], batch: int | None = None) -> None:
-        """Change the buckets that ``keys`` fall into: ``fold`` gets their rows and returns the new ones.
-
-        At most ``buckets`` numbers come to the driver.
+            now = self.manifest()
+            new = insert_ignore(self._read(now), rows.select(*self.schema.names), self.key)
+            if now["base"] is None and not now["deltas"]:
+                self.replace(new)
+            else:
+                self._delta(now, new.select(self.key, F.lit(False).alias("__gone"), F.struct(*(f"`{c}`" for c in self.schema.names)).alias("__row")), {})
+
+    def update(self, keys: DataFrame, fold: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> bool:
+        """Change the rows of ``keys``: ``fold`` gets those that are there and returns those that shall be there.
+
+        Keys that it returns no row of are deleted. False if the batch (log, number) was applied before.
         """
-        touched = [r["b"] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
         with self._writing:
-            if touched or batch is not None:
-                self._change(touched, fold(self.read(touched)), batch)
+            now = self.manifest()
+            if batch and now["batches"].get(batch[0], -1) >= batch[1]:
+                return False
+            batches = {batch[0]: batch[1]} if batch else {}
+            if now["base"] is None and not now["deltas"]:
+                self.replace(fold(self._read(now)), batches)
+                return True
+            wanted = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+            touched = None
+            if now["buckets"] >= PRUNED_FROM:  # as many numbers as there are buckets, at most
+                touched = [r["b"] for r in wanted.select(self._bucket(now["buckets"]).alias("b")).distinct().collect()]
+            after = fold(self._read(now, touched, wanted)).select(F.col(self.key), F.struct(*(f"`{c}`" for c in self.schema.names)).alias("__row"))
+            self._delta(now, wanted.join(after, self.key, "left").select(self.key, F.col("__row").isNull().alias("__gone"), "__row"), batches)
+            return True

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.keys import key_text
 from ..operators import changes
 from ..sources.store import TableStore
 
@@ -22,20 +23,21 @@ def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return stream.where(F.col("position") > after) if after else stream
 
 
-def applier(store: TableStore, gate: Gate | None = None, listeners: tuple[Listener, ...] = ()) -> Listener:
+def applier(store: TableStore, gate: Gate | None = None, listeners: tuple[Listener, ...] = (), log: str = "log", prepared: Callable[[DataFrame], DataFrame] | None = None) -> Listener:
     """A batch function: fold the batch into the store once, then tell the listeners, in order.
 
-    A batch that the store has already is not folded again. ``gate`` is called
+    ``prepared`` makes events (key, position, op, old, new) of what the log
+    holds. A batch that the store has already is not folded again; listeners
+    are told with its number and see to that themselves. ``gate`` is called
     before a batch and may hold it back.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if gate:
             gate()
-        batch.persist()
+        batch = (prepared(batch) if prepared else batch).persist()
         try:
-            if batch_id > store.manifest()["batch"]:
-                store.update(batch.select(F.col("key").alias(store.key)), lambda rows: changes.apply_changes(rows, batch, store.key), batch_id)
+            store.update(batch.select(F.col("key").alias(store.key)), lambda rows: changes.apply_changes(rows, batch, store.key), (log, batch_id))
             for listener in listeners:
                 listener(batch, batch_id)
         finally:
@@ -50,33 +52,44 @@ def start(stream: DataFrame, run: Listener, checkpoint: str, seconds: float | No
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-STORE_SCHEMA = "db string, table_name string, key bigint, changes bigint"
+STORE_SCHEMA = "id string, db string, table_name string, key string, changes bigint"
 
 
 class ReverifyStore:
-    """Counts of changes by key, in buckets of files; a key stays until as many were verified as were added."""
+    """Counts of changes by key; a key stays until as many were verified as were added.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
-        self.store = TableStore(spark, path, T._parse_datatype_string(STORE_SCHEMA), "key", buckets)
+    Keys of all types are held as text (``keys.key_text``), beside their table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.store = TableStore(spark, path, T._parse_datatype_string(STORE_SCHEMA), "id", buckets)
         self.closed = False
 
-    def add(self, events: DataFrame, batch_id: int | None = None) -> None:
-        """Count the events' keys; after cutover began none may come."""
-        counted = changes.changes_by_key(events)
+    @staticmethod
+    def _named(events: DataFrame) -> DataFrame:
+        text = key_text(F.col("key"), events.schema["key"].dataType)
+        out = events.withColumn("key", text)
+        return out.withColumn("id", F.concat_ws("\x1f", "db", "table_name", "key"))
+
+    def add(self, events: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Count the events' keys (db, table_name, key); after cutover began none may come."""
         if self.closed:
             if not events.isEmpty():
                 raise RuntimeError("an event arrived after cutover had begun")
             return
-        if batch_id is not None and batch_id <= self.store.manifest()["batch"]:
-            return
-        self.store.update(events.select("key"), lambda now: now.unionByName(counted).groupBy("db", "table_name", "key").agg(F.sum("changes").alias("changes")), batch_id)
+        named = self._named(events.select("db", "table_name", "key"))
+        counted = changes.changes_by_key(named).withColumn("id", F.concat_ws("\x1f", "db", "table_name", "key"))
+        sums = lambda now: now.unionByName(counted).groupBy("id", "db", "table_name", "key").agg(F.sum("changes").alias("changes"))
+        self.store.update(named.select("id"), sums, batch)
 
     def entries(self) -> DataFrame:
-        return self.store.read()
+        """db, table_name, key (text), changes."""
+        return self.store.read().drop("id")
 
     def take_off(self, verified: DataFrame) -> None:
-        """Less the changes that were verified."""
-        self.store.update(verified.select("key"), lambda now: changes.after_verifying(now, verified))
+        """Less the changes that were verified; what came meanwhile stays."""
+        named = self._named(verified)
+        self.store.update(named.select("id"), lambda now: changes.after_verifying(now, named))
 
     def rows(self) -> int:
         return changes.store_size(self.entries()).first()["row_count"]
