@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batch_size import PARAMETERS
+from .scan import running_sum
 
 #: Table states, in the order of a status list.
 STATES = ("waiting", "copying", "completed")
@@ -44,8 +45,7 @@ def speed(samples: DataFrame, run: str, window: int) -> DataFrame:
 
 def cumulative(deltas: DataFrame, by: str, order: str, delta: str) -> DataFrame:
     """Position so far of each table."""
-    so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("position", F.sum(delta).over(so_far))
+    return running_sum(deltas, by, order, delta, "position")
 
 
 def seconds_left(done: Column, target: Column, speed_: Column) -> Column:

@@ -22,19 +22,45 @@ def keyset_page(df: DataFrame, key: str, last: object | None, rows: int, columns
     return page.select(*columns) if columns else page
 
 
+def _in_ranges(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` sorted by ranges of ``by`` and written, with __part and __place: a row's range and its place there."""
+    sorted_ = df.repartitionByRange(_parts(df), *by).sortWithinPartitions(*by)
+    # consecutive within a partition, with the partition's number in the upper bits
+    marked = written(sorted_.withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    return marked.withColumn("__part", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+
+
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """key and its place (0, 1, ...) in the order of all keys, without a task that sees them all.
 
     Keys are sorted in ranges; a place is the rank within its range plus the
     rows of the ranges before, of which there is one number each.
     """
-    sorted_ = df.select(key).repartitionByRange(_parts(df), key).sortWithinPartitions(key)
-    # consecutive within a partition, with the partition's number in the upper bits
-    marked = written(sorted_.withColumn("__id", F.monotonically_increasing_id()), "keys")
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return marked.withColumn("__part", part).join(F.broadcast(before) if _parts(df) <= 10_000 else before, "__part").select(key, (place + F.col("__before")).alias("place"))
+    return _placed(df.select(key), [key]).select(key, "place")
+
+
+def _placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    marked = _in_ranges(df, by)
+    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return marked.join(F.broadcast(before) if _parts(df) <= 10_000 else before, "__part").withColumn("place", F.col("__place") + F.col("__before"))
+
+
+def running_sum(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row in the order of its group, however large a group is.
+
+    Rows are sorted in ranges of (by, order): a sum is that within the row's
+    range plus the group's in the ranges before, of which there is one number
+    for each range and group that meet, a group's ranges being neighbours.
+    """
+    marked = _in_ranges(df, [by, order])
+    group = F.col(by).eqNullSafe(F.col("__by"))
+    sums = marked.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__p")).agg(F.sum(value).alias("__sum"))
+    ahead = Window.partitionBy("__by").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__by", "__p", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part", by).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = marked.withColumn("__in", F.sum(value).over(inside)).join(before, (F.col("__part") == F.col("__p")) & group)
+    return summed.select(*df.columns, (F.col("__in") + F.col("__before")).alias(name))
 
 
 def _parts(df: DataFrame) -> int:
@@ -49,14 +75,18 @@ def key_batches(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 def not_advancing(batches: DataFrame) -> DataFrame:
     """Batches whose last key is not beyond that of the batch before; a sound scan has none."""
-    before = F.lag("last_key").over(Window.orderBy("batch"))
-    return batches.withColumn("before", before).where("last_key <= before")
+    before = batches.select((F.col("batch") + 1).alias("batch"), F.col("last_key").alias("before"))
+    return batches.join(before, "batch").where("last_key <= before").select(*batches.columns, "before")
 
 
 def set_batches(keys: DataFrame, by: Sequence[str], key: str, rows: int) -> DataFrame:
-    """Distinct keys in batches of ``rows`` within each table: the columns of ``by``, key and batch."""
-    order = Window.partitionBy(*by).orderBy(key)
-    return keys.select(*by, key).distinct().withColumn("batch", F.floor((F.row_number().over(order) - 1) / rows).cast("bigint"))
+    """Distinct keys in batches of ``rows`` within each table: the columns of ``by``, key and batch.
+
+    Keys of all tables are numbered in ranges; a table's first number is taken off.
+    """
+    placed = _placed(keys.select(*by, key).distinct(), [*by, key])
+    firsts = placed.groupBy(*by).agg(F.min("place").alias("__first"))
+    return placed.join(firsts, list(by)).select(*by, key, F.floor((F.col("place") - F.col("__first")) / rows).cast("bigint").alias("batch"))
 
 
 def max_keys(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
