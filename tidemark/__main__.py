@@ -1,7 +1,12 @@
-"""``python -m tidemark``: copy the tables of one folder of Parquet files into stores, or compare the two.
+"""``python -m tidemark``: copy the tables of one folder of Parquet files into stores, move one tenant, or compare.
 
-    python -m tidemark copy --source DIR --target DIR --table name:key [...] [--dry-run] [--state FILE]
+    python -m tidemark copy --source DIR --target DIR --table name:key [...] [--dry-run] [--state FILE] [--batch-rows N]
+    python -m tidemark move --source DIR --target DIR --tenant COLUMN=VALUE --table name:key [...]
+                            [--joined name:key:link_table:join_column] [--keyed name:key]
     python -m tidemark diff --source DIR --target DIR --table name:key [...]
+
+``name:key:new_name`` copies a table under another name. A run that fails or is
+interrupted writes its state to ``--dump FILE`` (or prints it); ``--state`` goes on from there.
 """
 
 from __future__ import annotations
@@ -12,37 +17,76 @@ import sys
 from pyspark.sql import types as T
 
 from .operators import diff
-from .operators.migration import Migration, Table
+from .operators.migration import Migration, Table, tenant_tables
+from .operators.selection import JoinTable
+from .operators.verifiers import ChecksumVerifier, ColumnVerifier, InlineVerifier, IterativeVerifier, NoVerifier
 from .session import build_session
+from .sources.catalog import bytes_of
 from .sources.store import TableStore
 from .state import RunState
 
+VERIFIERS = {"inline": InlineVerifier, "iterative": IterativeVerifier, "checksum": ChecksumVerifier, "columns": ColumnVerifier, "none": NoVerifier}
 
-def main(args: list[str]) -> int:
+
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tidemark")
-    parser.add_argument("what", choices=["copy", "diff"])
+    parser.add_argument("what", choices=["copy", "move", "diff"])
     parser.add_argument("--source", required=True)
     parser.add_argument("--target", required=True)
-    parser.add_argument("--table", action="append", required=True, help="name:key")
-    parser.add_argument("--buckets", type=int, default=16)
+    parser.add_argument("--table", action="append", default=[], help="name:key or name:key:new_name")
+    parser.add_argument("--tenant", help="column=value, of a move")
+    parser.add_argument("--joined", action="append", default=[], help="name:key:link_table:join_column")
+    parser.add_argument("--keyed", action="append", default=[], help="name:key of a table that the tenant keys")
+    parser.add_argument("--buckets", type=int, help="a fixed number of buckets; else by size")
+    parser.add_argument("--batch-rows", type=int)
+    parser.add_argument("--verifier", choices=sorted(VERIFIERS), default="inline")
+    parser.add_argument("--enforce", action="store_true", help="fail as soon as a copied row differs")
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--state", help="a file with the state to resume from")
-    options = parser.parse_args(args)
+    parser.add_argument("--dump", help="a file for the state of a run that fails")
+    return parser
+
+
+def main(args: list[str]) -> int:
+    options = _parser().parse_args(args)
     spark = build_session()
-    tables = []
-    for named in options.table:
-        name, key = named.split(":")
+
+    def made(named: str) -> Table:
+        name, key, new_name = (*named.split(":"), None)[:3]
         path = f"{options.source}/{name}.parquet"
-        schema = spark.read.parquet(path).schema
-        tables.append(Table(name, key, lambda p=path: spark.read.parquet(p), TableStore(spark, f"{options.target}/{name}", schema, key, options.buckets)))
+        schema, new_name = spark.read.parquet(path).schema, new_name or name
+        store = TableStore(spark, f"{options.target}/{new_name}", schema, key, options.buckets)
+        return Table(new_name, key, lambda: spark.read.parquet(path), store, rows_about=bytes_of(spark, path), source_name=name)
+
+    tables = [made(x) for x in options.table]
+    if options.what == "move":
+        column, text = options.tenant.split("=", 1)
+        value = int(text) if text.lstrip("-").isdigit() else text
+
+        def linked(named: str):
+            name, key, link, join_column = named.split(":")
+            return made(f"{name}:{key}"), lambda: [JoinTable(spark.read.parquet(f"{options.source}/{link}.parquet"), column, join_column)]
+
+        tables = tenant_tables(column, value, tables, [linked(x) for x in options.joined], [made(x) for x in options.keyed])
     if options.dry_run:
         for t in tables:
-            print(f"{t.name}: key {t.key}, {t.source().count()} rows")
+            print(f"{t.name}: key {t.key}, {t.rows().count()} rows")
         return 0
-    if options.what == "copy":
+    if options.what in ("copy", "move"):
         state = RunState.loads(open(options.state).read()) if options.state else RunState()
-        done = Migration(spark, tables, T.StructType(), f"{options.target}/_run", state=state, on_error=lambda dump, error: print(dump)).run()
-        print(done.dumps())
+
+        def dump(text: str, error: BaseException) -> None:
+            if options.dump:
+                with open(options.dump, "w") as f:
+                    f.write(text)
+            else:
+                print(text)
+
+        run = Migration(
+            spark, tables, T.StructType(), f"{options.target}/_run", state=state, on_error=dump, enforce=options.enforce,
+            batch_rows=options.batch_rows, verifier=VERIFIERS[options.verifier](),
+        )
+        print(run.run().dumps())
         return 0
     bad = 0
     for t in tables:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,18 @@ def statement(row: T.StructType, db: str, table: str, json_columns: tuple[str, .
     )
 
 
+def insert_rows(rows: DataFrame, db: str, table: str, batch: Column, order: str, json_columns: tuple[str, ...] = ()) -> DataFrame:
+    """batch, row_count and one statement for the rows of each batch, in order; what is there stays.
+
+    A batch is what one statement takes, so its rows fit a task.
+    """
+    values = [literal(F.col(f"`{f.name}`"), f.dataType, f.name in json_columns) for f in rows.schema]
+    one = F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")"))
+    head = f"INSERT IGNORE INTO {quoted(db, table)} ({','.join(quoted(c) for c in rows.columns)}) VALUES "
+    by = rows.select(batch.alias("batch"), F.struct(F.col(order).alias("at"), one.alias("values")).alias("row")).groupBy("batch")
+    return by.agg(F.count("*").alias("row_count"), F.array_sort(F.collect_list("row")).alias("rows")).select("batch", "row_count", F.concat(F.lit(head), F.array_join("rows.values", ",")).alias("statement"))
+
+
 def annotated(sql: Column, annotation: str) -> Column:
     return F.concat(F.lit(f"/*{annotation}*/ "), sql)
 

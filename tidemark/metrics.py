@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import queue
+import socket
 import time
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
@@ -56,12 +57,42 @@ class Metrics:
         return n
 
 
+class StatsD:
+    """A sink that sends each metric as one datagram; a timer in milliseconds."""
+
+    #: How the protocol marks the kinds.
+    KINDS = {"count": "c", "gauge": "g", "timer": "ms"}
+
+    def __init__(self, host: str = "127.0.0.1", port: int = 8125):
+        self.address, self.socket = (host, port), socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+
+    def line(self, m: Metric) -> str:
+        value = m.value * 1000 if m.kind == "timer" else m.value
+        tags = ",".join(f"{k}:{v}" for k, v in sorted(m.tags.items()))
+        return f"{m.name}:{value:g}|{self.KINDS[m.kind]}" + (f"|#{tags}" if tags else "")
+
+    def __call__(self, m: Metric) -> None:
+        self.socket.sendto(self.line(m).encode(), self.address)
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """The rows with a count of them that the job itself takes; read it when the job has run."""
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def reporter(url: str, tags: Mapping[str, str] | None = None) -> Callable[[str, BaseException], None]:
+    """What a run's ``on_error`` may be: posts the state and the error once, and lets the run fail with its own error."""
+    sent = []
+
+    def report(state: str, error: BaseException) -> None:
+        if not sent:
+            sent.append(True)
+            post(url, {**(tags or {}), "error": f"{type(error).__name__}: {error}", "state": json.loads(state)})
+
+    return report
+
+
 def post(url: str, payload: object, timeout: float = 10.0) -> None:
     """Post a report as JSON; any answer but 200 is an error."""
     body = json.dumps({"Payload": json.dumps(payload)}).encode()

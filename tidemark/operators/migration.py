@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import Enum
@@ -11,11 +12,18 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import key_text, key_value
 from ..metrics import Metrics
+from ..scratch import written
+from ..sources.catalog import Handlers, check_columns, handled
 from ..sources.store import TableStore
 from ..state import RunState
 from ..streaming.apply import ReverifyStore, applier, log_stream, start
-from . import changes, diff
+from . import changes, progress, scan
+from .filters import AllRows, CopyFilter, JoinedRows, PrimaryKeyRow, TenantRows
+from .selection import JoinTable
+from .verifiers import SMALL, InlineVerifier, Verifier
+from .verifiers import VerificationFailed as VerificationFailed
 
 
 class Stage(Enum):
@@ -27,12 +35,14 @@ class Stage(Enum):
     DONE = "done"
 
 
-#: Passes over the re-verify store before cutover, and the rows it may still hold after them.
-PASSES, SMALL = 30, 1000
+#: Fixed value: seconds by which a log's last event may be old for a run to count as almost caught up.
+ALMOST = 10.0
+#: Rows between two places at which a batch may end.
+STEP = 1000
 
 
-class VerificationFailed(RuntimeError):
-    """Source and target differ; the text names the rows."""
+class Stopped(RuntimeError):
+    """A run was asked to stop; its state says where to go on."""
 
 
 class Throttler:
@@ -78,8 +88,14 @@ def retried(action: Callable[[], object], times: int, wait: float = 0.0) -> obje
 class Table:
     """One table of a run. ``source`` reads its rows as they are now; ``log`` is its change log's folder.
 
-    ``when``: 'copy' before cutover, 'delta' once more at cutover (rows of
-    joined tables, whose events name no tenant), 'last' at cutover only.
+    ``filter`` says which rows and events are the run's. ``when``: 'copy'
+    before cutover, 'delta' once more at cutover (rows of joined tables, whose
+    events name no tenant), 'last' at cutover only.
+
+    A log holds either events (key, position, op, old, new) or raw row events
+    (position, db, table_name, op, rows), also of other tables with the same
+    columns; ``source_db`` and ``source_name`` are the names it knows, if the
+    table is renamed. Raw logs with event types pass ``handlers`` first.
     """
 
     name: str
@@ -87,16 +103,60 @@ class Table:
     source: Callable[[], DataFrame]
     target: TableStore
     log: str | None = None
-    rows: int = 0
+    rows_about: int = 0
     when: str = "copy"
+    filter: CopyFilter = field(default_factory=AllRows)
+    db: str = ""
+    source_db: str | None = None
+    source_name: str | None = None
+    log_schema: object = None
+    handlers: Handlers | None = None
+    ignored: tuple[str, ...] = ()
+
+    def rows(self) -> DataFrame:
+        """The rows at the source that are the run's."""
+        return self.filter.rows(self.source())
+
+    def prepared(self, log: DataFrame) -> DataFrame:
+        """Events of the run's rows out of what the log holds."""
+        if self.handlers:
+            found = [df for df in handled(log, self.handlers) if df is not None]
+            log = found[0]
+            for more in found[1:]:
+                log = log.unionByName(more)
+        if "rows" not in log.columns:
+            return self.filter.events(log)
+        raw = log.where((F.col("db") == (self.source_db if self.source_db is not None else self.db)) & (F.col("table_name") == (self.source_name or self.name)))
+        events = changes.decoded(raw)
+        check_columns(events.select("new.*"), self.target.schema, self.name)
+        return changes.key_changes_split(changes.with_key(self.filter.events(events), self.key), self.key).transform(lambda e: changes.with_key(e, self.key))
+
+
+def tenant_tables(
+    tenant: str, value: object, own: Sequence[Table], joined: Sequence[tuple[Table, Callable[[], Sequence[JoinTable]]]] = (), keyed: Sequence[Table] = ()
+) -> list[Table]:
+    """The tables of a run that moves one tenant: its own rows, joined tables (again at cutover), and the table it is the key of (last)."""
+    out = []
+    for t in own:
+        t.filter = TenantRows(tenant, value)
+        out.append(t)
+    for t, links in joined:
+        t.filter, t.when = JoinedRows(t.key, links, value), "delta"
+        out.append(t)
+    for t in keyed:
+        t.filter, t.when = PrimaryKeyRow(t.key, value), "last"
+        out.append(t)
+    return out
 
 
 @dataclass
 class Migration:
     """Moves tables while they change, and proves it.
 
-    The log's position is fixed before the copy begins, so nothing between is
-    lost; what is applied twice does no harm.
+    The log is read from its beginning, or from where an earlier run's state
+    ends, so nothing between is lost; what is applied twice does no harm.
+    ``batch_rows``: rows of a copied batch, or a function that is asked before
+    each; None copies a table at once, which Spark does in parallel anyway.
     """
 
     spark: SparkSession
@@ -113,119 +173,163 @@ class Migration:
     most_downtime: float = 0.0
     stage: Stage = Stage.STARTING
     on_copied: tuple[Callable[[Table], None], ...] = ()
-    on_error: Callable[[str, Exception], None] | None = None
+    on_batch: tuple[Callable[[Table, DataFrame], None], ...] = ()
+    on_error: Callable[[str, BaseException], None] | None = None
     metrics: Metrics = field(default_factory=Metrics)
+    verifier: Verifier | None = None
+    batch_rows: int | Callable[[], int] | None = None
+    order: Callable[[Table], object] = lambda t: -t.rows_about
+    retries: int = 1
+    reverify_every: float = 0.0
+    hold_cutover: bool = False
 
     def __post_init__(self) -> None:
         self.reverify = ReverifyStore(self.spark, f"{self.checkpoint}/reverify")
         self.by_name = {t.name: t for t in self.tables}
+        for t in self.tables:
+            t.ignored = t.ignored or self.ignored
+        self.verifier = self.verifier or InlineVerifier(self.most_downtime)
+        self.verifier.run = self
+        self._allowed, self._stopping, self._positions = threading.Event(), threading.Event(), threading.Lock()
+        self._lag_told = 0.0
+        if not self.hold_cutover:
+            self._allowed.set()
+        self._resume_store()
+
+    def _resume_store(self) -> None:
+        """Keys that an earlier run had still to verify are verified by this one."""
+        if self.state.reverify:
+            rows = self.spark.createDataFrame([tuple(r) for r in self.state.reverify], "db string, table_name string, key string, changes bigint")
+            self.reverify.add(rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("changes").cast("int")))).drop("n", "changes"), ("resumed", 0))
+        elif self.state.reverify_path and self.state.reverify_path != self.reverify.store.path:
+            held = ReverifyStore(self.spark, self.state.reverify_path).entries()
+            self.reverify.add(held.select("db", "table_name", "key"), ("resumed", 0))
 
     # --- copy ---
 
-    def copy_table(self, table: Table, enforce: bool | None = None) -> None:
-        """Load what the target lacks; then compare, and either fail or have the keys verified again."""
-        self.throttler()
-        source = table.source()
-
-        def load(held: DataFrame) -> DataFrame:
-            return held.unionByName(changes.insert_ignore(held, source, table.key).select(*held.columns))
+    def _gate(self) -> None:
+        """Before each piece of work: wait while held back, end if asked to."""
+        while self.throttler.blocked():
+            if self._stopping.is_set():
+                break
+            time.sleep(self.throttler.wait)
+        if self._stopping.is_set() and self.stage is not Stage.CUTOVER:
+            raise Stopped("the run was stopped")
+
+    def _batches(self, table: Table, rows: DataFrame, last: str | None) -> Iterable[tuple[DataFrame, str]]:
+        """Rows by key, in the order of keys and after ``last``, with the last key of each batch as text."""
+        kind, key = table.target.schema[table.key].dataType, F.col(table.key)
+        if last is not None:
+            rows = rows.where(key > key_value(F.lit(last), kind))
+        size = self.batch_rows if callable(self.batch_rows) else lambda: self.batch_rows
+        step = max(1, min(STEP, size()))
+        steps = written(scan.key_batches(rows, table.key, step).select("batch", key_text(F.col("last_key"), kind).alias("last_key")), "steps")
+        low, taken, end = last, 0, None
+        wanted = -(-size() // step)
+
+        def between(low: str | None, high: str) -> DataFrame:
+            part = rows.where(key <= key_value(F.lit(high), kind))
+            return part if low is None else part.where(key > key_value(F.lit(low), kind))
+
+        for r in steps.orderBy("batch").toLocalIterator():  # one row at a time, and as few as there are steps
+            taken, end = taken + 1, r["last_key"]
+            if taken >= wanted:
+                yield between(low, end), end
+                low, taken = end, 0
+                wanted = -(-size() // step)
+        if taken:
+            yield between(low, end), end
 
-        table.target.update(source.select(table.key), load)
-        found = diff.classified(source, table.target.read().join(source.select(table.key), table.key, "left_semi"), table.key, self.ignored)
-        if self.enforce if enforce is None else enforce:
-            self._fail(found, table)
+    def copy_table(self, table: Table, enforce: bool | None = None) -> None:
+        """Load what the target lacks; then have the verifier look at it, which either fails or verifies again later."""
+        enforce = self.enforce if enforce is None else enforce
+        self._gate()
+        if self.batch_rows is None or table.when != "copy":
+            retried(lambda: table.target.insert(table.rows()), self.retries)
+            self.verifier.copied(table, None, enforce)
         else:
-            self._again(found, table)
-        self.state.completed.append(table.name)
+            for part, last in self._batches(table, table.rows(), self.state.last_keys.get(table.name)):
+                self._gate()
+                retried(lambda part=part: table.target.insert(part), self.retries)
+                self.verifier.copied(table, part.select(table.key), enforce)
+                for listener in self.on_batch:
+                    listener(table, part)
+                with self._positions:
+                    self.state.last_keys[table.name] = last
+        with self._positions:
+            if table.name not in self.state.completed:
+                self.state.completed.append(table.name)
         self.metrics.count("copied_tables", tags={"table": table.name})
         for listener in self.on_copied:
             listener(table)
 
-    def _again(self, found: DataFrame, table: Table) -> None:
-        keys = found.select(F.lit("").alias("db"), F.lit(table.name).alias("table_name"), F.col(table.key).cast("bigint").alias("key"))
-        if not keys.isEmpty():
-            self.reverify.add(keys)
-
-    def _fail(self, found: DataFrame, table: Table) -> None:
-        if not found.isEmpty():
-            raise VerificationFailed(self._text(found, table))
-
-    def _text(self, found: DataFrame, table: Table) -> str:
-        named = found.select(
-            F.lit("").alias("db"), F.lit(table.name).alias("table_name"), F.col(table.key).cast("string").alias("pk"), F.col(table.key).alias("pk_order"),
-            "mismatch_type", "source_md5", "target_md5", F.lit(None).cast("string").alias("mismatch_column"),
-        )
-        return diff.message(named).first()["message"]
-
     def copy(self) -> None:
         """All tables, the largest first; the first error ends the run."""
         self.stage = Stage.COPYING
-        todo = sorted((t for t in self.tables if t.when != "last" and t.name not in self.state.completed), key=lambda t: -t.rows)
+        todo = sorted((t for t in self.tables if t.when != "last" and t.name not in self.state.completed), key=self.order)
         with ThreadPoolExecutor(self.threads) as pool:
             for done in [pool.submit(self.copy_table, t) for t in todo]:
                 done.result()
 
     # --- changes ---
 
-    def catch_up(self) -> None:
-        """Apply every log up to where it ends now."""
+    def catch_up(self) -> float:
+        """Apply every log up to where it ends now; the seconds it took."""
+        began = time.monotonic()
         for table in self.tables:
             if table.log:
                 self._apply(table)
+        return time.monotonic() - began
 
-    def _apply(self, table: Table) -> None:
-        name = F.lit(table.name)
-
-        def count(batch: DataFrame, batch_id: int) -> None:
-            self.reverify.add(batch.select(F.lit("").alias("db"), name.alias("table_name"), F.col("key").cast("bigint").alias("key")))
-            last = batch.agg(F.max("position")).first()[0]
-            self.state.written_position = max(self.state.written_position, last or 0)
+    def wait_until_almost_caught_up(self, most: float = ALMOST) -> None:
+        """Catch up again until a round takes so little that the log can't be far ahead."""
+        while self.catch_up() > most:
+            pass
 
-        run = applier(table.target, self.throttler, (count,))
-        query = start(log_stream(self.spark, table.log, self.log_schema), run, f"{self.checkpoint}/log-{table.name}")
+    def _apply(self, table: Table) -> None:
+        log = f"log-{table.name}"
+
+        def listen(batch: DataFrame, batch_id: int) -> None:
+            ends = [F.max("position").alias("position")]
+            if "resumable_position" in batch.columns:  # where a transaction ended, if the log says so
+                ends = [F.max("resumable_position").alias("position")]
+            if "ts" in batch.columns:
+                ends.append(F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("ts"))
+            last = batch.agg(*ends).first()
+            with self._positions:
+                self.state.written_position = max(self.state.written_position, last["position"] or 0)
+            self.verifier.changed(batch, table, (log, batch_id))
+            with self._positions:
+                self.state.verified_position = max(self.state.verified_position, last["position"] or 0)
+            if "ts" in batch.columns and last["ts"] and time.monotonic() - self._lag_told >= 1:
+                self._lag_told = time.monotonic()
+                self.metrics.gauge("lag", time.time() - last["ts"], {"table": table.name})
+
+        run = applier(table.target, self._gate, (listen,), log, table.prepared)
+        stream = log_stream(self.spark, table.log, table.log_schema or self.log_schema, files_per_batch=1000, after=self._after())
+        query = start(stream, run, f"{self.checkpoint}/{log}")
         query.awaitTermination()
 
+    def _after(self) -> int:
+        """Events up to here were applied by the run whose state this one began with."""
+        if not hasattr(self, "_began_at"):
+            self._began_at = self.state.resume_from()
+        return self._began_at
+
     # --- verification ---
 
-    def verify_once(self) -> dict[str, DataFrame]:
-        """Compare the keys of the store; those that differ are in it again."""
-        entries = self.reverify.entries()
-        names = [r["table_name"] for r in entries.select("table_name").distinct().collect()]
-        out = {}
-        for n in names:
-            table = self.by_name[n]
-            own = entries.where(F.col("table_name") == n)
-            found = diff.lookup_diff(table.source(), table.target.read(), table.key, own.select(F.col("key").alias(table.key)), self.ignored)
-            rows = found.collect() if found.count() <= SMALL else None
-            out[n] = found if rows is None else self.spark.createDataFrame(rows, found.schema)
-        self.reverify.take_off(entries)
-        for n, found in out.items():
-            self._again(found, self.by_name[n])
-        return out
+    def verify(self) -> str:
+        """A pass now; what it says, '' if all is right. What differs is verified again later."""
+        return self.verifier.once().message
 
     def verify_before_cutover(self) -> None:
-        """Passes over the store until it is small or no longer shrinks; the last must be within the downtime allowed."""
         self.stage = Stage.VERIFYING
-        took = 0.0
-        for _ in range(PASSES):
-            before, began = self.reverify.rows(), time.monotonic()
-            self.verify_once()
-            took, after = time.monotonic() - began, self.reverify.rows()
-            if after <= SMALL or after >= before:
-                break
-        if self.most_downtime and took > self.most_downtime:
-            raise VerificationFailed(f"verification at cutover will not end within {self.most_downtime} s (took {took:.3f})")
-
-    def verify_at_cutover(self) -> None:
-        """Strict: any difference ends the run."""
-        self.reverify.closed = False
-        for name, found in self.verify_once().items():
-            self._fail(found, self.by_name[name])
-        self.reverify.closed = True
+        self.verifier.before_cutover().raised()
 
     # --- the run ---
 
     def cutover(self) -> None:
+        """Under the lock: the last changes, joined tables once more, strict verification, the tenant's own row."""
         self.stage = Stage.CUTOVER
         self.lock()
         try:
@@ -233,7 +337,7 @@ class Migration:
             self.catch_up()
             for table in (t for t in self.tables if t.when == "delta"):
                 self.copy_table(table, enforce=True)
-            self.verify_at_cutover()
+            self.verifier.at_cutover().raised()
             for table in (t for t in self.tables if t.when == "last"):
                 self.copy_table(table, enforce=True)
         finally:
@@ -241,20 +345,32 @@ class Migration:
         self.stage = Stage.DONE
 
     def run(self, meanwhile: Iterable[Callable[[], None]] = ()) -> RunState:
-        """Copy, catch up, verify, cut over. ``meanwhile``: called in turn after the copy, each before a catch-up."""
+        """Copy, catch up, verify, cut over. ``meanwhile``: called in turn after the copy, each before a catch-up.
+
+        An error, or an interrupt from outside, ends the run after its state
+        was handed to ``on_error``.
+        """
+        self._after()
+        end_passes = self.verifier.start_in_background(self.reverify_every) if self.reverify_every else lambda: None
         try:
-            with self.metrics.measure("copy"):
-                self.copy()
-            for step in meanwhile:
-                step()
-                self.catch_up()
-            self.stage = Stage.WAITING
-            self.catch_up()
+            try:
+                with self.metrics.measure("copy"):
+                    self.copy()
+                for step in meanwhile:
+                    step()
+                    self.catch_up()
+                self.stage = Stage.WAITING
+                self.wait_until_almost_caught_up()
+                while not self._allowed.wait(0.05):
+                    self._gate()
+                    self.catch_up()
+            finally:
+                end_passes()
             with self.metrics.measure("verify_before_cutover"):
                 self.verify_before_cutover()
             with self.metrics.measure("cutover"):
                 self.cutover()
-        except Exception as error:
+        except BaseException as error:
             if self.on_error:
                 self.on_error(self.dump(), error)
             raise
@@ -268,13 +384,44 @@ class Migration:
     def unpause(self) -> None:
         self.throttler.paused = False
 
+    def allow_cutover(self) -> None:
+        """Let a run that holds before its cutover go on."""
+        self._allowed.set()
+
+    def stop(self) -> None:
+        """End the run before its next piece of work; refused during cutover."""
+        if self.stage is Stage.CUTOVER:
+            raise RuntimeError("a run in cutover can't be interrupted")
+        self._stopping.set()
+        self._allowed.set()
+
+    def settings(self, **new: object) -> dict[str, object]:
+        """What may be changed while a run goes on, after setting what is given: batch_rows, max_lag, reverify_every."""
+        if unknown := set(new) - {"batch_rows", "max_lag", "reverify_every"}:
+            raise ValueError(f"no such settings: {sorted(unknown)}")
+        for name, value in new.items():
+            if name == "max_lag":
+                self.throttler.most = value
+            else:
+                setattr(self, name, value)
+        return {"batch_rows": self.batch_rows, "max_lag": self.throttler.most, "reverify_every": self.reverify_every}
+
     def dump(self) -> str:
         """The state as JSON, to go on from with ``state=RunState.loads(...)``; none may be taken during cutover."""
         if self.stage is Stage.CUTOVER and not self.on_error:
             raise RuntimeError("a run in cutover can't be interrupted")
+        self.state.reverify_path = self.reverify.store.path
+        few = self.reverify.entries().limit(SMALL + 1).collect()  # more than a few stay where they are
+        self.state.reverify = [list(r) for r in few] if len(few) <= SMALL else []
         return self.state.dumps()
 
     def status(self) -> DataFrame:
         """table_name, state: the tables that wait, those that are copied, those that are done."""
+        return self.progress().select("table_name", "state")
+
+    def progress(self) -> DataFrame:
+        """table_name, state, last_key (text) and rows_about of each table, in the order of a status list."""
         state = lambda t: "completed" if t.name in self.state.completed else "copying" if self.stage is Stage.COPYING else "waiting"
-        return self.spark.createDataFrame([(t.name, state(t)) for t in self.tables], "table_name string, state string")
+        rows = [(t.name, state(t), self.state.last_keys.get(t.name), t.rows_about) for t in self.tables]
+        rows.sort(key=lambda r: (progress.STATES.index(r[1]), r[0]))
+        return self.spark.createDataFrame(rows, "table_name string, state string, last_key string, rows_about bigint")

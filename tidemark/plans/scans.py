@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import statements
 from ..operators import scan, selection
 from ..session import table
-from ..sources import fixtures
+from ..sources import catalog, fixtures
 from .register import ORDERS, SOURCE, plain, plain_sql, query
 
 TENANT = 41
@@ -192,3 +193,32 @@ def max_batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.progress import most_batch_rows
 
     return most_batch_rows(fixtures.catalog_columns(spark, sf_dir, COPIED)).select("table_name", "max_batch")
+
+
+@query("""SELECT 'tpch' AS db, table_name, count(DISTINCT column_name)::BIGINT AS foreign_keys
+FROM (VALUES ('orders', 'o_custkey'), ('lineitem', 'l_orderkey'), ('lineitem', 'l_partkey'), ('lineitem', 'l_suppkey'), ('customer', 'c_nationkey'),
+             ('supplier', 's_nationkey'), ('nation', 'n_regionkey')) AS c(table_name, column_name) GROUP BY 1, 2""")
+def foreign_key_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys by table, each listed twice."""
+    columns = fixtures.catalog_columns(spark, sf_dir, ("orders", "lineitem", "customer", "supplier", "nation"))
+    kind = F.when(F.col("column_name").isin("o_custkey", "l_orderkey", "l_partkey", "l_suppkey", "c_nationkey", "s_nationkey", "n_regionkey"), "FOREIGN KEY").otherwise("PRIMARY KEY")
+    listed = columns.where(F.col("column_name").rlike("key$")).select("db", "table_name", F.col("column_name").alias("constraint_name"), kind.alias("constraint_type"))
+    return catalog.foreign_keys(listed.unionByName(listed), ["tpch"])
+
+
+@query("""SELECT (n_nationkey // 10)::INT AS batch, count(*) AS row_count,
+  'INSERT IGNORE INTO `tpch`.`nation` (`n_nationkey`,`n_name`,`n_regionkey`) VALUES ' ||
+  string_agg('(' || n_nationkey || ',' || chr(39) || n_name || chr(39) || ',' || n_regionkey || ')', ',' ORDER BY n_nationkey) AS statement
+FROM nation GROUP BY 1""")
+def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement for each ten rows."""
+    return statements.insert_rows(table(spark, sf_dir, "nation"), "tpch", "nation", F.floor(F.col("n_nationkey") / 10).cast("int"), "n_nationkey")
+
+
+@query(f"""SELECT table_name, rank() OVER (ORDER BY row_count DESC) AS place FROM (
+  SELECT 'lineitem' AS table_name, count(*) AS row_count FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'region', count(*) FROM region)""")
+def table_order_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by the bytes of their files, the largest first; here that is their order by rows too."""
+    found = catalog.sizes(spark, {n: f"{sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "region")})
+    names = [r["table_name"] for r in scan.by_largest(found, "bytes").collect()]
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "table_name string, place bigint")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scan import uniqueness
@@ -80,6 +81,41 @@ def load_tables(
     return out
 
 
+def foreign_keys(constraints: DataFrame, dbs: Sequence[str]) -> DataFrame:
+    """db, table_name, foreign_keys: how many foreign keys each table has (``constraints``: db, table_name, constraint_name, constraint_type).
+
+    A constraint is listed once for each of its columns and counts once.
+    """
+    own = constraints.where(F.col("db").isin(*dbs) & (F.col("constraint_type") == "FOREIGN KEY"))
+    return own.groupBy("db", "table_name").agg(F.count_distinct("constraint_name").alias("foreign_keys"))
+
+
+def check_no_foreign_keys(constraints: DataFrame, dbs: Sequence[str]) -> None:
+    """Rows are copied in any order, which a foreign key would refuse."""
+    found = foreign_keys(constraints, dbs).orderBy("db", "table_name").limit(20).collect()
+    if found:
+        raise SchemaError("tables with foreign keys: " + ", ".join(f"{r['db']}.{r['table_name']} ({r['foreign_keys']})" for r in found))
+
+
+def check_single_keys(key_columns: DataFrame, tables: DataFrame) -> None:
+    """Tables that a tenant keys must have a primary key of one column (``key_columns``: db, table_name, column_name; ``tables``: db, table_name, kind)."""
+    keyed = tables.where("kind = 'primary_key'").join(key_columns, ["db", "table_name"], "left").groupBy("db", "table_name").agg(F.count("column_name").alias("n"))
+    bad = keyed.where("n <> 1").orderBy("db", "table_name").limit(20).collect()
+    if bad:
+        raise SchemaError("primary keys that are not one column: " + ", ".join(f"{r['db']}.{r['table_name']} ({r['n']})" for r in bad))
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path, as their file system says."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """table_name, bytes of tables by their paths; ``scan.by_largest`` orders them."""
+    return spark.createDataFrame([(n, bytes_of(spark, p)) for n, p in paths.items()], "table_name string, bytes bigint")
+
+
 def create_like(spark: SparkSession, specs: Sequence[TableSpec], db_names: Mapping[str, str] | None = None, table_names: Mapping[str, str] | None = None, allow_existing: bool = False, first: Sequence[str] = ()) -> list[str]:
     """Empty tables with the sources' schemas under their new names, those of ``first`` before the rest."""
     dbs, tables = dict(db_names or {}), dict(table_names or {})
@@ -101,7 +137,7 @@ def check_columns(df: DataFrame, schema: T.StructType, name: str) -> None:
 
 
 #: Events by type → what turns them into change-log rows; an unknown type is an error.
-Handlers = Mapping[str, Callable[[DataFrame], DataFrame]]
+Handlers = Mapping[str, Callable[[DataFrame], DataFrame | None]]
 EVENT_TYPES = ("rows", "rotate", "format", "query", "commit", "ddl")
 
 

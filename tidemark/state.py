@@ -10,7 +10,11 @@ VERSION = "1"
 
 @dataclass
 class RunState:
-    """Last key by table (None: not begun), completed tables, log positions, and keys to verify again."""
+    """Last key by table as text (none: not begun), completed tables, log positions, and keys to verify again.
+
+    ``reverify``: (db, table, key as text, changes) of a few keys; of more,
+    ``reverify_path`` says where they are.
+    """
 
     last_keys: dict[str, object] = field(default_factory=dict)
     completed: list[str] = field(default_factory=list)
@@ -18,6 +22,7 @@ class RunState:
     verified_position: int = 0
     target_position: int = 0
     reverify: list[list] = field(default_factory=list)
+    reverify_path: str = ""
     version: str = VERSION
 
     def resume_from(self) -> int:
