@@ -289,6 +289,65 @@ def test_license_phrases(parts):
     assert licenses.base_scan(text) == (len(w), want)
 
 
+def distance(a, b):
+    """Levenshtein."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def ends_within(notice, text, k):
+    """Ends of substrings within k edits of a notice, with the least edits and the latest start: a sliding edit distance."""
+    col = [(i, 0) for i in range(len(notice) + 1)]
+    out = []
+    for j, y in enumerate(text, 1):
+        now = [(0, j)]
+        for i, x in enumerate(notice, 1):
+            now.append(min((col[i - 1][0] + (x != y), -col[i - 1][1]), (col[i][0] + 1, -col[i][1]), (now[-1][0] + 1, -now[-1][1])))
+            now[-1] = (now[-1][0], -now[-1][1])
+        col = now
+        if col[-1][0] <= k:
+            out.append((j, col[-1][0], col[-1][1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fuzzy_places_against_a_sliding_edit_distance(seed):
+    rng = random.Random(seed)
+
+    def edit(x, n):
+        for _ in range(n):
+            at, how = rng.randrange(len(x)), rng.randrange(3)
+            x = x[:at] + ("" if how == 0 else rng.choice("aexz ,")) + x[at + (how != 1) :]
+        return x
+
+    notices = list(licenses.NOTICES)
+    parts = []
+    for _ in range(rng.randint(1, 6)):
+        notice = rng.choice(notices[:6]) if seed % 2 else rng.choice(notices)
+        parts += [edit(notice, rng.randint(0, licenses.edits_allowed(notice) + 1)), rng.choice([". ", "", " ", "and so on "])]
+    text = "".join(parts)
+    got = licenses.fuzzy_scan(text)
+    low = licenses.ascii_lower(text)
+    assert all(x[2] <= y[1] for x, y in zip(got, got[1:], strict=False))
+    for label, a, b, edits, _ in got:
+        assert edits == min(distance(n, low[a:b]) for n, x in licenses.NOTICES.items() if x == label and edits <= licenses.edits_allowed(n))
+    for n in notices:
+        for end, edits, start in ends_within(n, low, licenses.edits_allowed(n)):
+            assert any(a < end and start < b and (a < b) for _, a, b, _, _ in got), (n, low[start:end], edits, got)
+
+
+def test_every_fuzzy_place_is_reported():
+    for text in ("relesed undr the mit license. released under the mit license", "released undr the mit licence released under the mit license"):
+        assert [x[0] for x in licenses.fuzzy_scan(text)] == ["mit", "mit"]
+    assert [x[0] for x in licenses.fuzzy_scan("SPDX-License-Identifier: EPL-2.0")] == ["epl-2.0"]
+    many = "relesed undr the mit license " * 300
+    assert len(licenses.fuzzy_scan(many)) == 300
+
+
 def test_fuzzy_notices_report_spans_and_edits():
     notice = "Licensed under the Apache License, Version 2.0"
     for text, edits in ((notice, 0), (notice.replace("Apache", "Apche"), 1), (notice.replace("under", "undr").replace("Version", "Versoin"), 3)):

@@ -4,13 +4,17 @@ The fuzzy search is pigeonhole first: a notice that may differ in k edits is
 split into k + 1 pieces, and any place within k edits holds one of them
 unchanged. One Aho-Corasick pass finds all pieces of all notices; each hit
 names the window in which its notice would stand, and the ``regex`` library's
-bounded-error matching verifies the window and reports span and edits.
+bounded-error matching verifies the window and reports span and edits. Of places
+of one notice that overlap, the one with the fewest edits counts; what is left
+of the others' windows is searched again, so no place beside it is lost. Of
+different notices at one place, the likeliest counts.
 
 Everything happens within a row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,16 +36,40 @@ PHRASES = {
 NOTICES = {
     "licensed under the apache license, version 2.0": "apache-2.0",
     "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "permission is hereby granted, free of charge, to any person or organization obtaining a copy": "bsl-1.0",
+    "distributed under the boost software license": "bsl-1.0",
+    "permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
     "licensed under the gnu general public license, version": "gpl",
     "under the terms of the gnu general public license": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu library general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
+    "either version 2 of the license, or (at your option) any later version": "gpl-2.0-or-later",
+    "either version 3 of the license, or (at your option) any later version": "gpl-3.0-or-later",
+    "either version 2.1 of the license, or (at your option) any later version": "lgpl-2.1-or-later",
+    "redistribution and use in source and binary forms": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    "subject to the terms of the mozilla public license": "mpl-2.0",
+    "under the terms of the eclipse public license": "epl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "the person who associated cc0 with this work": "cc0-1.0",
+    "provided 'as-is', without any express or implied warranty": "zlib",
     "licensed under cc by-nc": "cc-by-nc",
     "licensed under cc by-sa": "cc-by-sa",
+    "licensed under cc by-nd": "cc-by-nd",
+    "licensed under cc by-nc-sa": "cc-by-nc-sa",
+    "licensed under cc by-nc-nd": "cc-by-nc-nd",
     "licensed under a creative commons attribution": "cc-by",
-    "redistribution and use in source and binary forms": "bsd",
-    "subject to the terms of the mozilla public license": "mpl-2.0",
+    "licensed under a creative commons attribution-sharealike": "cc-by-sa",
+    "licensed under a creative commons attribution-noncommercial": "cc-by-nc",
+    "licensed under a creative commons attribution-noderivatives": "cc-by-nd",
 }
+#: Identifiers that follow a tag.
+TAG = "spdx-license-identifier: "
+TAGGED = "mit apache-2.0 bsd-2-clause bsd-3-clause isc mpl-2.0 epl-2.0 gpl-2.0 gpl-3.0 lgpl-2.1 lgpl-3.0 agpl-3.0 unlicense cc0-1.0 bsl-1.0 zlib".split()
+NOTICES |= {TAG + x: x for x in TAGGED}
 #: A notice may differ in one edit for each so many characters.
 CHARS_PER_EDIT = 12
 
@@ -91,33 +119,70 @@ def ascii_lower(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _places(pattern, low: str, windows: set[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of a notice's places in ``windows``: none overlaps another, and each was the best left.
+
+    A window is as long as a notice with its edits, so its best match is the
+    place that named it, or one that overlaps it. What the chosen places leave
+    of a window is searched again while a notice could stand there.
+    """
+    chosen: list[tuple[int, int, int]] = []
+    while windows:
+        found = {}
+        for a, b in windows:
+            if m := pattern.search(low, a, b):
+                found[a, b] = (sum(m.fuzzy_counts), m.start(), m.end())
+        taken: list[tuple[int, int]] = []  # what earlier rounds chose lies outside these windows
+        for place in sorted(set(found.values())):
+            if _free(taken, *place[1:]):
+                insort(taken, place[1:])
+                chosen.append(place)
+        left = set()
+        for a, b in found:
+            at, i = a, max(0, bisect(taken, (a, a)) - 1)
+            while i < len(taken) and taken[i][0] < b:
+                if taken[i][0] - at >= least:
+                    left.add((at, taken[i][0]))
+                at = max(at, taken[i][1])
+                i += 1
+            if b - at >= least:
+                left.add((at, b))
+        windows = left
+    return chosen
+
+
 def fuzzy_scan(text: str) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, edits, likeness) of every notice found; offsets in code points of the text.
 
-    Windows of one notice that overlap are searched as one, so that a place
-    is reported once, with the fewest edits.
+    Where places of different notices overlap, the one with the greatest
+    likeness is reported, of equal ones the longest notice's.
     """
     auto, patterns = _machine()
     low = ascii_lower(text)
     notices = list(NOTICES)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[tuple[int, int]]] = {}
     for end, (length, where) in auto.iter(low):
         start = end - length + 1
         for n, offset in where:
             k = edits_allowed(notices[n])
-            a, b = max(0, start - offset - k), min(len(low), start - offset + len(notices[n]) + k)
-            mine = windows.setdefault(n, [])
-            if mine and a <= mine[-1][1]:
-                mine[-1][0], mine[-1][1] = min(mine[-1][0], a), max(mine[-1][1], b)
-            else:
-                mine.append([a, b])
+            windows.setdefault(n, set()).add((max(0, start - offset - k), min(len(low), start - offset + len(notices[n]) + k)))
     found = []
     for n, spans in windows.items():
-        for a, b in spans:
-            for m in patterns[n].finditer(low, a, b):
-                edits = sum(m.fuzzy_counts)
-                found.append((NOTICES[notices[n]], m.start(), m.end(), edits, 1 - edits / len(notices[n])))
-    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+        size = len(notices[n])
+        found += [(1 - edits / size, size, -a, n, b, edits) for edits, a, b in _places(patterns[n], low, spans, size - edits_allowed(notices[n]))]
+    best: list[tuple[int, int]] = []
+    out = []
+    for likeness, _, start, n, b, edits in sorted(found, reverse=True):
+        if _free(best, -start, b):
+            insort(best, (-start, b))
+            out.append((NOTICES[notices[n]], -start, b, edits, likeness))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether [a, b) overlaps none of the sorted spans, which don't overlap each other."""
+    at = bisect(taken, (a, b))
+    return not (at and taken[at - 1][1] > a) and not (at < len(taken) and taken[at][0] < b)
 
 
 _SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("likeness", T.DoubleType())])
