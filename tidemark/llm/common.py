@@ -36,11 +36,16 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more.
+
+    Shuffle files go when the driver's JVM collects what refers to them, so it is asked to.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    spark._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,6 +53,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Keys that are broadcast at most, as they each have this share of all rows or more.
+HOT_KEYS = 10_000
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row a key, ``size``: its rows, ``total``: of all) on ``key``, however many rows a key has.
+
+    Keys with a ten-thousandth of all rows or more, of which there are at most
+    HOT_KEYS, are broadcast; only the rest of the rows is shuffled by key.
+    ``groups`` is read twice, or three times without ``total``: give a staged table.
+    """
+    least = F.lit((groups.agg(F.sum(size)).first()[0] or 0 if total is None else total) / HOT_KEYS)
+    hot = groups.where(F.col(size) >= least).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rest = marked.where("__hot IS NULL").select(*rows.columns).join(groups.where(F.col(size) < least), key)
+    return marked.where("__hot").drop("__hot").unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars.
 
