@@ -391,6 +391,65 @@ def test_names_keep_their_words_where_surrogates_collide(spark, monkeypatch):
     assert (parts[1] == parts[2]).all() and (parts[1] == parts[3]).all() and parts[1].nunique() == 500 and parts[0].nunique() == 500
 
 
+def mod97(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_surrogates_against_a_plain_mapping(spark):
+    """Each entity has one surrogate wherever it stands, each surrogate one entity, of its type and form."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(body):
+        odd = [sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(body)]
+        return body + str(-sum(odd) % 10)
+
+    def iban(country, rest):
+        return f"{country}{98 - mod97(country + '00' + rest):02d}{rest}"
+
+    group = lambda x, n, by: by.join(x[i : i + n] for i in range(0, len(x), n))
+    made = {
+        "email": [(x, x.upper(), x) for x in {f"{rng.choice('abcdefghij')}@{rng.choice(['p', 'q'])}.org" for _ in range(60)}],
+        "card": [(x, group(x, 4, " "), group(x, 4, "-")) for x in (card("4" + digits(14)) for _ in range(40))],
+        "iban": [(x, group(x, 4, " "), x) for x in [iban("GB", "WEST" + digits(14)) for _ in range(30)] + [iban("DE", digits(18)) for _ in range(30)]],
+        "phone": [(f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}") for a, b, c in ((digits(3), digits(3), digits(4)) for _ in range(40))] + [(f"+49 30 {x}", f"+49-30-{x}", f"+49 30 {x}") for x in (digits(7) for _ in range(20))],
+        "ssn": [(x, x, x) for x in (f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(40))],
+        "ip": [(x, x, x) for x in {f"10.{rng.randrange(3)}.0.{rng.randrange(9)}" for _ in range(40)}],
+    }
+    surfaces = [(kind, k, form) for kind, entities in made.items() for k, forms in enumerate(entities) for form in forms]
+    rng.shuffle(surfaces)
+    rows = [(i // 5, f"{i}:<{x[2]}>") for i, x in enumerate(surfaces)]
+    docs = spark.createDataFrame([(d, " and ".join(t for e, t in rows if e == d)) for d in {d for d, _ in rows}], "doc_id bigint, text string")
+    out = dict(re.findall(r"(\d+):<(.*?)>", " ".join(r["text"] for r in pii.replace_entities(docs, "k").collect())))
+    plain = lambda kind, x: re.sub("[^0-9a-z@]", "", x.lower())[-10 if kind == "phone" else 0 :]
+    there = {(kind, plain(kind, form)) for kind, _, form in surfaces}
+    of: dict = {}
+    for i, (kind, k, form) in enumerate(surfaces):
+        new = out[str(i)]
+        of.setdefault((kind, k), set()).add(plain(kind, new))
+        assert (kind, plain(kind, new)) not in there, (kind, form, new)
+        if kind in ("card", "iban", "phone", "ssn"):  # the same punctuation, letters and digits in the same places
+            assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", form)), (form, new)
+        if kind == "iban":
+            assert mod97(new) == 1 and new[:2] == form[:2]
+        if kind == "email":
+            assert new.lower().endswith(".example.org") and (new == new.upper()) == (form == form.upper())
+    assert all(len(x) == 1 for x in of.values())
+    for kind in made:
+        mine = [next(iter(x)) for (k, _), x in of.items() if k == kind]
+        assert len(set(mine)) == len(mine), kind
+
+
+def test_it_says_so_where_surrogates_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PATIENCE", 2)
+    real = pii.canonical
+    monkeypatch.setattr(pii, "canonical", lambda *a: F.when(a[1] == "ssn", F.concat(F.lit("9"), F.substring(real(*a), 2, 1), F.lit("0000000"))).otherwise(real(*a)))
+    rows = [(i, f"number 123-45-{6000 + i}") for i in range(30)]
+    with pytest.raises(ValueError, match="no surrogates left"):
+        pii.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").count()
+
+
 @pytest.mark.parametrize("n", [1, 1521, 1522, 10_000, 10**6, 10**9])
 def test_there_are_names_enough(n):
     assert 39 ** pii._syllables(n) >= 39 * n and pii._syllables(1521) == 3
