@@ -487,6 +487,28 @@ def test_mix_comes_near_its_targets_and_positions_follow_the_schedule(spark):
     assert (rising < 0.5).mean() > 0.55  # its weight falls over the run
 
 
+def test_a_given_schedule_is_followed(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 9), None, rng.choice(["a", "b", None]), 0) for i in range(4000)]
+    schedule = [("a", 0.0, 0.0), ("a", 0.25, 4.0), ("a", 0.5, 0.0), ("a", 0.75, 0.0), ("a", 1.0, 2.0), (None, 0.3, 1.0), (None, 0.6, 3.0)]
+    points = {"a": [(0, 0), (0.25, 4), (0.5, 0), (0.75, 0), (1, 2)], "b": [(0, 1), (1, 1)], "none": [(0, 1), (0.3, 1), (0.6, 3), (1, 3)]}
+    out = mixing.assign(spark.createDataFrame(rows, DOCS), schedule=schedule).select(F.coalesce("source", F.lit("none")).alias("source"), "target", "source_size", "size", F.explode("positions").alias("position")).toPandas()
+    time = np.linspace(0, 1, 20001)
+    for source, mine in out.groupby("source"):
+        weight = np.interp(time, *zip(*points[source], strict=True))
+        due = np.r_[0, np.cumsum((weight[1:] + weight[:-1]) / 2)]
+        due /= due[-1]
+        mine = mine.sort_values("position")
+        before = np.r_[0, np.cumsum(mine["size"])[:-1]] / mine["target"].iloc[0]
+        # what stands before a document is what is due by its time
+        assert np.abs(np.interp(mine["position"], time, due) - before).max() < 2e-3
+        assert not ((mine["position"] > 0.51) & (mine["position"] < 0.74)).any() or source != "a"
+    for bad in ([], [("a", 0.0, 0.0)], [("a", -0.1, 1.0)], [("a", 0.5, -1.0)]):
+        if bad:
+            with pytest.raises(ValueError):
+                mixing.assign(spark.createDataFrame(rows[:3], DOCS), schedule=bad)
+
+
 # --- 6 ---
 
 

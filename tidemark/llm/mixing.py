@@ -1,10 +1,12 @@
 """Mixing sources to target weights: a time-varying curriculum.
 
 Each source has a weight schedule over the run, piecewise linear in training
-time. Its integral is the source's cumulative token demand; a source's
-documents, in a keyed random order, fill that demand one after another, and
-the time at which the demand reaches a document's first word is the document's
-training position. Documents are then sorted by range of position.
+time: a table of (source, time, weight) that the caller gives, or a rule. Its
+integral, scaled to the source's target, is the source's cumulative token
+demand; a source's documents, in a keyed random order, fill that demand one
+after another, and the time at which the demand reaches a document's first word
+is the document's training position. Documents are then sorted by range of
+position.
 
 Cumulative sums are taken in two levels, so that a source with a third of all
 rows is no single task's: sums by slice of the keyed order, prefix sums over
@@ -13,6 +15,8 @@ the slices' totals, then sums within a slice.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 #: No source is repeated more than this often.
 EPOCHS = 3
-#: Slices of a source's keyed order (hexadecimal digits of the key).
-SLICE_DIGITS = 3
+#: Rows of a source's slice at most, on average, were all rows one source's.
+ROWS_A_SLICE = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,37 +62,80 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def _slope(rank: Column) -> Column:
-    """How a source's weight changes over the run: from 1 + s to 1 - s times its mean, in turn rising and falling."""
+    """The rule where no schedule is given: weights rise, fall or stay, in turn by rank, from 1 + s to 1 - s."""
     return F.when(rank % 3 == 0, F.lit(0.5)).when(rank % 3 == 1, F.lit(-0.5)).otherwise(F.lit(0.0))
 
 
-def demand(time: Column, slope: Column) -> Column:
-    """Share of a source's target due by ``time`` (0 to 1): the integral of 1 + s - 2 s t."""
-    return (1 + slope) * time - slope * time * time
-
+_PIECES = "array<struct<t0: double, t1: double, w0: double, w1: double, a0: double, a1: double>>"
 
-def invert_demand(share: Column, slope: Column) -> Column:
-    """The time by which ``share`` of a source's target is due."""
-    root = F.sqrt(F.greatest((1 + slope) * (1 + slope) - 4 * slope * share, F.lit(0.0)))
-    return F.when(slope == 0, share).otherwise((1 + slope - root) / (2 * slope))
 
+def pieces_of(points: list[tuple[float, float]]) -> list[tuple[float, ...]]:
+    """(t0, t1, w0, w1, a0, a1) of each linear piece of a schedule's (time, weight) points.
 
-def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    Times run from 0 to 1; before the first and after the last point the weight
+    stays. a0 and a1 are the integral up to the piece's ends, scaled to 1 at
+    time 1; pieces without an integral are left out, as nothing is due there.
+    """
+    points = sorted(points)
+    if not points or points[0][0] < 0 or points[-1][0] > 1 or any(w < 0 for _, w in points):
+        raise ValueError("a schedule needs times from 0 to 1 and weights of 0 or more")
+    points = [(0.0, points[0][1]), *points, (1.0, points[-1][1])]
+    out, area = [], 0.0
+    for (t0, w0), (t1, w1) in zip(points, points[1:], strict=False):
+        more = (t1 - t0) * (w0 + w1) / 2
+        if more:
+            out.append([t0, t1, w0, w1, area, area := area + more])
+    if not area:
+        raise ValueError("a schedule without weight")
+    return [(t0, t1, w0 / area, w1 / area, a0 / area, a1 / area) for t0, t1, w0, w1, a0, a1 in out]
+
+
+def with_pieces(by: DataFrame, schedule: Iterable[tuple[str | None, float, float]] | None) -> DataFrame:
+    """``by`` (source, rank, ...) with the pieces of each source's schedule; sources without points keep one weight."""
+    if schedule is None:
+        slope, double = _slope(F.col("rank")), lambda x: F.lit(float(x))
+        return by.withColumn("pieces", F.array(F.struct(double(0).alias("t0"), double(1).alias("t1"), (1 + slope).alias("w0"), (1 - slope).alias("w1"), double(0).alias("a0"), double(1).alias("a1"))))
+    points: dict[str | None, list[tuple[float, float]]] = {}
+    for source, time, weight in schedule:
+        points.setdefault(source, []).append((float(time), float(weight)))
+    rows = [(source, pieces_of(p)) for source, p in points.items()]
+    given = by.sparkSession.createDataFrame(rows, f"__of string, pieces {_PIECES}")
+    joined = by.join(F.broadcast(given), F.col("source").cast("string").eqNullSafe(F.col("__of")), "left").drop("__of")
+    constant = F.array(F.struct(*(F.lit(x).alias(n) for n, x in zip(("t0", "t1", "w0", "w1", "a0", "a1"), pieces_of([(0.0, 1.0)])[0], strict=True))))
+    return joined.withColumn("pieces", F.coalesce("pieces", constant))
+
+
+def invert_demand(share: Column, pieces: Column) -> Column:
+    """The time by which ``share`` of a source's target is due: where the integral of its schedule reaches it."""
+    piece = F.try_element_at(F.filter(pieces, lambda p: p["a1"] >= share), F.lit(1))
+    p = F.coalesce(piece, F.element_at(pieces, -1))
+    slope = (p["w1"] - p["w0"]) / (p["t1"] - p["t0"])
+    rest = F.greatest(share - p["a0"], F.lit(0.0))
+    root = F.sqrt(F.greatest(p["w0"] * p["w0"] + 2 * slope * rest, F.lit(0.0)))
+    return p["t0"] + F.when(slope == 0, rest / p["w0"]).otherwise((root - p["w0"]) / slope)
+
+
+def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, schedule: Iterable[tuple[str | None, float, float]] | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, copies, taken and positions.
 
-    A source's documents stand in the order of ``key`` (by default an MD5 of
-    the id, and of the text for ties); ``target`` words are laid along that
-    order again and again, and a copy is taken if the mix reaches its middle.
-    ``positions`` has the training time (0 to 1) of each copy's first word.
-    Null text has size 0 and is not taken; null sources are one source; a
-    null id is ordered as the text ``null``. Repeated rows count as rows of
-    their own. An empty table gives no rows. Other columns pass through; names
-    that begin with two underscores are the operator's.
+    ``schedule``: (source, time, weight) points, linear between them; by
+    default a rule's. A source's documents stand in the order of ``key`` (by
+    default an MD5 of the id, and of the text for ties); ``target`` words are
+    laid along that order again and again, and a copy is taken if the mix
+    reaches its middle. ``positions`` has the training time (0 to 1) of each
+    copy's first word. Null text has size 0 and is not taken; null sources are
+    one source; a null id is ordered as the text ``null``. Repeated rows count
+    as rows of their own. An empty table gives no rows. Other columns pass
+    through; names that begin with two underscores are the operator's. Sources
+    are ranked in one task, a row each.
     """
+    digits, n = 2, docs.count()
+    while 16**digits * ROWS_A_SLICE < n and digits < 8:
+        digits += 1
     sized = docs.withColumn("size", word_count(F.col("text").cast("string")))
-    by = targets(sized.select("source", "size"), weights, epochs).withColumnsRenamed({"source": "__source"})
+    by = with_pieces(targets(sized.select("source", "size"), weights, epochs), schedule).withColumnsRenamed({"source": "__source", "pieces": "__pieces"})
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) if key is None else key
-    keyed = sized.withColumn("__key", key).withColumn("__slice", F.substring("__key", 1, SLICE_DIGITS))
+    keyed = sized.withColumn("__key", key).withColumn("__slice", F.substring("__key", 1, digits))
     slices = keyed.groupBy("source", "__slice").agg(F.sum("size").alias("__sum"))
     ahead = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select(F.col("source").alias("__s"), F.col("__slice").alias("__sl"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
@@ -100,7 +147,7 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     begins = [first + e * F.col("source_size") for e in range(epochs)]
     taken = [(F.col("size") > 0) & (b + F.col("size") / 2 <= F.col("target")) for b in begins]
     placed = placed.withColumn("copies", sum((t.cast("int") for t in taken), F.lit(0)))
-    at = [invert_demand(F.least(b / F.col("target"), F.lit(1.0)), _slope(F.col("rank"))) for b in begins]
+    at = [invert_demand(F.least(b / F.col("target"), F.lit(1.0)), F.col("__pieces")) for b in begins]
     return placed.select(
         *docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.array_compact(F.array(*(F.when(t, p) for t, p in zip(taken, at, strict=True)))).alias("positions"),
