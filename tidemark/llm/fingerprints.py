@@ -106,8 +106,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-#: Ranges of doc_id into which ``edited_fingerprints`` cuts the table: one for each so many rows, of at most MOST_RANGES.
-ROWS_A_RANGE, MOST_RANGES = 4000, 4096
+#: Ranges of documents into which ``edited_fingerprints`` cuts the table: one for each so many rows, of at most
+#: MOST_RANGES, whose first keys every task holds. A range is sorted and streamed, so it may be larger than memory.
+ROWS_A_RANGE, MOST_RANGES = 4000, 50_000
+
+
+def range_starts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """The first keys (none, falling id, th) of ranges of about as many rows, in the order in which documents follow.
+
+    Rows without an id have no id to part them, so the hash of the text does.
+    """
+    keys = rows.select(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("bigint")).alias("id"), "th")
+    dealt = keys.repartitionByRange(ranges, "none", "id", "th").withColumn("part", F.spark_partition_id())
+    firsts = dealt.groupBy("part").agg(F.min(F.struct("none", "id", "th")).alias("first")).select("first.*").collect()
+    return np.array(sorted(tuple(r) for r in firsts), dtype=_KEY)
+
+
+_KEY = [("none", "<i4"), ("id", "<i8"), ("th", "<i8")]
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,32 +130,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one with the next smaller id, after the smallest
     the one with the largest; rows with equal ids follow each other by a hash
-    of the text, and rows without an id come last. Null counts as empty. A table of one row
-    is its own next. An empty table gives no rows. Other columns are not read.
+    of the text, and rows without an id come last. Null counts as empty. A
+    table of one row is its own next. An empty table gives no rows. A very long
+    text is one row of its task like any other. Other columns are not read.
 
-    Ids are cut into ranges by approximate quantiles; each text goes to its
+    The order is cut into ranges by their first keys; each text goes to its
     range once, compressed before the shuffle, and the first document of each
     range once more, as the one that follows the range before.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(MOST_RANGES, n // ROWS_A_RANGE))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), reverse=True) if ranges > 1 and n else []
-    # range 0 has the largest ids; a binary search among the cuts, written as nested conditions
-    number = _range_of(F.col("doc_id"), [int(c) for c in cuts], 0)
-    ranged = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number).cast("int"))
-    tops = {r["part"]: (r["top"], r["n"]) for r in ranged.groupBy("part").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).collect()}
-    order = sorted(tops)
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range follows the last
-    heads = F.lit(None).cast("int")
-    if order:
-        head_of = F.element_at(F.create_map(*(F.lit(x) for p in order for x in (p, before[p]))), F.col("part"))
-        top_of = F.element_at(F.create_map(*(F.lit(x) if i == 0 else F.lit(x).cast("bigint") for p in order for i, x in enumerate((p, tops[p][0])))), F.col("part"))
-        heads = F.when(F.col("doc_id").eqNullSafe(top_of), head_of)
-    copies = ranged.withColumn("part", F.explode(F.array_compact(F.array(F.struct("part", F.lit(0).alias("head")), F.when(heads.isNotNull(), F.struct(heads.alias("part"), F.lit(1).alias("head")))))))
-    copies = copies.select(F.col("part.part").alias("part"), F.col("part.head").alias("head"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    packed = copies.mapInArrow(_packed, "part int, head int, doc_id bigint, th bigint, packed binary")
-    together = packed.repartition("part").sortWithinPartitions("part", "head", F.col("doc_id").desc_nulls_last(), "th")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    ranges = max(1, min(MOST_RANGES, rows.count() // ROWS_A_RANGE))
+    starts = range_starts(rows, ranges)
+    packed = rows.mapInArrow(_packed(starts), "part int, head int, doc_id bigint, th bigint, packed binary")
+    together = packed.repartitionByRange(max(1, len(starts)), "part").sortWithinPartitions("part", "head", F.col("doc_id").desc_nulls_last(), "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -170,27 +173,37 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return together.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_NAMES, ("bigint", "bigint", "string", "string", "string", "double", "double"), strict=True)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed each by itself: half of what the shuffle's own compression leaves."""
-    import zstandard
+def _packed(starts: np.ndarray):
+    """Rows with the number of their range, and those that begin one a second time as the head that follows the range before.
+
+    Texts are compressed each by itself: half of what the shuffle's own compression leaves.
+    """
 
-    pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for batch in batches:
-        packed = pa.array([pack.compress(t.as_py().encode()) for t in batch.column(4)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], names=["part", "head", "doc_id", "th", "packed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            ids = batch.column(0)
+            keys = np.zeros(batch.num_rows, dtype=_KEY)
+            keys["none"] = ids.is_null().to_numpy(zero_copy_only=False)
+            keys["id"] = np.where(keys["none"] == 1, 0, ~ids.fill_null(0).to_numpy())
+            keys["th"] = batch.column(1).to_numpy()
+            part = np.maximum(np.searchsorted(starts, keys, side="right") - 1, 0).astype(np.int32)
+            heads = np.flatnonzero(starts[part] == keys)
+            rows = np.r_[np.arange(len(keys)), heads]
+            where = np.r_[part, (part[heads] - 1) % len(starts)].astype(np.int32)
+            head = np.r_[np.zeros(len(keys), np.int32), np.ones(len(heads), np.int32)]
+            packed = pa.array([pack.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(head), ids.take(at), batch.column(1).take(at), packed.take(at)], names=["part", "head", "doc_id", "th", "packed"])
+
+    return run
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def _range_of(value, cuts: list[int], first: int):
-    """The number of cuts (falling) that are greater than ``value``, plus ``first``."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(value < cuts[mid], _range_of(value, cuts[mid + 1 :], first + mid + 1)).otherwise(_range_of(value, cuts[:mid], first))
-
-
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
