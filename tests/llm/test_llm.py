@@ -719,6 +719,24 @@ def test_codewords_tell_languages_apart(n):
     assert len({tuple(r) for r in code}) == n
 
 
+def test_decoding_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    names = sorted(["aa", "bb", "cc", "dd", "ee"])
+    model = language_id.Model(names, language_id.codewords(5), rng.normal(size=(language_id.FEATURES, 15)))
+    texts = ["hello there", "x", "çà et là", "a" * 5000, None, "12", "zwei drei vier"]
+    got = model.predict(texts)
+    for text, name, score, flag in zip(texts, *got, strict=True):
+        if text in (None, "12"):
+            assert (name, score) == ("und", 0.0)
+            continue
+        counts = language_id.features(text)
+        margin = [sum(c * w for c, w in zip(counts, model.weights[:, b], strict=True)) / counts.sum() * min(counts.sum(), language_id.EVIDENCE) for b in range(15)]
+        loss = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margin, word, strict=True)) / 15 for word in model.code]
+        chance = np.exp([-x for x in loss]) / sum(np.exp([-x for x in loss]))
+        first, second = sorted(chance)[::-1][:2]
+        assert name == names[int(np.argmin(loss))] and score == pytest.approx(first) and flag == (first - second < language_id.AMBIGUOUS)
+
+
 # --- 10 ---
 
 

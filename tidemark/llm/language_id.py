@@ -32,6 +32,8 @@ FEATURES = 1 << 13
 EVIDENCE = 60
 #: Gap between the best two scores under which a text is ambiguous.
 AMBIGUOUS = 0.02
+#: n-grams that a training text counts as at most, so that no long text outweighs the others; its shares are of all it has.
+WEIGHT = 3000
 #: Tasks that count the training rows.
 TRAIN_TASKS = 16
 #: Bytes whose n-grams are hashed at once.
@@ -118,7 +120,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
             c = features(text)
             if c.any():
-                sums[lang] = sums.get(lang, 0) + c * (min(c.sum(), 3000) / c.sum())
+                sums[lang] = sums.get(lang, 0) + c * (min(c.sum(), WEIGHT) / c.sum())
     if sums:
         yield pd.DataFrame({"lang": list(sums), "counts": [v.astype("<f8").tobytes() for v in sums.values()]})
 
@@ -159,7 +161,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and ambiguous.
 
     A text that is null or has no letter is ``und`` with score 0, and so is
-    every text where nothing was learned. Columns of those names are replaced.
+    every text where nothing was learned. Very long texts are read whole, in
+    blocks; of languages with equal scores the first by name is given, and the
+    text is flagged. Columns of those names are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
