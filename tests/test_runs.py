@@ -19,6 +19,7 @@ from tidemark.operators.filters import AllRows, CopyFilter, JoinedRows, TableFil
 from tidemark.operators.migration import Migration, Stage, Stopped, Table, Throttler, VerificationFailed, tenant_tables
 from tidemark.operators.selection import JoinTable, ShardedTableFilter, StaticTableFilter
 from tidemark.operators.verifiers import AllOf, ChecksumVerifier, ColumnVerifier, InlineVerifier, IterativeVerifier, NoVerifier, ProvenanceVerifier
+from tidemark.session import check_settings
 from tidemark.sources import catalog
 from tidemark.sources.store import TableStore
 from tidemark.state import RunState
@@ -487,3 +488,22 @@ def test_a_lag_that_is_told(spark, tmp_path):
     told = []
     m.metrics.drain(told.append)
     assert any(x.name == "lag" and x.value > 10**8 for x in told)
+
+
+def test_settings_that_change_results_are_refused(spark):
+    check_settings(spark)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            check_settings(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_standalone_copy_is_strict_and_needs_no_state(spark, tmp_path):
+    m, target = migration(spark, tmp_path, [(1, "a"), (2, "b")], state=RunState(completed=["t"]))
+    m.copy_standalone(["t"])
+    assert rows(target.read()) == [(1, "a"), (2, "b")]
+    target.update(spark.createDataFrame([(2,)], "k bigint"), lambda now: now.withColumn("v", F.lit("x")))
+    with pytest.raises(VerificationFailed):
+        m.copy_standalone(["t"])

@@ -20,7 +20,7 @@ from .operators import diff
 from .operators.migration import Migration, Table, tenant_tables
 from .operators.selection import JoinTable
 from .operators.verifiers import ChecksumVerifier, ColumnVerifier, InlineVerifier, IterativeVerifier, NoVerifier
-from .session import build_session
+from .session import build_session, check_settings
 from .sources.catalog import bytes_of
 from .sources.store import TableStore
 from .state import RunState
@@ -50,6 +50,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(args: list[str]) -> int:
     options = _parser().parse_args(args)
     spark = build_session()
+    check_settings(spark)
 
     def made(named: str) -> Table:
         name, key, new_name = (*named.split(":"), None)[:3]

@@ -23,6 +23,13 @@ def build_session(app: str = "tidemark", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def check_settings(spark: SparkSession) -> None:
+    """Results depend on the zone in which times are read and on strict arithmetic; other settings are an error."""
+    wrong = {k: spark.conf.get(k, None) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled") if spark.conf.get(k, None) != RESULT_SETTINGS[k]}
+    if wrong:
+        raise ValueError(f"these settings change results: {wrong}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
