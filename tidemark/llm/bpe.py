@@ -35,7 +35,7 @@ from .common import staged
 PIECE, FAN, PIECES_A_TASK = 32_768, 16, 64
 #: Code points of a window's sides at first, and tokens that must agree on either side.
 WINDOW, AGREE = 64, 4
-#: Bytes that remembered strings, and remembered words, may take in a worker; beyond that all are forgotten.
+#: Bytes that a generation of remembered strings may take in a worker; of two generations the older is forgotten.
 REMEMBERED = 24 << 20
 #: What Python needs for an entry beside its characters and ids.
 _ENTRY = 200
@@ -45,9 +45,6 @@ UNSPLIT = 256
 ROWS = 128
 #: Characters that lower-case and compose alike one by one, here and in the library; white space among them always splits.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-įı-ɏ]*")
-
-#: Fixed value: the words that the file's own pattern splits such strings into.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: What a file must say of itself for its strings to be remembered.
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -76,49 +73,57 @@ def load(path: str):
 
 @lru_cache(maxsize=4)
 def splits_at_white_space(path: str) -> bool:
-    """Whether the file lower-cases, splits and ends words as the fixed values above say."""
+    """Whether the file lower-cases, splits and ends words as the fixed values above say, and has a token that splits alone."""
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
     splitter = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    model = said.get("model") or {}
-    return (
+    model, added = said.get("model") or {}, said.get("added_tokens") or []
+    return bool(
         (said.get("normalizer") or {}).get("normalizers") == _NORMALIZER
         and (splitter.get("pattern") or {}).get("Regex") == _PATTERN and splitter.get("invert") is True and splitter.get("behavior") == "Removed"
         and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _ENDING and not model.get("dropout")
-        and all(t["content"].startswith("<|") for t in said.get("added_tokens", []))
+        and added and all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
     )
 
 
-class Memory(dict):
-    """String → ids as bytes, forgotten as a whole when it has grown beyond REMEMBERED bytes."""
+class Memory:
+    """String → ids as bytes. Beyond REMEMBERED bytes the strings not asked for since the last time are forgotten."""
 
-    taken = 0
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.taken = 0
 
     def add(self, key: str, ids: bytes) -> None:
-        self[key] = ids
+        self.young[key] = ids
         self.taken += len(key) + len(ids) + _ENTRY
 
-    def make_room(self) -> bool:
-        if self.taken <= REMEMBERED:
-            return False
-        self.clear()
-        self.taken = 0
-        return True
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not remembered; all others are in ``young`` afterwards."""
+        if self.taken > REMEMBERED:
+            self.young, self.old, self.taken = {}, self.young, 0
+        out = []
+        for key in keys.difference(self.young):
+            if (ids := self.old.get(key)) is not None:
+                self.add(key, ids)
+            else:
+                out.append(key)
+        return out
 
 
 class Encoder:
-    """Encodes and decodes texts as the library does; remembers the ids of strings between white space and of their words.
+    """Encodes and decodes texts as the library does; remembers the ids of strings between white space.
 
     White space always splits, so such a string's ids don't depend on what is
-    around it. New words are encoded together, white space between them; the
-    tokens that end words tell them apart again.
+    around it. New strings are encoded together, an added token between them
+    that tells them apart again.
     """
 
     def __init__(self, path: str):
         self.tok, self.fast = load(path), splits_at_white_space(path)
-        self.known, self.words = Memory(), Memory()
+        self.known = Memory()
+        self.between = min(self.tok.get_added_tokens_decoder()) if self.fast else None
         tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
-        self.ends = np.array([t.endswith(_ENDING) for t in tokens])
         # without a decoder the library puts blanks between tokens
         self.blank_after = pa.array([t + " " for t in tokens], pa.large_string()) if self.tok.decoder is None else None
 
@@ -127,38 +132,25 @@ class Encoder:
         return self.fast and "<|" not in text and _PLAIN.fullmatch(text) is not None
 
     def _learn(self, parts: list[str]) -> None:
-        split = [(p, [p] if p.isalpha() else _WORDS.findall(p)) for p in parts]
-        words = self.words
-        words.make_room()
-        new = list({w for _, ws in split for w in ws if w not in words})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<i4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some):
-                flat, begin = ids.tobytes(), 0
-                for w, end in zip(some, (4 * cut).tolist(), strict=True):
-                    words.add(w, flat[begin:end])
-                    begin = end
-            else:  # a word that the library splits otherwise
-                for w in some:
-                    words.add(w, self._library(w))
-        for p, ws in split:
-            self.known.add(p, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]))
+        sign = self.tok.id_to_token(self.between)
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            ids = np.array(self.tok.encode_batch_fast([sign.join(some)], add_special_tokens=False)[0].ids, dtype="<i4")
+            cut = np.flatnonzero(ids == self.between)
+            if len(cut) != len(some) - 1:
+                raise ValueError(f"{sign} does not split")
+            flat = ids.tobytes()
+            for p, begin, end in zip(some, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(flat)], strict=True):
+                self.known.add(p, flat[begin:end])
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def parts(self, parts: list[list[str]]) -> list[bytes]:
         """The ids of texts given as lists of strings; what is new in any of them is learned at once."""
-        there = set().union(*parts)
-        if self.known.make_room():
-            new = there
-        else:
-            new = there.difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
+        if new := self.known.missing(set().union(*parts)):
+            self._learn(new)
+        get = self.known.young.__getitem__
         return [b"".join(map(get, own)) for own in parts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -182,7 +174,7 @@ class Encoder:
         white = (code == 32) | ((code >= 9) & (code <= 13))
         begins = np.flatnonzero(~white & np.r_[True, white[:-1]])
         self.parts([parts])
-        ids = [self.known[p] for p in parts]
+        ids = [self.known.young[p] for p in parts]
         first = np.cumsum([0, *map(len, ids)])[:-1] // 4
         flat = np.frombuffer(b"".join(ids), dtype="<i4").astype(np.int64)
         starts = np.full(len(flat), -1, dtype=np.int64)
@@ -203,6 +195,12 @@ class Encoder:
         return pa.array(out, pa.binary()).cast(pa.string())
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, with what it remembers."""
+    return Encoder(path)
+
+
 def _spans(tok, text: str, at: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and starts of ``text``, which begins at offset ``at``, as the library says.
 
@@ -254,7 +252,7 @@ def _restored(row: dict) -> tuple:
 
 def _encode_pieces(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 node = {"uid": row.uid, "node": row.node, "begin": row.begin, "text": row.text, **_stored(encoder.spans(row.text, row.begin))}
@@ -297,7 +295,7 @@ def encode(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> Data
     schema = T.StructType([kind, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 ids = encoder.ids(part.column(1).to_pylist())
@@ -321,7 +319,7 @@ def encode(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> Data
         left = -(-left // FAN)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids = [np.asarray(x.values, dtype="<i4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), encoder.decode(ids)], names=["uid", "ids", "decoded"])
