@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, joined_by_size, staged
 
 #: Widest fingerprint, in words of 64 bits, that the near-dedup stage uses.
 WIDE_WORDS = 8
@@ -276,21 +276,21 @@ def ball_variants(prints: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """fp0 → component_id, the smallest doc_id that links of at most 3 bits reach.
+    """fp0 → component_id, the smallest doc_id that links of at most 3 bits reach, and n, the rows with this fingerprint.
 
     ``prints``: doc_id and fp0 of every row. Equal fingerprints are merged
     first. Null ids lose to any other.
     """
-    distinct = staged(prints.groupBy("fp0").agg(F.min("doc_id").alias("least")), "prints")
+    distinct = staged(prints.groupBy("fp0").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     links = colliding(ball_variants(distinct), 3)
     return _spread(distinct, components(links), "fp0")
 
 
 def _spread(distinct: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    """Smallest id of each component, for each of its nodes."""
+    """Smallest id of each component, for each of its nodes (``distinct``: node, least, n)."""
     labelled = distinct.join(labels.withColumnRenamed("node", node), node, "left").withColumn("label", F.coalesce("label", node))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return labelled.select(node, "label").join(least, "label").select(node, "component_id")
+    return staged(labelled.select(node, "label", "n").join(least, "label").select(node, "component_id", "n"), "groups")
 
 
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -302,7 +302,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     An empty table gives no rows. Other columns are not read.
     """
     prints = staged(with_fingerprints(docs, words).select("doc_id", "fp0"), "docs")
-    return prints.join(near_groups(prints), "fp0").select("doc_id", "fp0", "component_id")
+    return joined_by_size(prints, near_groups(prints), "fp0", "n").select("doc_id", "fp0", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     names = [f"fp{j}" for j in range(WIDE_WORDS)]
     prints = staged(with_sets(docs, words, WIDE_WORDS), "docs")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *(F.first(c).alias(c) for c in ["size", *names])), "nodes")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ["size", *names])), "nodes")
     bits = 64 * WIDE_WORDS
     mean = bits_at(similarity, WIDE_WORDS)
     # one word of 64 bits stands for eight at first
@@ -417,8 +417,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     label = components(links).withColumnRenamed("node", "id")
     rest = members.where("n > 2 AND id <> least").select("key", "id", "word").join(label, "id", "left")
     pairs = unlinked(rest.select("key", "id", "word", F.coalesce("label", "id").alias("label")), loose).join(stars, ["a", "b"], "left_anti")
-    groups = _spread(nodes.select("node", "least"), components(links.unionByName(check(pairs))), "node")
-    rows = prints.select("doc_id", "th", "node").distinct().join(groups, "node")
+    groups = _spread(nodes.select("node", "least", "n"), components(links.unionByName(check(pairs))), "node")
+    rows = joined_by_size(prints.select("doc_id", "th", "node").distinct(), groups, "node", "n")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
     named = rows.where("component_id IS NOT NULL").join(first, "component_id").select("doc_id", "th", "component_id", same.alias("kept"))
