@@ -70,6 +70,26 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
         assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_rows_meet_their_groups_however_many_they_are(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rng = random.Random(hot)
+    data = [(i, rng.choice([0] * 50 + list(range(1, 40)))) for i in range(900)]
+    rows = spark.createDataFrame(data, "id int, key int")
+    groups = spark.createDataFrame([(k, sum(x == k for _, x in data), f"g{k}") for k in range(1, 60)] + [(0, sum(x == 0 for _, x in data), "g0")], "key int, n bigint, name string")
+    for total in (None, 900):
+        got = common.joined_by_size(rows, groups, "key", "n", total)
+        assert sorted((r["id"], r["name"]) for r in got.collect()) == [(i, f"g{k}") for i, k in data]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_folder(far)
+
+
 # --- 1 ---
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,30 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder of this session's own."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Rows of a file of a staged table whose size is known.
+ROWS_A_FILE = 250_000
+
+
+def staged(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
     """Cut ``df``'s lineage: write it as Parquet in the shared folder and read it back.
 
-    The folder goes when the driver's JVM ends.
+    ``rows``: about how many there are at most, if that is known, so that a few
+    rows are not written as many files. The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS_A_FILE) or 1)
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
@@ -37,14 +48,16 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of staged tables that nothing reads any more.
-
-    Shuffle files go when the driver's JVM collects what refers to them, so it is asked to.
-    """
+    """Delete the files of staged tables that nothing reads any more, and the shuffle files of finished jobs."""
     for df in tables:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that no table needs: Spark deletes them when the driver's JVM has collected what refers to them."""
     spark._jvm.System.gc()
 
 
@@ -71,6 +84,37 @@ def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
     return marked.where("__hot").drop("__hot").unionByName(rest)
 
 
+#: Keys of rows to leave out that are broadcast at most; of more, the rows are shuffled to them.
+FEW_KEYS = 1_000_000
+
+
+def kept_rows(marked: DataFrame, keys: list[str], gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``marked`` whose ``keys`` (nulls too) are not in ``gone``, and one of those with the same keys in ``again``.
+
+    ``gone`` and ``again``, staged tables of the keys, are told from the rest
+    by a broadcast as long as they are few, so that texts are not shuffled.
+    """
+    n, repeated = gone.count(), again.count()
+    known = lambda df: F.broadcast(df.toDF(*(f"__of_{k}" for k in keys))) if n + repeated <= FEW_KEYS else df.toDF(*(f"__of_{k}" for k in keys))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))
+    rest = marked.join(known(gone.unionByName(again)), same, "left_anti") if n + repeated else marked
+    if not repeated:
+        return rest
+    return rest.unionByName(marked.join(known(again), same, "left_semi").dropDuplicates(keys))
+
+
+#: Texts in an Arrow batch at most.
+TEXTS_A_BATCH = 1000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts go to Python in small batches: ten thousand long texts at once would be much memory."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXTS_A_BATCH:
+        conf.set(name, str(TEXTS_A_BATCH))
+    return docs
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars.
 
@@ -91,7 +135,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = staged(small, "edges")
+        after = staged(small, "edges", 2 * mark[0])  # stars have no more edges than there were
         seen = _mark(after)
         discard(now)
         now = after
