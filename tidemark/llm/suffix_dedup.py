@@ -8,15 +8,17 @@ strings cover.
 
 - A segment that occurs twice is repeated as a whole, by its hash alone.
 - A name with one segment, once, is not repeated; nor are most runs.
-- The rest - names with several different segments, and segments in which the
-  name's substring occurs twice - goes to shards by name. A shard sorts all
+- Two places that share 400 bytes around a substring share at least 184 on one
+  side of it. So a segment whose bytes beside the substring, left and right, no
+  other segment of its name has is not repeated either.
+- The rest - names with several such segments, and segments in which the name's
+  substring occurs twice - goes to shards by name. A shard sorts all
   suffixes of its segments by Larsson-Sadakane refinement, takes common
   prefixes by Kasai's method, and marks starts with a neighbour of 400 equal
   bytes.
-- A name with more bytes than a shard holds is refined first. Two places that
-  share 400 bytes around a substring share at least 184 on one side of it, so
-  its segments are grouped by those bytes, left and right; a group of one is
-  not repeated, and what only shares a frequent short passage falls apart here.
+- A name with more bytes than a shard holds is refined: its segments are grouped
+  by those bytes beside the substring, left and right, and what only shares a
+  frequent short passage falls apart here.
 - A group that still is larger than a shard is split over several. Each of its
   shards hands on its different strings as sorted digests, one row a range of
   them, however often a string occurs; ranges are merged across shards by binary
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, text_batches
 
 #: Bytes of a repeated string, and of the substrings whose smallest hash names it.
 LENGTH, GRAM = 400, 32
@@ -302,14 +304,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     several = staged(groups.join(names, "name"), "several")
     cols = ["name", "seg", "bytes", "one.*"]
-    large = several.where(F.col("bytes") > SHARD_BYTES)
-    sided = large.select("name", "seg", "one", own.alias("own"), F.explode("sides").alias("side"))
+    sided = several.select("name", "seg", "one", own.alias("own"), F.col("bytes").alias("all"), F.explode("sides").alias("side"))
     alike = sided.groupBy("name", "side").agg(F.count("*").alias("segments"), F.sum("own").alias("bytes")).where("segments > 1")
-    refined = sided.join(alike, ["name", "side"]).withColumn("name", F.xxhash64("name", "side"))
+    shared = sided.join(alike, ["name", "side"])
+    refined = shared.where(F.col("all") > SHARD_BYTES).withColumn("name", F.xxhash64("name", "side"))
+    small = several.where(F.col("bytes") <= SHARD_BYTES)
+    whole_names = small.where("again").unionByName(small.where("NOT again").join(shared.select("name", "seg").distinct(), ["name", "seg"], "left_semi"))
     # a segment that may repeat within itself is looked at alone, unless its whole name is
     alone = groups.where("again AND n = 1").join(names.where(F.col("bytes") <= SHARD_BYTES).select("name"), "name", "left_anti")
     alone = alone.withColumn("bytes", own).withColumn("name", F.xxhash64("name", "seg"))
-    wanted = staged(several.where(F.col("bytes") <= SHARD_BYTES).select(*cols).unionByName(refined.select(*cols)).unionByName(alone.select(*cols)), "wanted")
+    wanted = staged(whole_names.select(*cols).unionByName(refined.select(*cols)).unionByName(alone.select(*cols)), "wanted")
     total = wanted.agg(F.sum(F.col("last") - F.col("first") + LENGTH)).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
     parts = F.ceil(F.col("bytes") / SHARD_BYTES)
@@ -344,13 +348,15 @@ def removed(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes) and kept (the bytes left) of every row.
 
+    A removed run may begin or end within a character; ``kept`` is bytes therefore.
+
     Null counts as empty. Texts under 400 bytes keep all. Of repeated rows
     each is a place of its own, so both lose what they share; matches never
     cross rows. Null ids pass through; an empty table gives no rows. Other
     columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
+    rows = text_batches(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
     ranges = repeated_ranges(rows).groupBy("did", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("firsts", "lasts")))).alias("ranges"))
     joined = rows.join(ranges, ["did", "key"], "left").select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "data", "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -373,6 +379,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     done = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
