@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import staged, text_batches
 
 #: Code points of a piece; longer texts are cut. Pieces that a task joins, and that a task encodes.
 PIECE, FAN, PIECES_A_TASK = 32_768, 16, 64
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> Data
     not read.
     """
     path = path or default_path()
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"]
     short = rows.where(F.length("text") <= piece)
     long = rows.where(F.length("text") > piece)

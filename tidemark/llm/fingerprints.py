@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .simhash import shingle_hashes
 
 #: Lanes modulo 2^64 that tell multisets apart, and lanes modulo 2^32 of the sketch.
@@ -139,7 +140,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     range once more, as the one that follows the range before.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     ranges = max(1, min(MOST_RANGES, rows.count() // ROWS_A_RANGE))
     starts = range_starts(rows, ranges)
     packed = rows.mapInArrow(_packed(starts), "part int, head int, doc_id bigint, th bigint, packed binary")

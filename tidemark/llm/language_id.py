@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 UNDETERMINED = "und"
 #: Labelled rows a language is learned from at most (in expectation).
 PER_LANGUAGE = 3000
@@ -135,7 +137,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     To the driver come one row of counts a language, FEATURES numbers each.
     """
-    rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
@@ -182,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names=[*keep, "lang_pred", "score", "ambiguous"],
                 )
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 #: Phrase → label, found where the words stand consecutively.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -195,7 +197,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ids pass through, an empty table gives no rows. Whole texts are read;
     other columns are not.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("label", T.StringType())]))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("base", base), T.StructField("spans", T.ArrayType(_SPAN))])
     base_pa = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
