@@ -10,7 +10,8 @@ locator of the winner. A fresh digest goes to its bucket's slot; only if all
 nonmember, and nonmembers are grouped among themselves.
 
 Only digests, ids and counts are shuffled, pre-aggregated by (digest, id) and
-then by digest, so a text that a third of all rows hold is one row by then.
+then by digest; what is found returns to the rows by way of ``joined_by_size``,
+so a text that a third of all rows hold is no single task's.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, joined_by_size, kept_rows, staged
 
 #: Digests a bucket holds on average; a bucket's table takes about 60 bytes a digest.
 BUCKET_KEYS = 20_000
@@ -115,7 +116,7 @@ def _lookup_bucket(fresh: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 
 def _deal(groups: DataFrame, buckets: int) -> DataFrame:
-    """Buckets by the digest's first 31 bits."""
+    """Buckets by the digest's first 28 bits."""
     return groups.withColumn("bucket", (F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("bigint") % buckets).cast("int"))
 
 
@@ -171,36 +172,34 @@ def exact_dedup(docs: DataFrame, history_to: int | None = None) -> DataFrame:
     ``history_to``: rows up to this id are history, the rest a fresh delivery;
     by default the middle of the id range. Null text counts as empty; a null
     doc_id loses to any other and is history. Of repeated rows (same id, same
-    text) exactly one is kept. An empty table gives no rows. Other columns of
+    text) exactly one is kept. Very long texts are digests from the first step
+    on. An empty table gives no rows. Other columns of
     ``docs`` are not read, whatever their names.
     """
+    return decided(docs, history_to).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("same_id").cast("int")))).select(
+        "doc_id", "digest", "keep_id", "group_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
+    )
+
+
+def decided(docs: DataFrame, history_to: int | None = None) -> DataFrame:
+    """doc_id, digest, same_id (rows with both), keep_id and group_size."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text").cast("string")).alias("digest"))
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if history_to is None:
         history_to = (low + high) // 2 if low is not None else 0
-    copies = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    copies = staged(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "copies")  # texts are read once
     history = F.coalesce(F.col("doc_id") <= F.lit(history_to), F.lit(True))
-    groups = exact_groups(copies, history, max(1, n // BUCKET_KEYS))
-    joined = copies.withColumnRenamed("n", "same_id").join(groups, "digest")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("same_id").cast("int")))).select(
-        "doc_id", "digest", "keep_id", "group_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
-    )
+    groups = staged(exact_groups(copies, history, max(1, n // BUCKET_KEYS)), "groups")
+    return joined_by_size(copies.withColumnRenamed("n", "same_id"), groups, "digest", "group_size", n)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps.
-
-    Texts meet the winners on (digest, id), so copies of one text spread over
-    all tasks; of a repeated row the first in its group stays.
-    """
-    from pyspark.sql import Window
-
-    winners = exact_dedup(docs).where("kept").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    marked = docs.withColumn("__digest", digest(F.col("text").cast("string"))).withColumn("__keep", F.col("doc_id").cast("bigint"))
-    w = winners.withColumnRenamed("__digest", "__d").withColumnRenamed("__keep", "__k")
-    kept = marked.join(w, (F.col("__digest") == F.col("__d")) & F.col("__keep").eqNullSafe(F.col("__k")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__digest", "__keep").orderBy("__digest"))
-    return kept.withColumn("__row", first).where("__row = 1").drop("__row", "__digest", "__keep")
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of a repeated row one."""
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    told = staged(decided(docs).select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), kept.alias("kept"), "same_id"), "decided")
+    marked = docs.withColumn("__digest", digest(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("bigint"))
+    gone, again = told.where("NOT kept").select("__digest", "__id"), told.where("kept AND same_id > 1").select("__digest", "__id")
+    return kept_rows(marked, ["__digest", "__id"], gone, again).drop("__digest", "__id")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
