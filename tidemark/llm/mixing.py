@@ -20,6 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Weights that sources take in turn, by code point of their names.
 WEIGHTS = (5, 2, 1)
 #: No source is repeated more than this often.
@@ -116,7 +118,7 @@ def invert_demand(share: Column, pieces: Column) -> Column:
 
 
 def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, schedule: Iterable[tuple[str | None, float, float]] | None = None) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, copies, taken and positions.
+    """Every row of ``docs``, but its text, with size, source_size, target, copies, taken and positions.
 
     ``schedule``: (source, time, weight) points, linear between them; by
     default a rule's. A source's documents stand in the order of ``key`` (by
@@ -129,10 +131,11 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     through; names that begin with two underscores are the operator's. Sources
     are ranked in one task, a row each.
     """
-    digits, n = 2, docs.count()
+    # texts are read once, for their sizes
+    sized = staged(docs.withColumn("size", word_count(F.col("text").cast("string"))).drop("text"), "sizes")
+    digits, n = 2, sized.count()
     while 16**digits * ROWS_A_SLICE < n and digits < 8:
         digits += 1
-    sized = docs.withColumn("size", word_count(F.col("text").cast("string")))
     by = with_pieces(targets(sized.select("source", "size"), weights, epochs), schedule).withColumnsRenamed({"source": "__source", "pieces": "__pieces"})
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) if key is None else key
     keyed = sized.withColumn("__key", key).withColumn("__slice", F.substring("__key", 1, digits))
@@ -149,7 +152,7 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     placed = placed.withColumn("copies", sum((t.cast("int") for t in taken), F.lit(0)))
     at = [invert_demand(F.least(b / F.col("target"), F.lit(1.0)), F.col("__pieces")) for b in begins]
     return placed.select(
-        *docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *(c for c in docs.columns if c not in ("text", "size")), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.array_compact(F.array(*(F.when(t, p) for t, p in zip(taken, at, strict=True)))).alias("positions"),
     )
 
