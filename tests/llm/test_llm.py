@@ -82,6 +82,17 @@ def test_rows_meet_their_groups_however_many_they_are(spark, monkeypatch, hot):
         assert sorted((r["id"], r["name"]) for r in got.collect()) == [(i, f"g{k}") for i, k in data]
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_rows_that_stay_are_whole_and_single(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_KEYS", few)
+    keys = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (2, None), (3, "x")]
+    marked = spark.createDataFrame([(i, k, v, {"m": i}) for i, (k, v) in enumerate(keys)], "i int, k bigint, v string, more map<string,int>")
+    of = lambda rows: common.staged(spark.createDataFrame(rows, "k bigint, v string"))
+    got = common.kept_rows(marked, ["k", "v"], of([(2, None), (1, "b"), (9, "z")]), of([(1, "a"), (None, "a")]))
+    assert sorted((r["k"] or 0, r["v"]) for r in got.collect()) == [(0, "a"), (1, "a"), (3, "x")] and got.columns == marked.columns
+    assert common.kept_rows(marked, ["k", "v"], of([]), of([])).count() == len(keys)
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 
@@ -142,7 +153,7 @@ def test_large_buckets_span_what_is_linked():
     rng = np.random.default_rng(2)
     words = np.unique(rng.integers(0, 1 << 9, 300)).astype(np.int64) << 20
     ids = np.arange(len(words))
-    a, b = simhash._linked(np.zeros(len(words), dtype=np.int64), ids, words, 1, 0)
+    a, b = simhash._linked(np.zeros(len(words), dtype=np.int64), ids, words[:, None], 1, 0)
     assert len(a) < len(words)
     want = brute_components(ids.tolist(), lambda x, y: int(words[x] ^ words[y]).bit_count() <= 1)
     edges = set(zip(a.tolist(), b.tolist(), strict=True))
@@ -205,13 +216,33 @@ def test_near_duplicates_are_decided_by_jaccard(spark, templates):
     assert sum(got[i] == w for i, w in linked) >= 0.95 * len(linked)
 
 
+@pytest.mark.parametrize("rows", [1 << 20, 1 << 26, 1 << 40])
+def test_pairs_at_the_limit_become_candidates_at_every_size(spark, rows):
+    bits, bands = simhash.bands_for(rows)
+    rng = np.random.default_rng(bits)
+    made = []
+    for i in range(300):  # 900 shingles each, 800 in both: 0.8
+        same = rng.integers(0, 2**63, 800, dtype=np.uint64)
+        for k in range(2):
+            own = np.r_[same, rng.integers(0, 2**63, 100, dtype=np.uint64)]
+            made.append((2 * i + k, *np.array(simhash._wide(own, simhash.words_for(bands)), dtype=np.uint64).view(np.int64).tolist()))
+    nodes = spark.createDataFrame(made, "node bigint, " + ", ".join(f"fp{j} bigint" for j in range(simhash.words_for(bands))))
+    loose = simhash.above(simhash.bits_at(0.8, simhash.words_for(bands)), 64, 64 * simhash.words_for(bands))
+    met = {(r["id"], r["key"]) for r in simhash.bucket_members(simhash.band_variants(nodes, bits, bands), loose).select("id", "key").collect()}
+    keys = {}
+    for i, k in met:
+        keys.setdefault(i, set()).add(k)
+    found = sum(bool(keys.get(2 * i, set()) & keys.get(2 * i + 1, set())) for i in range(300))
+    assert found >= 0.92 * 300 and len(met) < 40 * 600
+
+
 @pytest.mark.parametrize("pairs", [1, 1 << 22])
 def test_members_of_a_bucket_meet_all_that_are_not_connected(spark, monkeypatch, pairs):
     monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(4)
     words = [int(w) for w in rng.integers(0, 1 << 20, 400)]
     rows = [(i % 7 // 3, i, words[i], i // 5 * 5) for i in range(400)]
-    df = spark.createDataFrame(rows, "key bigint, id bigint, word bigint, label bigint")
+    df = spark.createDataFrame([(k, i, m, w >> 9, w & 511) for k, i, w, m in rows], "key bigint, id bigint, label bigint, upper bigint, lower bigint")
     got = {(r["a"], r["b"]) for r in simhash.unlinked(df, 6).collect()}
     assert got == {(a, b) for k, a, x, m in rows for q, b, y, n in rows if a < b and k == q and m != n and (x ^ y).bit_count() <= 6}
 
@@ -225,7 +256,7 @@ def test_no_member_of_a_crowded_bucket_is_lost(spark, monkeypatch):
         own = shared + [word() for _ in range(74)]
         texts += [" ".join(own), " ".join([*own[:-30], *(word() for _ in range(30))])]
     # one bucket for all, whose words rank the true partner last
-    words = lambda n: n.select(F.lit(1).cast("bigint").alias("key"), F.col("node").alias("id"), (F.col("node").bitwiseAND(F.lit(7))).alias("word"))
+    words = lambda n, *_: n.select(F.lit(1).cast("bigint").alias("key"), F.col("node").alias("id"), (F.col("node").bitwiseAND(F.lit(7))).alias("word"))
     monkeypatch.setattr(simhash, "band_variants", words)
     sets = [word_set(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

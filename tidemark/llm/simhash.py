@@ -12,9 +12,10 @@ in at most 2 outside the block of some differing bit, and so their balls of
 radius 1 over the other 48 bits meet in that block's table. That is 4 x 49
 variants, and no pair within 3 bits is missed.
 
-For looser likeness the fingerprint is wider (512 bits) and the tables are
-bands of 24 of its bits, each with radius 2 by balls of radius 1. Fingerprints
-only say which pairs may be alike; the sets of shingles decide.
+For looser likeness the fingerprint is wider (512 bits or more) and the tables
+are bands of its bits, each with radius 2 by balls of radius 1; in larger tables
+bands are wider and more, so that chance does not fill their buckets.
+Fingerprints only say which pairs may be alike; the sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -25,20 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, joined_by_size, staged
+from .common import components, discard, joined_by_size, kept_rows, staged, text_batches
 
-#: Widest fingerprint, in words of 64 bits, that the near-dedup stage uses.
-WIDE_WORDS = 8
 #: Members of a bucket up to which all its pairs are compared at once.
 PAIRWISE = 64
 #: Pairs of a bucket looked at at once; bounds the memory of a large bucket.
 PAIRS = 1 << 22
 #: Hashes whose bits are summed at once; bounds the memory of a long text.
 BLOCK = 1 << 15
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)  # fixed odd values
+_ODD = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -81,10 +80,11 @@ def fingerprint(text: str | None, words: int = 3, width: int = 1) -> list[int]:
 def _wide(h: np.ndarray, width: int) -> list[int]:
     out = [_majority(h)]
     for j in range(1, width):
-        x = (h ^ np.uint64(_MIX[j])) * np.uint64(_MIX[j - 1])
+        x = h + np.uint64(j * _ODD % 2**64)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(odd)
         x ^= x >> np.uint64(31)
-        x *= np.uint64(_MIX[0])
-        x ^= x >> np.uint64(29)
         out.append(_majority(x))
     return out
 
@@ -101,7 +101,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFr
                 names=["doc_id", "th", *(f"fp{j}" for j in range(width))],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -110,8 +110,9 @@ def text_hash():
     return F.xxhash64(F.col("text").cast("string")).alias("th")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of words differ; the words of a row are the last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -125,7 +126,7 @@ def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.nd
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _popcount(words[left] ^ words[x]) <= bits
+            near = _differing(words[left], words[x]) <= bits
             hit = left[near]
             if len(hit):
                 out.append((np.full(len(hit), ids[x]), ids[hit]))
@@ -140,9 +141,9 @@ def _across(ids: np.ndarray, words: np.ndarray, labels: np.ndarray, bits: int) -
     ids, words, labels = ids[order], words[order], labels[order]
     # rows are sorted by label: each is compared with those behind its own label's last
     behind = np.searchsorted(labels, labels, side="right")
-    block = max(1, PAIRS // len(ids))
+    block = max(1, PAIRS // words.size)
     for at in range(0, len(ids), block):
-        near = _popcount(words[at : at + block, None] ^ words[None, :]) <= bits
+        near = _differing(words[at : at + block, None], words[None, :]) <= bits
         near &= np.arange(len(ids)) >= behind[at : at + block, None]
         x, y = np.nonzero(near)
         if len(x):
@@ -167,7 +168,7 @@ def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pai
     at, lag = np.arange(len(keys) - 1), 1
     while len(at):
         at = at[keys[at] == keys[at + lag]]
-        near = at[_popcount(words[at] ^ words[at + lag]) <= bits]
+        near = at[_differing(words[at], words[at + lag]) <= bits]
         a.append(ids[near])
         b.append(ids[near + lag])
         lag += 1
@@ -197,6 +198,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _wordy(columns: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Columns of words as one array, a row's words beside each other."""
+    return np.stack([np.ascontiguousarray(c).view(np.uint64) for c in columns], axis=1)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -210,8 +216,8 @@ def colliding(variants: DataFrame, bits: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _buckets(batches):
-            a, b = _linked(*part, bits)
+        for keys, ids, *words in _buckets(batches):
+            a, b = _linked(keys, ids, _wordy(words), bits)
             if len(a):
                 yield _pairs(a, b)
 
@@ -220,33 +226,41 @@ def colliding(variants: DataFrame, bits: int) -> DataFrame:
 
 
 def bucket_members(variants: DataFrame, bits: int) -> DataFrame:
-    """key, id, word, least, n, near: rows of every bucket that has more than one.
+    """key, id, least, near: rows (key, id, words ...) whose words differ in at most ``bits`` bits from another's of their bucket.
 
-    ``near``: the word differs in at most ``bits`` bits from that of the least id of the bucket.
+    Rows that meet by chance are left out here, before anything is written.
+    ``least`` is the least id of the rows left of a bucket, ``near`` whether
+    that is within those bits. Buckets of the same rows, which neighbouring
+    variants make, are one: their key is a hash of their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, words in _buckets(batches):
-            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            n = np.diff(np.r_[cut, len(keys)])
-            shared = np.repeat(n > 1, n)
-            if not shared.any():
+        for keys, ids, *columns in _buckets(batches):
+            words, met = _wordy(columns), np.zeros(len(keys), dtype=bool)
+            for side in _linked(keys, np.arange(len(keys)), words, bits):
+                met[side] = True
+            if not met.any():
                 continue
-            keys, ids, words, n = keys[shared], ids[shared], words[shared], n[n > 1]
+            keys, ids, words = keys[met], ids[met], words[met]
             order = np.lexsort((ids, keys))
-            ids, words = ids[order], words[order]
-            first = np.repeat(np.cumsum(n) - n, n)
-            near = _popcount(words ^ words[first]) <= bits
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, words, ids[first], np.repeat(n, n), near)], names=["key", "id", "word", "least", "n", "near"])
+            ids, words = np.ascontiguousarray(ids[order]), words[order]
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            size = np.diff(np.r_[cut, len(keys)])
+            first = np.repeat(cut, size)
+            near = _differing(words, words[first]) <= bits
+            view = memoryview(ids).cast("B")
+            named = np.array([xxhash.xxh64_intdigest(view[8 * c : 8 * (c + n)]) for c, n in zip(cut.tolist(), size.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(named, size), ids, ids[first], near)], names=["key", "id", "least", "near"])
 
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, id bigint, word bigint, least bigint, n bigint, near boolean")
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, id bigint, least bigint, near boolean").distinct()
 
 
 def unlinked(members: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, word, label) that share a key, differ in label and in at most ``bits`` bits."""
+    """Pairs (a, b) of rows (key, id, label, words ...) that share a key, differ in label and in at most ``bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, words, labels in _buckets(batches):
+        for keys, ids, labels, *columns in _buckets(batches):
+            words = _wordy(columns)
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             mixed = np.flatnonzero(np.minimum.reduceat(labels, cut) != np.maximum.reduceat(labels, cut))
             end = np.r_[cut[1:], len(keys)]
@@ -299,7 +313,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     Null and empty texts, and texts without words, have the fingerprint zero
     and link like any other. Repeated rows have a row each. A null doc_id is
     returned and does not name a component unless all its members have none.
-    An empty table gives no rows. Other columns are not read.
+    Very long texts are read whole, their bits summed in blocks. An empty table gives no rows. Other columns are not read.
     """
     prints = staged(with_fingerprints(docs, words).select("doc_id", "fp0"), "docs")
     return joined_by_size(prints, near_groups(prints), "fp0", "n").select("doc_id", "fp0", "component_id")
@@ -312,8 +326,18 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 # --- the pipeline's stage: 5-word shingles, similarity 0.8 -----------------
 
-#: Bands of 24 bits, two in each of the first five words.
-BANDS, BAND_BITS = 10, 24
+#: Rows of a table up to which bands have so many bits, and how many bands then find a pair at 0.8 with probability 0.96.
+WIDTHS = ((1 << 20, 24, 10), (1 << 26, 28, 16), (None, 32, 26))
+
+
+def bands_for(rows: int) -> tuple[int, int]:
+    """Bits of a band and number of bands for a table of so many rows."""
+    return next((bits, bands) for most, bits, bands in WIDTHS if most is None or rows <= most)
+
+
+def words_for(bands: int) -> int:
+    """Words of the fingerprint: two bands in each of the first, and one at least that no band is cut from."""
+    return max(8, bands // 2 + 1)
 
 
 def bits_at(jaccard: float, width: int) -> int:
@@ -322,14 +346,14 @@ def bits_at(jaccard: float, width: int) -> int:
     return round(64 * width * math.acos(cosine) / math.pi)
 
 
-def band_variants(nodes: DataFrame) -> DataFrame:
-    """(key, id, word): every band's ball of radius 1; ``word`` is one that no band is cut from."""
-    words = F.array(*(F.col(f"fp{j}") for j in range(BANDS // 2)))
-    v = nodes.select("node", F.col("fp6").alias("word"), words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(BANDS * (BAND_BITS + 1) - 1))).alias("v"))
-    v = v.select("node", "word", "w", F.expr(f"cast(v div {BAND_BITS + 1} as int)").alias("t"), F.expr(f"cast(v % {BAND_BITS + 1} as int) - 1").alias("j"))
-    band = F.expr(f"shiftrightunsigned(element_at(w, cast(t div 2 as int) + 1), {BAND_BITS} * (t % 2)) & {(1 << BAND_BITS) - 1}L")
+def band_variants(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(key, id, word): every band's ball of radius 1; ``word`` is one that no band is cut from. A key's upper bits name the band."""
+    words = F.array(*(F.col(f"fp{j}") for j in range(bands // 2)))
+    v = nodes.select("node", F.col(f"fp{words_for(bands) - 1}").alias("word"), words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bands * (bits + 1) - 1))).alias("v"))
+    v = v.select("node", "word", "w", F.expr(f"cast(v div {bits + 1} as int)").alias("t"), F.expr(f"cast(v % {bits + 1} as int) - 1").alias("j"))
+    band = F.expr(f"shiftrightunsigned(element_at(w, cast(t div 2 as int) + 1), {bits} * (t % 2)) & {(1 << bits) - 1}L")
     flip = F.expr("CASE WHEN j < 0 THEN 0L ELSE shiftleft(1L, j) END")
-    return v.select(F.expr(f"shiftleft(cast(t as bigint), {BAND_BITS})").bitwiseOR(band.bitwiseXOR(flip)).alias("key"), F.col("node").alias("id"), "word")
+    return v.select(F.expr(f"shiftleft(cast(t as bigint), {bits})").bitwiseOR(band.bitwiseXOR(flip)).alias("key"), F.col("node").alias("id"), "word")
 
 
 def with_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
@@ -348,7 +372,7 @@ def with_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
                 names=["doc_id", "th", "node", "size", *(f"fp{j}" for j in range(width))],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 
@@ -365,21 +389,21 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, limit: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard likeness of ``similarity`` or more.
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard likeness of ``similarity`` or more, as a staged table.
 
-    Pairs that sizes rule out, or that differ in more than ``limit`` bits, are left out first.
+    Pairs that the sets' sizes rule out are left out first.
     """
-    names = [f"fp{j}" for j in range(WIDE_WORDS)]
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.array(*names).alias(f"w{k}"))
-    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"))
     sized = F.least("na", "nb") / F.greatest("na", "nb") >= similarity
-    may = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (differ <= limit)).select("a", "b", "na", "nb"), "pairs")
+    may = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).select("a", "b", "na", "nb"), "pairs")
     wanted = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
     sets = staged(shingle_sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "th"), words), "sets")
     own = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
     counted = may.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return counted.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b")
+    found = staged(counted.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b"), "links")
+    discard(may, sets)
+    return found
 
 
 def above(limit: int, bits: int, of: int) -> int:
@@ -389,47 +413,52 @@ def above(limit: int, bits: int, of: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, th, component_id and ``kept`` of every (doc_id, text): near duplicates by exact Jaccard likeness.
+    """doc_id, th, component_id, ``kept`` and ``rows`` of every (doc_id, text): near duplicates by exact Jaccard likeness.
 
     Two texts link if their sets of ``words``-word shingles have the given
     Jaccard likeness or more, which is counted on the sets. Candidates share a
-    variant of one of ten bands of a 512-bit SimHash of the set, and differ in
-    no more bits than three deviations above the mean at that likeness: at 0.8
-    a pair becomes one with probability 0.96, at 0.85 with 0.99. In a first
-    round a bucket's members meet its least one only; in a second, those that
-    are not connected by then meet each other, so no link between candidates
-    is lost and a large group does not become all its pairs. Texts with equal
-    sets, the empty ones among them, are one group. One row of each
-    component is kept: its smallest doc_id (nulls last), of several the one
-    with the smallest text hash.
+    variant of a band of a SimHash of the set, and differ in no more bits than
+    three deviations above the mean at that likeness: at 0.8 a pair becomes one
+    with probability 0.96, at 0.85 with 0.99. A bucket's members meet its least
+    one first; then members of a bucket that are not connected by that meet
+    each other. So no link between candidates is lost and a large group does
+    not become all its pairs. Texts with equal sets, the empty
+    ones among them, are one group. Very long texts are read whole. One row of
+    each component is kept: its smallest doc_id (nulls last), of several the
+    one with the smallest text hash.
     """
-    names = [f"fp{j}" for j in range(WIDE_WORDS)]
-    prints = staged(with_sets(docs, words, WIDE_WORDS), "docs")
+    width, bands = bands_for(docs.count())
+    names = [f"fp{j}" for j in range(words_for(bands))]
+    prints = staged(with_sets(docs, words, len(names)), "docs")
     nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ["size", *names])), "nodes")
-    bits = 64 * WIDE_WORDS
-    mean = bits_at(similarity, WIDE_WORDS)
-    # one word of 64 bits stands for eight at first
+    bits = 64 * len(names)
+    mean = bits_at(similarity, len(names))
+    # one word of 64 bits stands for all at first
     loose = above(mean, 64, bits)
-    check = lambda pairs: alike(pairs, nodes, docs, words, similarity, above(mean, bits, bits))
-    members = staged(bucket_members(band_variants(nodes), loose), "buckets")
-    stars = members.where("near AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = staged(check(stars), "links")
+    limit = above(mean, bits, bits)
+    check = lambda pairs: alike(pairs, nodes, docs, words, similarity)
+    prints_of = nodes.select(F.col("node").alias("id"), *names)
+    # a node's buckets are a list, of at most as many as it has variants, so that it meets its words and label once
+    listed = lambda df: df.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    met = staged(listed(bucket_members(band_variants(nodes, width, bands), loose)), "buckets")
+    members = staged(bucket_members(met.join(prints_of, "id").select(F.explode("keys").alias("key"), "id", *names), limit), "members")
+    links = check(members.where("near AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     label = components(links).withColumnRenamed("node", "id")
-    rest = members.where("n > 2 AND id <> least").select("key", "id", "word").join(label, "id", "left")
-    pairs = unlinked(rest.select("key", "id", "word", F.coalesce("label", "id").alias("label")), loose).join(stars, ["a", "b"], "left_anti")
+    rest = listed(members.where("id <> least")).join(label, "id", "left").join(prints_of, "id")
+    pairs = unlinked(rest.select(F.explode("keys").alias("key"), "id", F.coalesce("label", "id").alias("label"), *names), limit)
     groups = _spread(nodes.select("node", "least", "n"), components(links.unionByName(check(pairs))), "node")
-    rows = joined_by_size(prints.select("doc_id", "th", "node").distinct(), groups, "node", "n")
+    discard(met, members, nodes)
+    rows = joined_by_size(prints.groupBy("doc_id", "th", "node").agg(F.count("*").alias("rows")), groups, "node", "n")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
-    named = rows.where("component_id IS NOT NULL").join(first, "component_id").select("doc_id", "th", "component_id", same.alias("kept"))
-    nameless = rows.where("component_id IS NULL").select("doc_id", "th", "component_id", F.lit(True).alias("kept"))
+    named = rows.where("component_id IS NOT NULL").join(first, "component_id").select("doc_id", "th", "component_id", same.alias("kept"), "rows")
+    nameless = rows.where("component_id IS NULL").select("doc_id", "th", "component_id", F.lit(True).alias("kept"), "rows")
     return named.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each near-duplicate group."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    decided = staged(near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "kept", "rows"), "decided")
     marked = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__th", text_hash())
-    rows = marked.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
-    return rows.withColumn("__row", first).where("__row = 1").drop("__row", "__id", "__th")
+    gone, again = decided.where("NOT kept").select("__id", "__th"), decided.where("kept AND rows > 1").select("__id", "__th")
+    return kept_rows(marked, ["__id", "__th"], gone, again).drop("__id", "__th")
