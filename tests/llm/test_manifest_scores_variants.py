@@ -244,9 +244,9 @@ def test_the_gradient_of_the_contrast():
     rng = np.random.default_rng(2)
     q, rows, noise = rng.standard_normal((1, lm_scoring.WIDE)), np.array([2]), np.array([0, 1, 2])
     def gain(q):
-        s = lambda r: q @ m.ids[r].T.astype(float) + m.bias[r] - np.log(3 * m.noise[r])
+        s = lambda r: q @ m.ids[r].T.astype(float) + m.bias[r] - m.log_noise[r]
         return float(np.log(1 / (1 + np.exp(-s(rows)))).sum() + np.log(1 - 1 / (1 + np.exp(-s(noise)))).sum())
-    dq, e = m._contrast(q, rows, noise, "ids", "bias", m.noise)[0], 1e-5
+    dq, e = m._contrast(q, rows, noise, slice(0, 9), "ids", "bias", m.log_noise)[0], 1e-5
     for d in range(0, lm_scoring.WIDE, 5):
         step = np.zeros_like(q)
         step[0, d] = e

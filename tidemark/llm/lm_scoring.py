@@ -3,7 +3,7 @@
 The tokens of a text are its words, A-Z lower-cased, and one end. A token's
 probability has up to three factors. Ids - the end, the ``MODEL_WORDS``
 commonest words, and ``BUCKETS`` classes of all other words by their first and
-last bytes - are dealt into classes of about the root of their number; the
+last bytes - are dealt into classes of about twice the root of their number; the
 log-bilinear model gives the class after the words before, and the id within its
 class. A word that has no id of its own then counts as in the unigram model,
 within its bucket. Each factor sums to one, so the whole is normalised.
@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ from .common import staged, text_batches
 
 MODEL_WORDS, BUCKETS, KNOWN, KNOWN_BYTES = 8192, 256, 100_000, 64
 #: Ids before the one that is predicted, and numbers in a vector.
-CONTEXT, WIDE = 3, 24
+CONTEXT, WIDE = 3, 16
 #: Noise ids for a batch of classes and for each class's ids, and how far a step goes.
-NOISE_CLASSES, NOISE_IDS, RATE = 24, 8, 0.05
+NOISE_CLASSES, NOISE_IDS, RATE = 24, 8, 0.06
 #: Tokens of a task's first steps; later a share of what it has seen (one in so many), STEP at most.
-FIRST_STEP, SEEN_A_STEP, STEP = 512, 32, 16_384
+FIRST_STEP, SEEN_A_STEP, STEP = 256, 24, 32_768
 #: Upper ends of the shares of the training documents, of 64, on which the rounds train: each document is in one.
 ROUNDS = (1, 8, 64)
+#: Tokens that are scored at once.
+CHUNK = 16_384
 #: Distinct words of a task's count before it is handed on.
 HELD = 300_000
 #: The end of a text, as no word is written; before a text's first word stand ends too.
@@ -157,25 +160,31 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
         inside = np.where(known.own, 0.0, log - known.bucket_log[of_bucket]) if len(log) else log
         ended = np.log10(known.end_count + 1.0)
         for batch in batches:
-            ids, n_known, seen, within, rest = [], [], [], [], []
+            ids, n_known, seen, within, rest_words, rest_n, rest_to = [], [], [], [], [], [], [0]
             for text in batch.column(4).cast(pa.binary()).to_pylist():
                 words = tokens(text) if text else []
-                at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                at = np.array(list(map(get, words, repeat(-1))), dtype=np.int64)
                 there = at >= 0
                 out = np.full(len(at) + 1, known.end_id, np.int16)
-                out[:-1][there] = known.ids[at[there]]
-                other = Counter(words[i] for i in np.flatnonzero(~there))
-                if other:
+                found = at if (whole := there.all()) else at[there]
+                if whole:
+                    out[:-1] = known.ids[found]
+                else:
+                    out[:-1][there] = known.ids[found]
+                    strange = [words[i] for i in np.flatnonzero(~there).tolist()]
+                    other = Counter(strange)
                     of = {w: bucket(w) for w in other}
-                    out[:-1][~there] = known.bucket_ids[[of[words[i]] for i in np.flatnonzero(~there)]]
+                    out[:-1][~there] = known.bucket_ids[[of[w] for w in strange]]
+                    rest_words += other.keys()
+                    rest_n += other.values()
                 ids.append(out.tobytes())
-                n_known.append(int(there.sum()) + (known.end_count > 0))
-                seen.append(float(log[at[there]].sum() + ended))
-                within.append(float(inside[at[there]].sum() - sum(n * known.bucket_log[of[w]] for w, n in other.items())))
-                rest.append([{"word": w, "n": n} for w, n in other.items()])
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+                n_known.append(len(found) + (known.end_count > 0))
+                seen.append(float(log[found].sum() + ended))
+                within.append(float(inside[found].sum() - (0 if whole else known.bucket_log[[of[w] for w in strange]].sum())))
+                rest_to.append(len(rest_words))
+            pairs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int32())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(ids, pa.binary()), pa.array(n_known, pa.int64()), pa.array(seen, pa.float64()), pa.array(within, pa.float64()), pa.array(rest, kind)],
+                [*(batch.column(i) for i in range(4)), pa.array(ids, pa.binary()), pa.array(n_known, pa.int64()), pa.array(seen, pa.float64()), pa.array(within, pa.float64()), pa.ListArray.from_arrays(pa.array(rest_to, pa.int32()), pairs)],
                 names=["row", "doc_id", "held_out", "share", "ids", "n_known", "seen", "within", "rest"],
             )
 
@@ -185,7 +194,7 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.minimum(-x, np.float32(60))))
 
 
 class LogBilinear:
@@ -195,88 +204,103 @@ class LogBilinear:
 
     def __init__(self, id_counts: np.ndarray):
         n = len(id_counts)
-        self.size = max(1, int(np.ceil(np.sqrt(n))))  # ids of a class: its neighbours by count
+        self.size = int(np.ceil(2 * np.sqrt(n)))  # ids of a class: neighbours by count
         share = (id_counts + 1.0) / (id_counts + 1.0).sum()
         starts = np.arange(0, n, self.size)
         in_class = np.add.reduceat(share, starts)
         of = np.arange(n) // self.size
         self.noise, self.class_noise = (share / in_class[of]).astype(np.float32), in_class.astype(np.float32)
         self.cumulated = [np.cumsum(self.noise[s : s + self.size], dtype=np.float64) for s in starts]
+        self.class_cumulated = np.cumsum(self.class_noise, dtype=np.float64)
+        self.log_noise, self.class_log_noise = np.log(NOISE_IDS * self.noise), np.log(NOISE_CLASSES * self.class_noise)
         rng = np.random.default_rng(SEED)
         random = lambda rows: (rng.standard_normal((rows, WIDE)) * 0.1).astype(np.float32)
         self.before, self.place = random(n), np.ones((CONTEXT, WIDE), np.float32)
         self.ids, self.bias = random(n), np.log(self.noise)
         self.classes, self.class_bias = random(len(starts)), np.log(self.class_noise)
         self.grown = {k: np.ones(len(getattr(self, k)), np.float32) for k in self.MATRICES}  # squared steps so far, by row
+        self.seen = 0  # tokens that a task has trained on, on average
         self.used = {k: np.zeros(len(getattr(self, k)), np.float32) for k in self.MATRICES}
 
-    def _move(self, name: str, rows: np.ndarray, step: np.ndarray, times: np.ndarray | float = 1.0) -> None:
+    def _move(self, name: str, some: slice | np.ndarray, step: np.ndarray, times: np.ndarray | float = 1.0) -> None:
         """Go along the gradient ``step`` of some rows, each once, shorter the further they have gone."""
-        at = getattr(self, name)
-        squares = step * step
-        self.grown[name][rows] += squares.mean(axis=1) if step.ndim == 2 else squares
-        rate = RATE / np.sqrt(self.grown[name][rows])
-        at[rows] += step * (rate[:, None] if step.ndim == 2 else rate)
-        self.used[name][rows] += times
-
-    def _contrast(self, q: np.ndarray, rows: np.ndarray, noise: np.ndarray, table: str, bias: str, chance: np.ndarray) -> np.ndarray:
-        """Tell the data's ``rows`` (sorted) from ``noise`` rows, of chance ``chance`` each, that the whole batch shares; what this asks of q."""
-        values, biases, k = getattr(self, table), getattr(self, bias), len(noise)
+        at, grown = getattr(self, name), self.grown[name]
+        grown[some] += np.einsum("rd,rd->r", step, step) / np.float32(step.shape[1]) if step.ndim == 2 else step * step
+        rate = RATE / np.sqrt(grown[some])
+        at[some] += step * (rate[:, None] if step.ndim == 2 else rate)
+        self.used[name][some] += times
+
+    def _contrast(self, q: np.ndarray, rows: np.ndarray, noise: np.ndarray, some: slice, table: str, bias: str, log_noise: np.ndarray) -> np.ndarray:
+        """Tell the data's ``rows`` (sorted) from ``noise`` rows that the whole batch shares; what this asks of q.
+
+        Both are rows of the slice ``some`` of a table. ``log_noise``: the log of how often noise has each, of as many draws.
+        """
+        values, offset = getattr(self, table)[some], getattr(self, bias)[some] - log_noise[some]
         own, other = values[rows], values[noise]
-        up = 1 - _sigmoid(np.einsum("bd,bd->b", q, own) + biases[rows] - np.log(k * chance[rows]))
-        down = -_sigmoid(q @ other.T + biases[noise] - np.log(k * chance[noise]))
-        dq = up[:, None] * own + down @ other
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        unique, inverse = np.unique(np.r_[rows[starts], noise], return_inverse=True)
-        dv, db, n = np.zeros((len(unique), WIDE), np.float32), np.zeros(len(unique), np.float32), np.zeros(len(unique), np.float32)
-        first, then = inverse[: len(starts)], inverse[len(starts) :]
-        dv[first], db[first] = np.add.reduceat(up[:, None] * q, starts, axis=0), np.add.reduceat(up, starts)
-        n[first] = np.diff(np.r_[starts, len(rows)])
-        np.add.at(dv, then, down.T @ q)
-        np.add.at(db, then, down.sum(axis=0))
-        np.add.at(n, then, 1.0)
-        self._move(table, unique, dv, n)
-        self._move(bias, unique, db, n)
-        return dq
-
-    def predicted(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors that the ids before (a row each) predict, and the ids' own."""
-        own = self.before[before]
-        return sum((own[:, c] * self.place[c] for c in range(1, CONTEXT)), own[:, 0] * self.place[0]), own
+        up = _sigmoid(-(np.einsum("bd,bd->b", q, own) + offset[rows]))
+        down = _sigmoid(q @ other.T + offset[noise])
+        own *= up[:, None]
+        own -= down @ other
+        starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        firsts = rows[starts]
+        dv, db, n = np.zeros_like(values), np.zeros_like(offset), np.zeros_like(offset)
+        dv[firsts], db[firsts] = np.add.reduceat(up[:, None] * q, starts, axis=0), np.add.reduceat(up, starts)
+        n[firsts] = np.diff(starts, append=len(rows))
+        np.subtract.at(dv, noise, down.T @ q)
+        np.subtract.at(db, noise, down.sum(axis=0))
+        n[noise] += 1
+        self._move(table, some, dv, n)
+        self._move(bias, some, db, n)
+        return own
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        """The vectors that the ids before (a row each, the nearest first) predict."""
+        q = (self.before * self.place[0])[before[:, 0]]
+        for c in range(1, CONTEXT):
+            q += (self.before * self.place[c])[before[:, c]]
+        return q
 
     def step(self, ids: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One step on a batch of ids and the ids before each."""
         order = np.argsort(ids, kind="stable")
         ids, before = ids[order].astype(np.int64), before[order]
-        q, own = self.predicted(before)
+        q = self.predicted(before)
         of = ids // self.size
-        dq = self._contrast(q, of, rng.choice(len(self.class_noise), NOISE_CLASSES, p=self.class_noise / self.class_noise.sum(dtype=np.float64)), "classes", "class_bias", self.class_noise)
-        ends = np.flatnonzero(np.r_[of[1:] != of[:-1], True]) + 1
+        drawn = np.searchsorted(self.class_cumulated, rng.random(NOISE_CLASSES) * self.class_cumulated[-1], side="right")
+        dq = self._contrast(q, of, np.minimum(drawn, len(self.class_noise) - 1), slice(0, len(self.class_noise)), "classes", "class_bias", self.class_log_noise)
+        ends = np.flatnonzero(np.concatenate((of[1:] != of[:-1], [True]))) + 1
         drawn = rng.random((len(ends), NOISE_IDS))
-        for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+        for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
             chances = self.cumulated[of[a]]
-            noise = of[a] * self.size + np.minimum(np.searchsorted(chances, drawn[k] * chances[-1], side="right"), len(chances) - 1)
-            dq[a:b] += self._contrast(q[a:b], ids[a:b], noise, "ids", "bias", self.noise)
-        self._move("place", np.arange(CONTEXT), np.stack([(dq * own[:, c]).sum(axis=0) for c in range(CONTEXT)]))
-        flat = before.ravel()
-        by = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.r_[True, flat[by][1:] != flat[by][:-1]])
-        asked = (dq[:, None, :] * self.place).reshape(-1, WIDE)[by]
-        self._move("before", flat[by][starts], np.add.reduceat(asked, starts, axis=0), np.diff(np.r_[starts, len(flat)]).astype(np.float32))
+            noise = np.minimum(np.searchsorted(chances, drawn[k] * chances[-1], side="right"), len(chances) - 1)
+            low = int(of[a]) * self.size
+            dq[a:b] += self._contrast(q[a:b], ids[a:b] - low, noise, slice(low, low + len(chances)), "ids", "bias", self.log_noise)
+        asked, times, places = np.zeros_like(self.before), np.zeros(len(self.before), np.float32), np.zeros_like(self.place)
+        for c in range(CONTEXT):  # what an id is asked for at a place is the sum over where it stands there
+            by = np.argsort(before[:, c], kind="stable")
+            there = before[by, c]
+            starts = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
+            which, sums = there[starts], np.add.reduceat(dq[by], starts, axis=0)
+            places[c] = np.einsum("bd,bd->d", sums, self.before[which])
+            asked[which] += sums * self.place[c]
+            times[which] += np.diff(np.append(starts, len(there)))
+        rows = np.flatnonzero(times)
+        self._move("place", np.arange(CONTEXT), places)
+        self._move("before", rows, asked[rows], times[rows])
 
     def log10(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of ids after the ids before each."""
+        if not len(ids):
+            return np.zeros(0)
         order = np.argsort(ids, kind="stable")
         sorted_ids = ids[order].astype(np.int64)
-        q, _ = self.predicted(before[order])
-        of, out = sorted_ids // self.size, np.empty(len(ids), np.float64)
-        scores = q @ self.classes.T + self.class_bias
-        out[:] = scores[np.arange(len(of)), of] - _log_sum(scores)
-        ends = np.flatnonzero(np.r_[of[1:] != of[:-1], True]) + 1 if len(of) else []
-        for a, b in zip(np.r_[0, ends[:-1]].astype(np.int64), ends, strict=True) if len(of) else ():
+        q = self.predicted(before[order])
+        of = sorted_ids // self.size
+        out = _log_share(q @ self.classes.T + self.class_bias, of).astype(np.float64)
+        ends = np.flatnonzero(np.concatenate((of[1:] != of[:-1], [True]))) + 1
+        for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
             low = of[a] * self.size
-            scores = q[a:b] @ self.ids[low : low + self.size].T + self.bias[low : low + self.size]
-            out[a:b] += scores[np.arange(b - a), sorted_ids[a:b] - low] - _log_sum(scores)
+            out[a:b] += _log_share(q[a:b] @ self.ids[low : low + self.size].T + self.bias[low : low + self.size], sorted_ids[a:b] - low)
         back = np.empty(len(ids), np.float64)
         back[order] = out / np.log(10)
         return back
@@ -304,9 +328,14 @@ class LogBilinear:
             self.used[k][:] = 0
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    most = scores.max(axis=1)
-    return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log of the chosen column's share of each row's exponentials; ``scores`` is used up."""
+    own = scores[np.arange(len(chosen)), chosen]
+    if np.abs(own).max() > 40 or scores.max() > 40:  # where exponentials might not fit, each row by its largest
+        most = scores.max(axis=1)
+        return own - most - np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(axis=1))
 
 
 def _with_before(texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +359,7 @@ def trained(rows: DataFrame, known: Vocabulary) -> LogBilinear:
     for high in ROUNDS:
 
         def train(batches: Iterator[pa.RecordBatch], start: LogBilinear = model) -> Iterator[pa.RecordBatch]:
-            rng, ids, before, seen = np.random.default_rng(SEED), np.zeros(0, np.int16), np.zeros((0, CONTEXT), np.int16), 0
+            rng, ids, before, seen = np.random.default_rng(SEED), np.zeros(0, np.int16), np.zeros((0, CONTEXT), np.int16), start.seen
             for batch in batches:
                 more, context, _ = _with_before(batch.column(0).to_pylist(), end)
                 ids, before, a = np.concatenate([ids, more]), np.concatenate([before, context]), 0
@@ -341,8 +370,8 @@ def trained(rows: DataFrame, known: Vocabulary) -> LogBilinear:
             if len(ids):
                 start.step(ids, before, rng)
                 seen += len(ids)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([start.state().tobytes()], pa.binary())], names=["state"])
+            if seen > start.seen:
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(start.state(), (seen, 1.0)).tobytes()], pa.binary())], names=["state"])
 
         mine = text_batches(rows.where(~F.col("held_out") & (F.col("share") >= low) & (F.col("share") < high)).select("ids"))
         low = high
@@ -350,7 +379,9 @@ def trained(rows: DataFrame, known: Vocabulary) -> LogBilinear:
         while (n := states.count()) > 1:
             states = staged(states.repartition(-(-n // FAN_IN)).mapInArrow(_added, "state binary"), "models")
         if (total := states.first()) is not None:
-            model.take(np.frombuffer(total["state"]))
+            *_, seen, tasks = total = np.frombuffer(total["state"])
+            model.take(total[:-2])
+            model.seen = int(seen / tasks)
     return model
 
 
@@ -371,7 +402,7 @@ def scored(rows: DataFrame, counts: DataFrame, known: Vocabulary, model: LogBili
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, before, starts = _with_before(batch.column(1).to_pylist(), end)
-            each = np.concatenate([np.zeros(0), *(model.log10(ids[a : a + STEP], before[a : a + STEP]) for a in range(0, len(ids), STEP))])
+            each = np.concatenate([np.zeros(0), *(model.log10(ids[a : a + CHUNK], before[a : a + CHUNK]) for a in range(0, len(ids), CHUNK))])
             sums = np.add.reduceat(each, starts[:-1])  # no text is without its end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.float64())], names=["row", "n_tokens", "by_model"])
 
