@@ -21,8 +21,10 @@ from tidemark.operators.selection import JoinTable, ShardedTableFilter, StaticTa
 from tidemark.operators.verifiers import AllOf, ChecksumVerifier, ColumnVerifier, InlineVerifier, IterativeVerifier, NoVerifier, ProvenanceVerifier
 from tidemark.session import check_settings
 from tidemark.sources import catalog
-from tidemark.sources.store import TableStore
+from tidemark.sources.change_log import log_stream, read_log
+from tidemark.sources.store import StoreGroup, TableStore
 from tidemark.state import RunState
+from tidemark.streaming.apply import drain
 
 ROW = "k bigint, v string"
 EVENTS = f"position bigint, op string, key bigint, old struct<{ROW}>, new struct<{ROW}>"
@@ -47,10 +49,11 @@ def store(spark, tmp_path):
 def test_a_store_takes_changes_as_deltas_and_folds_them(spark, store, monkeypatch):
     from tidemark.sources import store as module
 
-    monkeypatch.setattr(module, "MOST_DELTAS", 4)
+    monkeypatch.setattr(module, "FAN", 2)
+    monkeypatch.setattr(module, "ROWS_A_BUCKET", 60)
     rng, want = random.Random(1), {i: "a" for i in range(50)}
     store.replace(spark.createDataFrame(list(want.items()), ROW))
-    bases = set()
+    bases, levels = set(), set()
     for n in range(12):
         keys = rng.sample(range(80), 9)
         after = {k: f"{n}" for k in keys if rng.random() < 0.7}
@@ -60,11 +63,84 @@ def test_a_store_takes_changes_as_deltas_and_folds_them(spark, store, monkeypatc
         store.update(spark.createDataFrame([(k,) for k in keys], "k bigint"), lambda _, after=after: spark.createDataFrame(list(after.items()), ROW))
         assert dict(rows(store.read())) == want
         bases.add(store.manifest()["base"])
-        assert len(store.manifest()["deltas"]) <= 4
-    assert len(bases) > 2
+        levels |= {d["level"] for d in store.manifest()["deltas"]}
+        assert len({d["level"] for d in store.manifest()["deltas"]}) == len(store.manifest()["deltas"])
+    assert len(bases) > 1 and levels >= {0, 1, 2}
     assert store.vacuum(keep=1) > 0 and dict(rows(store.read())) == want
 
 
+def test_small_changes_write_a_row_again_a_logarithm_of_times(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store as module
+
+    monkeypatch.setattr(module, "FAN", 3)
+    store, n = TableStore(spark, f"file://{tmp_path}/s", schema(spark), "k"), 27
+    store.replace(spark.range(5000).selectExpr("id AS k", "'a' AS v"))
+    before = store.rows_written
+    for i in range(n):
+        store.update(spark.createDataFrame([(i,)], "k bigint"), lambda now: now.withColumn("v", F.lit("b")))
+    assert store.rows_written - before <= n * 4  # once, and at each of the levels of 3, 9 and 27
+    assert len(store.manifest()["deltas"]) == 1 and store.read().where("v = 'b'").count() == n
+
+
+def test_a_batched_copy_reads_and_writes_in_proportion(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store as module
+
+    monkeypatch.setattr(module, "FAN", 4)
+    for size, times in ((2000, 2), (4000, 3)):  # 8 files are merged once, 16 twice
+        opened = []
+        source = spark.range(size).selectExpr("id AS k", "'a' AS v")
+        m, target = migration(spark, tmp_path / str(size), lambda source=source: source, batch_rows=250, name=f"t{size}")
+        m.on_batch = (lambda t, part: opened.append(len(t.target.files_of(str(part.agg(F.min("k")).first()[0] - 1), str(part.agg(F.max("k")).first()[0])))),)
+        m.copy()
+        assert target.read().count() == size and max(opened) == 1 and len(opened) >= size // 1000
+        assert not target.manifest()["deltas"]
+        assert target.rows_written <= times * size
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "binary", "decimal(20,0)", "date"])
+def test_ranges_and_sets_of_keys_open_their_files_only(spark, tmp_path, monkeypatch, kind):
+    from tidemark.sources import store as module
+
+    monkeypatch.setattr(module, "PRUNED_FROM", 2)
+    key = {"bigint": "id - 40", "string": "concat('ä', id)", "binary": "unhex(lpad(hex(id), 4, '0'))", "decimal(20,0)": "cast(id as decimal(20,0))", "date": "date_add(date'2024-01-01', cast(id as int))"}[kind]
+    data = spark.range(100).selectExpr(f"{key} AS k", "cast(id as string) AS v")
+    s = TableStore(spark, f"file://{tmp_path}/s", data.schema, "k", 10)
+    s.replace(data)
+    texts = [r[0] for r in data.orderBy("k").select(key_text(F.col("k"), s.kind)).collect()]
+    part = data.orderBy("k").limit(30).subtract(data.orderBy("k").limit(20))
+    assert rows(s.read(texts[19], texts[29]).select("v")) == rows(part.select("v"))
+    pruned = kind != "date"
+    assert len(s.files_of(texts[19], texts[29])) == 10 or pruned and len(s.files_of(texts[19], texts[29])) < 4
+    touched = s._touched(s.manifest(), part.select("k"))
+    assert (touched is None) != pruned and (not pruned or len(touched) < 4)
+    s.update(part.select("k"), lambda now: now.withColumn("v", F.lit("new")))
+    assert s.read().where("v = 'new'").count() == 10 and s.read().count() == 100
+
+
+def test_stores_of_a_group_change_at_once(spark, tmp_path):
+    stores = {n: TableStore(spark, f"file://{tmp_path}/{n}", schema(spark), "k") for n in "ab"}
+    group = StoreGroup(spark, f"file://{tmp_path}/group", stores)
+    for n, s in stores.items():
+        s.replace(spark.createDataFrame([(1, n)], ROW))
+    before = group.versions()[-1]
+    change = lambda s, v: s.update(spark.createDataFrame([(1,)], "k bigint"), lambda now: now.withColumn("v", F.lit(v)))
+    with pytest.raises(ZeroDivisionError), group.transaction(log=5):
+        change(stores["a"], "lost")
+        assert rows(stores["a"].read()) == [(1, "lost")]  # the writer sees what it has prepared
+        assert rows(group.read("a")) == [(1, "a")]  # others do not
+        1 / 0  # noqa: B018
+    assert rows(stores["a"].read()) == [(1, "a")] and group.applied("log") == -1
+    with group.transaction(log=7):
+        change(stores["a"], "new a")
+        assert group.versions()[-1] == before
+        change(stores["b"], "new b")
+    assert (rows(stores["a"].read()), rows(stores["b"].read()), group.applied("log")) == ([(1, "new a")], [(1, "new b")], 7)
+    assert rows(group.read("a", before)) == [(1, "a")] and rows(group.read("b", before)) == [(1, "b")]
+    assert stores["a"].vacuum(keep=1) > 0 and rows(stores["a"].read()) == [(1, "new a")]
+    fresh = StoreGroup(spark, group.path, {n: TableStore(spark, s.path, s.schema, "k") for n, s in stores.items()})
+    assert rows(fresh.stores["a"].read()) == [(1, "new a")]
+
+
 def test_a_store_sees_only_the_rows_of_the_keys_it_changes(spark, store):
     store.replace(spark.createDataFrame([(i, "a") for i in range(10)], ROW))
     seen = []
@@ -257,11 +333,186 @@ def test_a_run_that_goes_on_skips_what_was_applied(spark, tmp_path):
     m.run()
     assert (m.state.written_position, m.state.verified_position) == (1, 1)
     _log(spark, log, [(2, "U", 5, (5, "x"), (5, "y"))])
-    m, other = migration(spark, tmp_path / "again", [(5, "y")], log=log, state=RunState(written_position=1, verified_position=1))
+    m, other = migration(spark, tmp_path / "again", [(5, "y")], log=log, state=RunState(written={log: 1}, verified={log: 1}))
     m.catch_up()
     assert m.state.written_position == 2 and rows(other.read()) == []  # the insert at 1 was not read again
 
 
+def _two_logs(spark, tmp_path, **kw):
+    """Two tables with a log each; the logs' positions have nothing to do with each other."""
+    tables = []
+    for name, position in (("a", 100), ("b", 50)):
+        log = f"file://{tmp_path}/log-{name}"
+        _log(spark, log, [(position, "U", 1, (1, "old"), (1, "new"))])
+        target = TableStore(spark, f"file://{tmp_path}/target-{name}", schema(spark), "k")
+        if not target.manifest()["version"]:
+            target.replace(spark.createDataFrame([(1, "old")], ROW))
+        tables.append(Table(name, "k", lambda: spark.createDataFrame([(1, "new")], ROW), target, log=log))
+    return Migration(spark, tables, schema(spark, EVENTS), **kw), tables
+
+
+@pytest.mark.parametrize("checkpoint", ["same", "other"])
+def test_a_run_stopped_between_two_logs_ends_right_from_any_checkpoint(spark, tmp_path, checkpoint):
+    first, tables = _two_logs(spark, tmp_path, checkpoint=f"file://{tmp_path}/same")
+    first.state.completed = ["a", "b"]
+    first._apply(tables[0].log, tables[:1])
+    state = RunState.loads(first.dump())
+    assert state.written == {tables[0].log: 100} and rows(tables[0].target.read()) == [(1, "new")]
+    again = Migration(spark, tables, schema(spark, EVENTS), f"file://{tmp_path}/{checkpoint}", state=state)
+    again.run()
+    assert [rows(t.target.read()) for t in tables] == [[(1, "new")]] * 2
+    assert again.state.written == {tables[0].log: 100, tables[1].log: 50}
+
+
+def test_a_later_update_is_not_skipped_under_a_new_checkpoint(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    _log(spark, log, [(1, "U", 1, (1, "a"), (1, "b"))])
+    m, target = migration(spark, tmp_path, [(1, "b")], [(1, "a")], log=log)
+    m.run()
+    _log(spark, log, [(2, "U", 1, (1, "b"), (1, "c"))])
+    again = Migration(spark, [Table("t", "k", lambda: spark.createDataFrame([(1, "c")], ROW), target, log=log)], schema(spark, EVENTS), f"file://{tmp_path}/other", state=RunState.loads(m.dump() if m.stage is not Stage.CUTOVER else m.state.dumps()), verifier=NoVerifier())
+    again.run()
+    assert rows(target.read()) == [(1, "c")]
+
+
+def test_a_state_of_the_version_before_begins_its_logs_again(spark):
+    old = json.dumps({"last_keys": {"t": "5"}, "completed": ["u"], "written_position": 9, "verified_position": 9, "target_position": 3, "reverify": [], "reverify_path": "", "version": "1"})
+    state = RunState.loads(old)
+    assert (state.last_keys, state.target_position, state.resume_from("any")) == ({"t": "5"}, 3, -1)
+
+
+RAW = f"position bigint, resumable_position bigint, ts timestamp, db string, table_name string, op string, rows array<struct<{ROW}>>"
+
+
+def _raw_log(spark, path, transactions, names=("x", "y", "z"), per_file=2):
+    """A log in files that cut through transactions: each puts one value into a row of every table."""
+    events, position, ended = [], 0, 0
+    for t in transactions:
+        for i, n in enumerate(names):
+            position += 1
+            ended = position if i == len(names) - 1 else ended
+            events.append((position, ended, datetime(2024, 1, 1), "d", n, "I", [(t, str(t))]))
+    for a in range(0, len(events), per_file):
+        spark.createDataFrame(events[a : a + per_file], RAW).coalesce(1).write.mode("append").parquet(path)
+    return events
+
+
+def test_one_log_changes_several_tables_transaction_by_transaction(spark, tmp_path):
+    log, names = f"file://{tmp_path}/log", ("x", "y", "z")
+    events = _raw_log(spark, log, range(6))
+    _raw = spark.createDataFrame([(events[-1][0] + 1, events[-1][1], datetime(2024, 1, 1), "d", "x", "I", [(99, "open")])], RAW)
+    _raw.coalesce(1).write.mode("append").parquet(log)  # of a transaction that has not ended
+    stores = {n: TableStore(spark, f"file://{tmp_path}/{n}", schema(spark), "k") for n in names}
+    group = StoreGroup(spark, f"file://{tmp_path}/group", stores)
+    tables = [Table(n, "k", lambda: spark.createDataFrame([(i, str(i)) for i in range(6)], ROW), s, log=log, log_schema=schema(spark, RAW), db="d") for n, s in stores.items()]
+    m = Migration(spark, tables, None, f"file://{tmp_path}/cp", events_per_batch=7, verifier=NoVerifier())
+    m.catch_up()
+    assert [b["rows"] for b in m.batches] == [6, 6, 6] and group.applied(log) == m.state.written[log] == 18
+    for v in group.versions():
+        seen = [rows(group.read(n, v)) for n in names]
+        assert seen[0] == seen[1] == seen[2] and len(seen[0]) in (0, 2, 4, 6)
+    assert m.age(log) > 0 and rows(stores["x"].read()) == [(i, str(i)) for i in range(6)]
+    quiet = len(m.batches)
+    m.wait_until_almost_caught_up()  # its last event is old, but the log is quiet
+    assert len(m.batches) == quiet
+
+
+@pytest.mark.parametrize(("events", "want"), [(1, [3, 3, 3]), (3, [3, 3, 3]), (5, [3, 3, 3]), (8, [6, 3]), (100, [9])])
+def test_batches_are_whole_transactions_of_so_many_events(spark, tmp_path, events, want):
+    log, got = f"file://{tmp_path}/log", []
+    _raw_log(spark, log, range(3), per_file=4)
+    told = drain(log_stream(spark, log, schema(spark, RAW), events), lambda b, n: got.append(sorted(r["position"] for r in b.select("position").collect())), f"file://{tmp_path}/cp")
+    assert [len(g) for g in got if g] == want == [b["rows"] for b in told] and sum(got, []) == list(range(1, 10))
+
+
+def test_a_transaction_over_two_files_waits_for_its_end(spark, tmp_path):
+    log, got = f"file://{tmp_path}/log", []
+    write = lambda *rows: spark.createDataFrame([(p, e, None, "d", "x", "I", [(p, "v")]) for p, e in rows], RAW).coalesce(1).write.mode("append").parquet(log)
+    read = lambda after: drain(log_stream(spark, log, schema(spark, RAW), after=after), lambda b, n: got.append([r["position"] for r in b.select("position").orderBy("position").collect()]), f"file://{tmp_path}/{random.random()}")
+    write((1, 1), (2, 1))
+    read(-1)
+    write((3, 1), (4, 4), (5, 4))
+    read(1)
+    read(4)
+    write((6, 6))
+    read(4)
+    assert [g for g in got if g] == [[1], [2, 3, 4], [5, 6]]
+    assert sorted(r["position"] for r in read_log(spark, log, schema(spark, RAW), 1).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_a_query_goes_on_from_its_own_checkpoint(spark, tmp_path):
+    log, got = f"file://{tmp_path}/log", []
+    for part in range(3):
+        _log(spark, log, [(part * 10 + i, "I", i, None, (i, "x")) for i in range(4)])
+        drain(log_stream(spark, log, schema(spark, EVENTS), after=part * 10 - 1), lambda b, n: got.extend(r["position"] for r in b.select("position").collect()), f"file://{tmp_path}/cp")
+    assert sorted(got) == [p * 10 + i for p in range(3) for i in range(4)]
+
+
+def test_several_logs_are_one_stream_with_an_offset_each(spark, tmp_path):
+    logs, got = {n: f"file://{tmp_path}/{n}" for n in "ab"}, []
+    _log(spark, logs["a"], [(i, "I", i, None, (i, "x")) for i in range(5)])
+    _log(spark, logs["b"], [(i, "I", i, None, (i, "x")) for i in range(100, 103)])
+    told = drain(log_stream(spark, logs, schema(spark, EVENTS + ", log string"), 2, {"a": 1, "b": 100}), lambda b, n: got.extend((r["log"], r["position"]) for r in b.select("log", "position").collect()), f"file://{tmp_path}/cp")
+    assert sorted(got) == [("a", 2), ("a", 3), ("a", 4), ("b", 101), ("b", 102)] and max(b["rows"] for b in told) <= 4
+
+
+def test_the_first_error_cancels_what_other_tables_do(spark, tmp_path):
+    from pyspark.sql.functions import udf
+
+    @udf("string")
+    def slowly(k):
+        time.sleep(3)
+        return "x"
+
+    def fails():
+        time.sleep(2)
+        raise ValueError("no source")
+
+    slow = lambda: spark.range(0, 200, 1, 4).select(F.col("id").alias("k"), slowly("id").alias("v"))
+    tables = [Table(n, "k", read, TableStore(spark, f"file://{tmp_path}/{n}", schema(spark), "k")) for n, read in (("slow", slow), ("bad", fails))]
+    began = time.monotonic()
+    with pytest.raises(ValueError, match="no source"):
+        Migration(spark, tables, schema(spark, EVENTS), f"file://{tmp_path}/cp").run()
+    assert time.monotonic() - began < 60  # the slow table alone takes 150
+
+
+def test_a_stop_cancels_a_running_copy_and_its_progress_is_told(spark, tmp_path):
+    from pyspark.sql.functions import udf
+
+    @udf("string")
+    def slowly(k):
+        time.sleep(2)
+        return "x"
+
+    slow = lambda: spark.range(0, 200, 1, 50).select(F.col("id").alias("k"), slowly("id").alias("v"))
+    target = TableStore(spark, f"file://{tmp_path}/slow", schema(spark), "k", 2)
+    m = Migration(spark, [Table("slow", "k", slow, target, rows_about=200)], schema(spark, EVENTS), f"file://{tmp_path}/cp")
+    shares = []
+
+    def look():
+        end = time.monotonic() + 60
+        while time.monotonic() < end and not (shares and shares[-1]):
+            shares.append(m.progress().first()["share"])
+            time.sleep(0.5)
+        m.stop()
+
+    threading.Thread(target=look).start()
+    began = time.monotonic()
+    with pytest.raises(Stopped):
+        m.run()
+    assert shares[-1] > 0 and time.monotonic() - began < 80
+
+
+def test_progress_tells_rows_bytes_and_speed(spark, tmp_path):
+    m, target = migration(spark, tmp_path, [(i, "x" * i) for i in range(50)])
+    m.copy()
+    told = m.progress().first()
+    assert told["copied_rows"] == 50 and told["copied_bytes"] > 500 and told["speed"] > 0 and told["eta"] == 0.0
+    counts = []
+    m.metrics.drain(counts.append)
+    assert {c.name: c.value for c in counts if c.name == "copied_rows"} == {"copied_rows": 50}
+
+
 def test_rows_that_change_around_the_copy_end_with_the_new_value(spark, tmp_path):
     log, now = f"file://{tmp_path}/log", {1: "old", 2: "gone", 3: "kept"}
     m, target = migration(spark, tmp_path, lambda: spark.createDataFrame(list(now.items()), ROW), log=log)

@@ -7,11 +7,12 @@ import queue
 import socket
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -75,10 +76,11 @@ class StatsD:
         self.socket.sendto(self.line(m).encode(), self.address)
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """The rows with a count of them that the job itself takes; read it when the job has run."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+def observed(df: DataFrame, name: str, size: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The rows with a count of them, and the sum of their sizes, that the job itself takes; read it when the job has run."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    sums = [F.count(F.lit(1)).alias("rows")] + ([F.sum(size).cast("bigint").alias("bytes")] if size is not None else [])
+    return df.observe(seen, *sums), seen
 
 
 def reporter(url: str, tags: Mapping[str, str] | None = None) -> Callable[[str, BaseException], None]:

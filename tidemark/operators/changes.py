@@ -24,13 +24,15 @@ def decoded(raw: DataFrame) -> DataFrame:
 
     ``raw``: position, db, table_name, op and rows (array of row structs). An
     update's rows come in pairs, as it was and as it is. ``row_at`` orders the
-    events of one position.
+    events of one position. What else the log says of an event, such as the end
+    of its transaction and when it was made, stays with each of its rows.
     """
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("rows") / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get("rows", 2 * i).alias("old"), F.get("rows", 2 * i + 1).alias("new")))
     nothing = F.get(F.col("rows"), F.lit(-1))
     single = F.transform("rows", lambda r: F.struct(F.when(F.col("op") == "D", r).otherwise(nothing).alias("old"), F.when(F.col("op") == "I", r).otherwise(nothing).alias("new")))
     events = F.filter(F.when(F.col("op") == "U", pairs).otherwise(single), lambda x: x["old"].isNotNull() | x["new"].isNotNull())
-    return raw.select("position", "db", "table_name", "op", F.posexplode(events).alias("row_at", "event")).select("position", "row_at", "db", "table_name", "op", "event.old", "event.new")
+    more = [c for c in raw.columns if c not in ("position", "db", "table_name", "op", "rows", "row_at", "event", "old", "new")]
+    return raw.select("position", "db", "table_name", "op", *more, F.posexplode(events).alias("row_at", "event")).select("position", "row_at", "db", "table_name", "op", *more, "event.old", "event.new")
 
 
 def with_key(events: DataFrame, key: str) -> DataFrame:

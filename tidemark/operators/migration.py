@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -16,9 +18,10 @@ from ..functions.keys import key_text, key_value
 from ..metrics import Metrics
 from ..scratch import written
 from ..sources.catalog import Handlers, check_columns, handled
+from ..sources.change_log import EVENTS_A_BATCH, log_stream
 from ..sources.store import TableStore
 from ..state import RunState
-from ..streaming.apply import ReverifyStore, applier, log_stream, start
+from ..streaming.apply import ReverifyStore, drain, fold
 from . import changes, progress, scan
 from .filters import AllRows, CopyFilter, JoinedRows, PrimaryKeyRow, TenantRows
 from .selection import JoinTable
@@ -95,7 +98,9 @@ class Table:
     A log holds either events (key, position, op, old, new) or raw row events
     (position, db, table_name, op, rows), also of other tables with the same
     columns; ``source_db`` and ``source_name`` are the names it knows, if the
-    table is renamed. Raw logs with event types pass ``handlers`` first.
+    table is renamed. Raw logs with event types pass ``handlers`` first. Tables
+    with one log are changed batch by batch together; if their targets are of
+    one ``StoreGroup``, at once.
     """
 
     name: str
@@ -153,8 +158,10 @@ def tenant_tables(
 class Migration:
     """Moves tables while they change, and proves it.
 
-    The log is read from its beginning, or from where an earlier run's state
-    ends, so nothing between is lost; what is applied twice does no harm.
+    Each log is read from its beginning, or from where an earlier run's state
+    ends in it, so nothing between is lost; stores remember how far they have a
+    log, so nothing is applied twice. Batches are whole transactions, of
+    ``events_per_batch`` events at most unless one has more.
     ``batch_rows``: rows of a copied batch, or a function that is asked before
     each; None copies a table at once, which Spark does in parallel anyway.
     """
@@ -182,6 +189,7 @@ class Migration:
     retries: int = 1
     reverify_every: float = 0.0
     hold_cutover: bool = False
+    events_per_batch: int = EVENTS_A_BATCH
 
     def __post_init__(self) -> None:
         self.reverify = ReverifyStore(self.spark, f"{self.checkpoint}/reverify")
@@ -192,6 +200,11 @@ class Migration:
         self.verifier.run = self
         self._allowed, self._stopping, self._positions = threading.Event(), threading.Event(), threading.Lock()
         self._lag_told = 0.0
+        self.tag = f"tidemark-{uuid.uuid4().hex}"
+        self.copied: dict[str, dict] = {}  # by table: rows and bytes copied, and when that began and ended
+        self.last_events: dict[str, float] = {}  # by log: when its last applied event was made, in seconds since 1970
+        self.batches: list[dict] = []  # a report of each batch of a log
+        self._cut = threading.Event()  # an error elsewhere has ended the run
         if not self.hold_cutover:
             self._allowed.set()
         self._resume_store()
@@ -210,14 +223,24 @@ class Migration:
     def _gate(self) -> None:
         """Before each piece of work: wait while held back, end if asked to."""
         while self.throttler.blocked():
-            if self._stopping.is_set():
+            if self._stopping.is_set() or self._cut.is_set():
                 break
             time.sleep(self.throttler.wait)
-        if self._stopping.is_set() and self.stage is not Stage.CUTOVER:
+        if (self._stopping.is_set() or self._cut.is_set()) and self.stage is not Stage.CUTOVER:
             raise Stopped("the run was stopped")
 
-    def _batches(self, table: Table, rows: DataFrame, last: str | None) -> Iterable[tuple[DataFrame, str]]:
-        """Rows by key, in the order of keys and after ``last``, with the last key of each batch as text."""
+    def _insert(self, table: Table, rows: DataFrame, low: str | None = None, high: str | None = None) -> None:
+        """Load rows, again after an error as often as allowed, and count what was loaded."""
+        began = time.monotonic()
+        loaded, size = retried(lambda: table.target.insert(rows, low, high), self.retries)
+        with self._positions:
+            now = self.copied.setdefault(table.name, {"rows": 0, "bytes": 0, "began": began, "ended": began})
+            now["rows"], now["bytes"], now["ended"] = now["rows"] + loaded, now["bytes"] + size, time.monotonic()
+        self.metrics.count("copied_rows", loaded, {"table": table.name})
+        self.metrics.count("copied_bytes", size, {"table": table.name})
+
+    def _batches(self, table: Table, rows: DataFrame, last: str | None) -> Iterable[tuple[DataFrame, str | None, str]]:
+        """Rows by key, in the order of keys and after ``last``, with the key before each batch and its last one as text."""
         kind, key = table.target.schema[table.key].dataType, F.col(table.key)
         if last is not None:
             rows = rows.where(key > key_value(F.lit(last), kind))
@@ -234,24 +257,24 @@ class Migration:
         for r in steps.orderBy("batch").toLocalIterator():  # one row at a time, and as few as there are steps
             taken, end = taken + 1, r["last_key"]
             if taken >= wanted:
-                yield between(low, end), end
+                yield between(low, end), low, end
                 low, taken = end, 0
                 wanted = -(-size() // step)
         if taken:
-            yield between(low, end), end
+            yield between(low, end), low, end
 
     def copy_table(self, table: Table, enforce: bool | None = None) -> None:
         """Load what the target lacks; then have the verifier look at it, which either fails or verifies again later."""
         enforce = self.enforce if enforce is None else enforce
         self._gate()
         if self.batch_rows is None or table.when != "copy":
-            retried(lambda: table.target.insert(table.rows()), self.retries)
+            self._insert(table, table.rows())
             self.verifier.copied(table, None, enforce)
         else:
-            for part, last in self._batches(table, table.rows(), self.state.last_keys.get(table.name)):
+            for part, low, last in self._batches(table, table.rows(), self.state.last_keys.get(table.name)):
                 self._gate()
-                retried(lambda part=part: table.target.insert(part), self.retries)
-                self.verifier.copied(table, part.select(table.key), enforce)
+                self._insert(table, part, low, last)
+                self.verifier.copied(table, (low, last), enforce)
                 for listener in self.on_batch:
                     listener(table, part)
                 with self._positions:
@@ -264,12 +287,38 @@ class Migration:
             listener(table)
 
     def copy(self) -> None:
-        """All tables, the largest first; the first error ends the run."""
+        """All tables, the largest first; the first error cancels what the others are doing and ends the run."""
         self.stage = Stage.COPYING
         todo = sorted((t for t in self.tables if t.when != "last" and t.name not in self.state.completed), key=self.order)
         with ThreadPoolExecutor(self.threads) as pool:
-            for done in [pool.submit(self.copy_table, t) for t in todo]:
-                done.result()
+            tasks = [pool.submit(self._tagged, t) for t in todo]
+            failed = [f for f in wait(tasks, return_when=FIRST_EXCEPTION).done if f.exception()]
+            if failed:
+                self._cut.set()
+                for f in tasks:
+                    f.cancel()
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        if failed:
+            self._raise(failed[0].exception())
+
+    def _tagged(self, table: Table) -> None:
+        """A table's copy in a pool of its own, so that tables share the cluster fairly, with jobs that can be cancelled."""
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        context.addJobTag(f"{self.tag}-{table.name}")
+        context.setLocalProperty("spark.scheduler.pool", table.name)
+        try:
+            self.copy_table(table)
+        finally:
+            context.removeJobTag(self.tag)
+            context.removeJobTag(f"{self.tag}-{table.name}")
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    def _raise(self, error: BaseException) -> None:
+        """The error of a job that a stop has cancelled is the stop."""
+        if self._stopping.is_set() and not isinstance(error, Stopped | KeyboardInterrupt):
+            raise Stopped("the run was stopped") from error
+        raise error
 
     def copy_standalone(self, names: Sequence[str]) -> None:
         """Copy some tables again, whatever the state says; a row that differs on the target is an error."""
@@ -278,48 +327,78 @@ class Migration:
 
     # --- changes ---
 
+    def _logs(self) -> dict[str, list[Table]]:
+        """The tables of each log."""
+        out: dict[str, list[Table]] = {}
+        for t in self.tables:
+            if t.log:
+                out.setdefault(t.log, []).append(t)
+        return out
+
     def catch_up(self) -> float:
         """Apply every log up to where it ends now; the seconds it took."""
         began = time.monotonic()
-        for table in self.tables:
-            if table.log:
-                self._apply(table)
+        for log, tables in self._logs().items():
+            self._apply(log, tables)
         return time.monotonic() - began
 
     def wait_until_almost_caught_up(self, most: float = ALMOST) -> None:
-        """Catch up again until a round takes so little that the log can't be far ahead."""
-        while self.catch_up() > most:
-            pass
-
-    def _apply(self, table: Table) -> None:
-        log = f"log-{table.name}"
-
-        def listen(batch: DataFrame, batch_id: int) -> None:
-            ends = [F.max("position").alias("position")]
-            if "resumable_position" in batch.columns:  # where a transaction ended, if the log says so
-                ends = [F.max("resumable_position").alias("position")]
-            if "ts" in batch.columns:
-                ends.append(F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("ts"))
-            last = batch.agg(*ends).first()
-            with self._positions:
-                self.state.written_position = max(self.state.written_position, last["position"] or 0)
-            self.verifier.changed(batch, table, (log, batch_id))
-            with self._positions:
-                self.state.verified_position = max(self.state.verified_position, last["position"] or 0)
-            if "ts" in batch.columns and last["ts"] and time.monotonic() - self._lag_told >= 1:
-                self._lag_told = time.monotonic()
-                self.metrics.gauge("lag", time.time() - last["ts"], {"table": table.name})
-
-        run = applier(table.target, self._gate, (listen,), log, table.prepared)
-        stream = log_stream(self.spark, table.log, table.log_schema or self.log_schema, files_per_batch=1000, after=self._after())
-        query = start(stream, run, f"{self.checkpoint}/{log}")
-        query.awaitTermination()
+        """Catch up again until every log was quiet, its last event is young, or a round took so little that no log can be far ahead."""
+        while True:
+            seen = len(self.batches)
+            took = self.catch_up()
+            ages = [self.age(log) for log in self._logs()]
+            if len(self.batches) == seen or took <= most or all(a is not None and a <= most for a in ages):
+                return
+
+    def age(self, log: str) -> float | None:
+        """Seconds since the last applied event of a log was made, if its events say when."""
+        return None if log not in self.last_events else time.time() - self.last_events[log]
+
+    def _apply(self, log: str, tables: list[Table]) -> None:
+        """Apply a log's whole transactions to its tables, batch by batch, from where state and stores have it."""
+
+        def run(batch: DataFrame, _: int) -> None:
+            self._gate()
+            batch = batch.persist()
+            try:
+                ends = [F.max("position").alias("position")]
+                if "ts" in batch.columns:
+                    ends.append(F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("ts"))
+                last = batch.agg(*ends).first()
+                if last["position"] is not None:
+                    self._applied(log, tables, batch, last["position"], last["ts"] if "ts" in batch.columns else None)
+            finally:
+                batch.unpersist()
 
-    def _after(self) -> int:
-        """Events up to here were applied by the run whose state this one began with."""
-        if not hasattr(self, "_began_at"):
-            self._began_at = self.state.resume_from()
-        return self._began_at
+        schema = tables[0].log_schema or self.log_schema
+        stream = log_stream(self.spark, log, schema, self.events_per_batch, self.state.resume_from(log))
+        try:
+            # where to begin is known from the state, so that a checkpoint is of this query alone
+            self.batches += [{"log": log, **b} for b in drain(stream, run, f"{self.checkpoint}/log-{uuid.uuid4().hex}")]
+        except Exception as error:
+            self._raise(error)
+
+    def _applied(self, log: str, tables: list[Table], batch: DataFrame, position: int, made: float | None) -> None:
+        """One batch into the tables' targets, then to the verifier; positions are told when each has all of it."""
+        events = {t.name: t.prepared(batch) for t in tables}
+        groups = {id(t.target.group): t.target.group for t in tables}
+        group = next(iter(groups.values())) if len(groups) == 1 else None
+        with group.transaction(**{log: position}) if group is not None else nullcontext():
+            for t in tables:
+                fold(t.target, events[t.name], log, position)
+        with self._positions:
+            self.state.verified.setdefault(log, self.state.resume_from(log))  # until the verifier has the batch
+            self.state.written[log] = max(self.state.written.get(log, position), position)
+        for t in tables:
+            self.verifier.changed(events[t.name], t, (f"{log} {t.name}", position))
+        with self._positions:
+            self.state.verified[log] = max(self.state.verified.get(log, position), position)
+        if made is not None:
+            self.last_events[log] = made
+            if time.monotonic() - self._lag_told >= 1:
+                self._lag_told = time.monotonic()
+                self.metrics.gauge("lag", time.time() - made, {"log": log})
 
     # --- verification ---
 
@@ -355,7 +434,6 @@ class Migration:
         An error, or an interrupt from outside, ends the run after its state
         was handed to ``on_error``.
         """
-        self._after()
         end_passes = self.verifier.start_in_background(self.reverify_every) if self.reverify_every else lambda: None
         try:
             try:
@@ -394,11 +472,12 @@ class Migration:
         self._allowed.set()
 
     def stop(self) -> None:
-        """End the run before its next piece of work; refused during cutover."""
+        """End the run: cancel the copies' jobs, and go no further than the batch of a log at hand; refused during cutover."""
         if self.stage is Stage.CUTOVER:
             raise RuntimeError("a run in cutover can't be interrupted")
         self._stopping.set()
         self._allowed.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def settings(self, **new: object) -> dict[str, object]:
         """What may be changed while a run goes on, after setting what is given: batch_rows, max_lag, reverify_every."""
@@ -424,9 +503,35 @@ class Migration:
         """table_name, state: the tables that wait, those that are copied, those that are done."""
         return self.progress().select("table_name", "state")
 
+    def _share(self, table: Table) -> float | None:
+        """How much of the tasks of a table's running jobs is done."""
+        tracker = self.spark.sparkContext._jsc.sc().statusTracker()
+        jobs = [i.get() for j in tracker.getJobIdsForTag(f"{self.tag}-{table.name}") if (i := tracker.getJobInfo(j)).isDefined()]
+        running = [i for job in jobs if job.status().toString() == "RUNNING" for s in job.stageIds() if (o := tracker.getStageInfo(s)).isDefined() for i in [o.get()]]
+        tasks = sum(s.numTasks() for s in running)
+        return sum(s.numCompletedTasks() for s in running) / tasks if tasks else None
+
     def progress(self) -> DataFrame:
-        """table_name, state, last_key (text) and rows_about of each table, in the order of a status list."""
+        """table_name, state, last_key (text), rows_about, and of the copy rows, bytes, speed (rows/s), share (of the running job's tasks) and eta (s) of each table, in the order of a status list."""
         state = lambda t: "completed" if t.name in self.state.completed else "copying" if self.stage is Stage.COPYING else "waiting"
-        rows = [(t.name, state(t), self.state.last_keys.get(t.name), t.rows_about) for t in self.tables]
+        rows = []
+        for t in self.tables:
+            with self._positions:
+                got = dict(self.copied.get(t.name, {"rows": 0, "bytes": 0, "began": 0.0, "ended": 0.0}))
+            speed = got["rows"] / took if (took := got["ended"] - got["began"]) > 0 else None
+            done = state(t) == "completed"
+            eta = 0.0 if done else max(0, t.rows_about - got["rows"]) / speed if speed and t.rows_about else None
+            rows.append((t.name, state(t), self.state.last_keys.get(t.name), t.rows_about, got["rows"], got["bytes"], speed, None if done else self._share(t), eta))
         rows.sort(key=lambda r: (progress.STATES.index(r[1]), r[0]))
-        return self.spark.createDataFrame(rows, "table_name string, state string, last_key string, rows_about bigint")
+        return self.spark.createDataFrame(rows, "table_name string, state string, last_key string, rows_about bigint, copied_rows bigint, copied_bytes bigint, speed double, share double, eta double")
+
+    def stop_on(self, *signals: int) -> None:
+        """Let signals (by default SIGTERM) stop the run, so that its state is dumped; in cutover they wait for its end."""
+        import signal
+
+        def stopped(number: int, frame: object) -> None:
+            if self.stage is not Stage.CUTOVER:
+                self.stop()
+
+        for number in signals or (signal.SIGTERM,):
+            signal.signal(number, stopped)

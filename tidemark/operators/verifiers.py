@@ -74,8 +74,8 @@ class Verifier(ABC):
 
     run = None
 
-    def copied(self, table, keys: DataFrame | None, enforce: bool) -> None:
-        """Rows of a table have been copied (those of ``keys``, or all)."""
+    def copied(self, table, span: tuple[str | None, str] | None, enforce: bool) -> None:
+        """Rows of a table have been copied: those with keys after the one text up to the other, or all."""
 
     def changed(self, events: DataFrame, table, batch: tuple[str, int]) -> None:
         """Events have been applied to a table."""
@@ -131,10 +131,11 @@ class InlineVerifier(Verifier):
     def store(self) -> ReverifyStore:
         return self.run.reverify
 
-    def _differing(self, table, keys: DataFrame | None) -> DataFrame:
-        source, target = table.rows(), table.target.read()
+    def _differing(self, table, keys: DataFrame | None, span: tuple[str | None, str] | None = None) -> DataFrame:
         if keys is not None:
-            return diff.lookup_diff(source, target, table.key, keys, table.ignored)
+            return diff.lookup_diff(table.rows(), table.target.read(), table.key, keys, table.ignored)
+        # of both sides only the span is read
+        source, target = table.target.range_filter(table.rows(), *(span or (None, None))), table.target.read(*(span or (None, None)))
         # what the target has besides is no matter of the rows copied
         return diff.classified(source, target.join(source.select(table.key), table.key, "left_semi"), table.key, table.ignored)
 
@@ -143,8 +144,8 @@ class InlineVerifier(Verifier):
         if not keys.isEmpty():
             self.store.add(keys)
 
-    def copied(self, table, keys: DataFrame | None, enforce: bool) -> None:
-        found = written(self._differing(table, keys), "differences")
+    def copied(self, table, span: tuple[str | None, str] | None, enforce: bool) -> None:
+        found = written(self._differing(table, None, span), "differences")
         if enforce:
             told({table.name: found}, self.run.by_name).raised()
         else:
@@ -195,9 +196,9 @@ class InlineVerifier(Verifier):
 class IterativeVerifier(InlineVerifier):
     """Compares whole tables once the copy is done, on both sides; then goes on like the inline verifier."""
 
-    def copied(self, table, keys: DataFrame | None, enforce: bool) -> None:
+    def copied(self, table, span: tuple[str | None, str] | None, enforce: bool) -> None:
         if enforce:
-            super().copied(table, keys, enforce)
+            super().copied(table, span, enforce)
 
     def before_cutover(self) -> Result:
         for table in self.run.tables:
@@ -274,9 +275,9 @@ class AllOf(Verifier):
         for p in self.parts:
             p.run = run
 
-    def copied(self, table, keys: DataFrame | None, enforce: bool) -> None:
+    def copied(self, table, span: tuple[str | None, str] | None, enforce: bool) -> None:
         for p in self.parts:
-            p.copied(table, keys, enforce)
+            p.copied(table, span, enforce)
 
     def changed(self, events: DataFrame, table, batch: tuple[str, int]) -> None:
         for p in self.parts:

@@ -11,8 +11,9 @@ from ..operators.selection import JoinTable
 from ..scratch import scratch_path
 from ..session import table
 from ..sources import fixtures
+from ..sources.change_log import log_stream
 from ..sources.store import TableStore
-from ..streaming.apply import ReverifyStore, applier, log_stream, start
+from ..streaming.apply import ReverifyStore, applier, drain
 from .register import BALANCES, query
 
 #: Parts in which a log is delivered.
@@ -59,7 +60,7 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     parted = _parted(log, f"{path}/parts")
     for part in range(PARTS):
         _deliver(log, parted, f"{path}/log", part)
-        start(log_stream(spark, f"{path}/log", log.schema, 1000), applier(store), f"{path}/checkpoint").awaitTermination()
+        drain(log_stream(spark, f"{path}/log", log.schema, after=store.applied("log")), applier(store), f"{path}/checkpoint-{part}")
     return store.read()
 
 
@@ -68,11 +69,12 @@ def stream_reverify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes by key, counted as a stream."""
     path, log = scratch_path(spark, "reverify"), sound_log(spark, sf_dir)
     store = ReverifyStore(spark, f"{path}/store", 4)
-    count = lambda batch, n: store.add(batch.select(F.lit("").alias("db"), F.lit("t").alias("table_name"), "key"), ("log", n))
+    named = lambda batch: batch.select(F.lit("").alias("db"), F.lit("t").alias("table_name"), "key")
+    count = lambda batch, _: store.add(named(batch), ("log", batch.agg(F.max("position")).first()[0]))
     parted = _parted(log, f"{path}/parts")
     for part in range(PARTS):
         _deliver(log, parted, f"{path}/log", part)
-        start(log_stream(spark, f"{path}/log", log.schema, 1000), count, f"{path}/checkpoint").awaitTermination()
+        drain(log_stream(spark, f"{path}/log", log.schema, after=store.store.applied("log")), count, f"{path}/checkpoint-{part}")
     return store.entries().withColumn("key", F.col("key").cast("bigint"))
 
 

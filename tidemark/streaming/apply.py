@@ -11,47 +11,66 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import key_text
 from ..operators import changes
+from ..sources.change_log import log_stream as log_stream
 from ..sources.store import TableStore
 
 Gate = Callable[[], None]
 Listener = Callable[[DataFrame, int], None]
 
 
-def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, after: int = 0) -> DataFrame:
-    """The files of a change log in the order in which they appear; events up to position ``after`` are left out."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return stream.where(F.col("position") > after) if after else stream
-
-
 def applier(store: TableStore, gate: Gate | None = None, listeners: tuple[Listener, ...] = (), log: str = "log", prepared: Callable[[DataFrame], DataFrame] | None = None) -> Listener:
     """A batch function: fold the batch into the store once, then tell the listeners, in order.
 
     ``prepared`` makes events (key, position, op, old, new) of what the log
-    holds. A batch that the store has already is not folded again; listeners
-    are told with its number and see to that themselves. ``gate`` is called
-    before a batch and may hold it back.
+    holds. The store remembers up to which position it has the log, so events
+    that come again are not folded again, whatever batch they come in;
+    listeners are told with that position and see to that themselves. ``gate``
+    is called before a batch and may hold it back.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if gate:
             gate()
-        batch = (prepared(batch) if prepared else batch).persist()
+        batch = batch.persist()
         try:
-            store.update(batch.select(F.col("key").alias(store.key)), lambda rows: changes.apply_changes(rows, batch, store.key), (log, batch_id))
+            if (last := batch.agg(F.max("position")).first()[0]) is None:
+                return
+            events = prepared(batch) if prepared else batch
+            fold(store, events, log, last)
             for listener in listeners:
-                listener(batch, batch_id)
+                listener(events, last)
         finally:
             batch.unpersist()
 
     return run
 
 
-def start(stream: DataFrame, run: Listener, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
-    """Apply what there is and stop (a bounded run), or go on every so many seconds."""
+def fold(store: TableStore, events: DataFrame, log: str, last: int) -> bool:
+    """Fold the events of a log that a store does not have yet into it, up to position ``last``."""
+    fresh = events.where(F.col("position") > store.applied(log))
+    return store.update(fresh.select(F.col("key").alias(store.key)), lambda rows: changes.apply_changes(rows, fresh, store.key), (log, last))
+
+
+def start(stream: DataFrame, run: Listener, checkpoint: str, seconds: float | None = 0.0) -> StreamingQuery:
+    """Apply batch after batch, looking for more every so many seconds; None: those files that are there, and stop."""
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def drain(stream: DataFrame, run: Listener, checkpoint: str) -> list[dict]:
+    """Apply all that is there, in as many batches as the source makes of it, and stop; a report of each batch with events."""
+    query = start(stream, run, checkpoint)
+    try:
+        query.processAllAvailable()
+        return [p for p in map(_report, query.recentProgress) if p["rows"]]
+    finally:
+        query.stop()
+
+
+def _report(progress) -> dict:
+    return {"batch": progress["batchId"], "rows": progress["numInputRows"], "end": progress["sources"][0]["endOffset"]}
+
+
 STORE_SCHEMA = "id string, db string, table_name string, key string, changes bigint"
 
 
