@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_batches
 
-MODEL_WORDS, BUCKETS, KNOWN, KNOWN_BYTES = 8192, 256, 100_000, 64
+MODEL_WORDS, BUCKETS, KNOWN, KNOWN_BYTES = 8192, 256, 200_000, 64
 #: Ids before the one that is predicted, and numbers in a vector.
 CONTEXT, WIDE = 3, 16
 #: Noise ids for a batch of classes and for each class's ids, and how far a step goes.
@@ -51,7 +51,7 @@ HELD = 300_000
 #: The end of a text, as no word is written; before a text's first word stand ends too.
 END = b"\n"
 #: Models that a task adds up.
-FAN_IN = 32
+FAN_IN = 8
 SEED = 12
 
 
@@ -401,17 +401,18 @@ def scored(rows: DataFrame, counts: DataFrame, known: Vocabulary, model: LogBili
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, before, starts = _with_before(batch.column(1).to_pylist(), end)
+            ids, before, starts = _with_before(batch.column(0).to_pylist(), end)
             each = np.concatenate([np.zeros(0), *(model.log10(ids[a : a + CHUNK], before[a : a + CHUNK]) for a in range(0, len(ids), CHUNK))])
             sums = np.add.reduceat(each, starts[:-1])  # no text is without its end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.float64())], names=["row", "n_tokens", "by_model"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.float64())], names=[*light, "n_tokens", "by_model"])
 
-    light = rows.select("row", "doc_id", "held_out", "n_known", "seen", "within")
-    by_model = text_batches(rows.select("row", "ids")).mapInArrow(run, "row bigint, n_tokens bigint, by_model double")
+    light = ["row", "doc_id", "held_out", "n_known", "seen", "within"]
+    out = "row bigint, doc_id bigint, held_out boolean, n_known bigint, seen double, within double, n_tokens bigint, by_model double"
+    by_model = text_batches(rows.select("ids", *light)).mapInArrow(run, out)
     words = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     rest = words.join(counts, "word", "left").groupBy("row").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    both = light.join(by_model, "row").join(rest, "row", "left")
+    both = by_model.join(rest, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     whole = float(np.log10(known.total + known.distinct + 1.0))
     return both.select(
