@@ -68,3 +68,30 @@ def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": [1, 2], "text": ["one two three four five six", "sieben acht neun"], "lang": ["en", "de"], "source": ["a", None], "n_chars": [5, 6]}))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, docs, "").columns) == set(docs.columns), name
+
+
+ODD_COLUMNS = ["__id", "__th", "__digest", "__row", "__position", "kept", "rows", "digest", "node", "label", "position", "c0", "positions"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_that_clash_come_back_as_they_were(spark, name):
+    texts = [f"these are some words of an ordinary text of which there are several, number {i} and {i * 7}" for i in range(12)]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(12), "text": texts, "lang": ["en"] * 12, "source": ["a", "b"] * 6, "n_chars": [5] * 12} | {c: [f"{c}{i}" for i in range(12)] for c in ODD_COLUMNS}))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.columns == docs.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got and got <= {tuple(r) for r in docs.collect()}
+
+
+def test_near_duplicates_without_ids_leave_one(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
+    words = base.split()
+    near = lambda i: " ".join(words[:-1] + [f"end{i}"])
+    other = " ".join(f"word{i}" for i in range(60))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    out = stage(spark, spark.createDataFrame([(None, near(1), "en", "a", 1), (None, near(2), "en", "a", 1), (None, near(2), "en", "a", 1), (None, other, "en", "a", 1)], schema), "")
+    assert sorted(r["text"][:5] for r in out.collect()) == ["alpha", "word0"]
+    # one id in two components: each keeps its own
+    out = stage(spark, spark.createDataFrame([(1, near(1), "en", "a", 1), (2, near(2), "en", "a", 1), (1, other, "en", "a", 1)], schema), "")
+    assert sorted(r["text"][:5] for r in out.collect()) == ["alpha", "word0"]

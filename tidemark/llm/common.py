@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,21 @@ def kept_rows(marked: DataFrame, keys: list[str], gone: DataFrame, again: DataFr
     return rest.unionByName(marked.join(known(again), same, "left_semi").dropDuplicates(keys))
 
 
+#: The columns of documents that operators read by name.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def own_names(stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A stage that returns the columns of what it gets: while it runs, those it does not read have names that clash with none of its own."""
+
+    @wraps(stage)
+    def run(docs: DataFrame) -> DataFrame:
+        plain = docs.toDF(*(c if c in READ else f"other_{i}" for i, c in enumerate(docs.columns)))
+        return stage(plain).select(*plain.columns).toDF(*docs.columns)
+
+    return run
+
+
 #: Texts in an Arrow batch at most.
 TEXTS_A_BATCH = 1000
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, joined_by_size, kept_rows, staged
+from .common import ascii_lower, joined_by_size, kept_rows, own_names, staged
 
 #: Digests a bucket holds on average; a bucket's table takes about 60 bytes a digest.
 BUCKET_KEYS = 20_000
@@ -193,6 +193,7 @@ def decided(docs: DataFrame, history_to: int | None = None) -> DataFrame:
     return joined_by_size(copies.withColumnRenamed("n", "same_id"), groups, "digest", "group_size", n)
 
 
+@own_names
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that ``exact_dedup`` keeps; of a repeated row one."""
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -135,7 +135,9 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows with a language and a text that are not held out.
 
-    To the driver come one row of counts a language, FEATURES numbers each.
+    To the driver come one row of counts a language, FEATURES numbers each, so
+    ``lang`` must hold languages, some hundreds at most. Repeated rows are as
+    many rows; an empty table gives a model that tells nothing.
     """
     rows = text_batches(docs).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -165,7 +167,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0, and so is
     every text where nothing was learned. Very long texts are read whole, in
     blocks; of languages with equal scores the first by name is given, and the
-    text is flagged. Columns of those names are replaced.
+    text is flagged. Columns of those names are replaced. Repeated rows have a
+    row each, an empty table gives none.
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]

@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import own_names, staged
 
 #: Weights that sources take in turn, by code point of their names.
 WEIGHTS = (5, 2, 1)
@@ -122,7 +122,8 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
 
     ``schedule``: (source, time, weight) points, linear between them; by
     default a rule's. A source's documents stand in the order of ``key`` (by
-    default an MD5 of the id, and of the text for ties); ``target`` words are
+    default an MD5 of the id; of rows with one key the smaller first, then by a
+    hash of the text); ``target`` words are
     laid along that order again and again, and a copy is taken if the mix
     reaches its middle. ``positions`` has the training time (0 to 1) of each
     copy's first word. Null text has size 0 and is not taken; null sources are
@@ -132,7 +133,8 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     are ranked in one task, a row each.
     """
     # texts are read once, for their sizes
-    sized = staged(docs.withColumn("size", word_count(F.col("text").cast("string"))).drop("text"), "sizes")
+    text = F.col("text").cast("string")
+    sized = staged(docs.withColumn("size", word_count(text)).withColumn("__tie", F.xxhash64(text)).drop("text"), "sizes")
     digits, n = 2, sized.count()
     while 16**digits * ROWS_A_SLICE < n and digits < 8:
         digits += 1
@@ -143,7 +145,7 @@ def assign(docs: DataFrame, key: Column | None = None, weights: tuple[int, ...]
     ahead = Window.partitionBy("source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select(F.col("source").alias("__s"), F.col("__slice").alias("__sl"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
     starts = starts.join(by, F.col("__s").eqNullSafe(F.col("__source"))).drop("__source")
-    inside = Window.partitionBy("source", "__slice").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__slice").orderBy("__key", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__sl")))
     first = (F.col("__start") + F.col("__in")).cast("double")
@@ -164,6 +166,7 @@ def training_order(assigned: DataFrame) -> DataFrame:
     return copies.repartitionByRange(parts, "position").sortWithinPartitions("position", "doc_id")
 
 
+@own_names
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, once for each copy the mix takes, sorted by range of position.
 

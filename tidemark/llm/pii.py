@@ -275,7 +275,11 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     places = places.withColumn("kind", kind).where(_is_entity(F.col("kind"), F.col("surface"))).withColumn("norm", normal(F.col("kind"), F.col("surface")))
     places = staged(places, "places")
     forms = surrogates(places, key)
-    named = places.join(forms, ["kind", "norm"]).select("doc_id", "th", "at", "kind", reshape(F.col("kind"), F.col("surface"), F.col("form")).alias("new"))
+    # an address may stand in a third of all documents
+    entity = F.struct("kind", "norm").alias("entity")
+    sizes = places.groupBy(entity).agg(F.count("*").alias("n"))
+    formed = staged(forms.select(entity, "form").join(sizes, "entity"), "formed")
+    named = joined_by_size(places.withColumn("entity", entity), formed, "entity", "n").select("doc_id", "th", "at", "kind", reshape(F.col("kind"), F.col("surface"), F.col("form")).alias("new"))
     by = named.groupBy(F.col("doc_id").alias("__i"), F.col("th").alias("__t")).agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"), F.count("*").alias("n_entities"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     joined = held.join(by, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), "left")
     old, gaps = found(F.col("text")), F.split("text", ANY, -1)

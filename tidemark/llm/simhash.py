@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, joined_by_size, kept_rows, staged, text_batches
+from .common import components, discard, joined_by_size, kept_rows, own_names, staged, text_batches
 
 #: Members of a bucket up to which all its pairs are compared at once.
 PAIRWISE = 64
@@ -300,11 +300,11 @@ def near_groups(prints: DataFrame) -> DataFrame:
     return _spread(distinct, components(links), "fp0")
 
 
-def _spread(distinct: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    """Smallest id of each component, for each of its nodes (``distinct``: node, least, n)."""
+def _spread(distinct: DataFrame, labels: DataFrame, node: str, *more: str) -> DataFrame:
+    """Smallest id of each component, for each of its nodes (``distinct``: node, least, n); with ``label`` as one of ``more`` its name."""
     labelled = distinct.join(labels.withColumnRenamed("node", node), node, "left").withColumn("label", F.coalesce("label", node))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return staged(labelled.select(node, "label", "n").join(least, "label").select(node, "component_id", "n"), "groups")
+    return staged(labelled.select(node, "label", "n").join(least, "label").select(node, *more, "component_id", "n"), "groups")
 
 
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -446,18 +446,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     label = components(links).withColumnRenamed("node", "id")
     rest = listed(members.where("id <> least")).join(label, "id", "left").join(prints_of, "id")
     pairs = unlinked(rest.select(F.explode("keys").alias("key"), "id", F.coalesce("label", "id").alias("label"), *names), limit)
-    groups = _spread(nodes.select("node", "least", "n"), components(links.unionByName(check(pairs))), "node")
+    groups = _spread(nodes.select("node", "least", "n"), components(links.unionByName(check(pairs))), "node", "label")
     discard(met, members, nodes)
     rows = joined_by_size(prints.groupBy("doc_id", "th", "node").agg(F.count("*").alias("rows")), groups, "node", "n")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    # by the component's own name: its smallest id may be another's too, or none
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
-    named = rows.where("component_id IS NOT NULL").join(first, "component_id").select("doc_id", "th", "component_id", same.alias("kept"), "rows")
-    nameless = rows.where("component_id IS NULL").select("doc_id", "th", "component_id", F.lit(True).alias("kept"), "rows")
-    return named.unionByName(nameless)
+    return rows.join(first, "label").select("doc_id", "th", "component_id", same.alias("kept"), "rows")
 
 
+@own_names
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each near-duplicate group."""
+    """The rows of ``docs``, all columns, with one document of each near-duplicate group, also of those whose rows have no id."""
     decided = staged(near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "kept", "rows"), "decided")
     marked = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__th", text_hash())
     gone, again = decided.where("NOT kept").select("__id", "__th"), decided.where("kept AND rows > 1").select("__id", "__th")
