@@ -440,6 +440,19 @@ def test_a_transaction_over_two_files_waits_for_its_end(spark, tmp_path):
     assert sorted(r["position"] for r in read_log(spark, log, schema(spark, RAW), 1).collect()) == [2, 3, 4, 5, 6]
 
 
+def test_the_command_line_moves_changes_of_several_tables(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    for n in ("x", "y"):
+        spark.createDataFrame([(0, "0"), (1, "1")], ROW).write.parquet(f"{tmp_path}/source/{n}.parquet")
+    _raw_log(spark, f"file://{tmp_path}/log", range(2), names=("x", "y"))
+    args = ["copy", "--source", f"file://{tmp_path}/source", "--target", f"file://{tmp_path}/target", "--table", "x:k", "--table", "y:k:z", "--log", f"file://{tmp_path}/log", "--db", "d", "--group", "all"]
+    assert main(args) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["written"] == {f"file://{tmp_path}/log": 4}
+    stores = {n: TableStore(spark, f"file://{tmp_path}/target/{n}", schema(spark), "k") for n in ("x", "z")}
+    group = StoreGroup(spark, f"file://{tmp_path}/target/all", stores)
+    assert all(rows(group.read(n)) == [(0, "0"), (1, "1")] for n in stores) and group.applied(f"file://{tmp_path}/log") == 4
+
+
 def test_a_query_goes_on_from_its_own_checkpoint(spark, tmp_path):
     log, got = f"file://{tmp_path}/log", []
     for part in range(3):

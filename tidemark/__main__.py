@@ -22,7 +22,7 @@ from .operators.selection import JoinTable
 from .operators.verifiers import ChecksumVerifier, ColumnVerifier, InlineVerifier, IterativeVerifier, NoVerifier
 from .session import build_session, check_settings
 from .sources.catalog import bytes_of
-from .sources.store import TableStore
+from .sources.store import StoreGroup, TableStore
 from .state import RunState
 
 VERIFIERS = {"inline": InlineVerifier, "iterative": IterativeVerifier, "checksum": ChecksumVerifier, "columns": ColumnVerifier, "none": NoVerifier}
@@ -37,6 +37,9 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--tenant", help="column=value, of a move")
     parser.add_argument("--joined", action="append", default=[], help="name:key:link_table:join_column")
     parser.add_argument("--keyed", action="append", default=[], help="name:key of a table that the tenant keys")
+    parser.add_argument("--log", help="a folder with the raw row events (position, db, table_name, op, rows) of all tables; their targets then change together")
+    parser.add_argument("--db", default="", help="the database of the log whose events are the tables'")
+    parser.add_argument("--group", help="a name: tables change at once, and are read through the group of that name")
     parser.add_argument("--buckets", type=int, help="a fixed number of buckets; else by size")
     parser.add_argument("--batch-rows", type=int)
     parser.add_argument("--verifier", choices=sorted(VERIFIERS), default="inline")
@@ -57,7 +60,8 @@ def main(args: list[str]) -> int:
         path = f"{options.source}/{name}.parquet"
         schema, new_name = spark.read.parquet(path).schema, new_name or name
         store = TableStore(spark, f"{options.target}/{new_name}", schema, key, options.buckets)
-        return Table(new_name, key, lambda: spark.read.parquet(path), store, rows_about=bytes_of(spark, path), source_name=name)
+        schema_of_log = spark.read.parquet(options.log).schema if options.log else None
+        return Table(new_name, key, lambda: spark.read.parquet(path), store, rows_about=bytes_of(spark, path), source_name=name, source_db=options.db, log=options.log, log_schema=schema_of_log)
 
     tables = [made(x) for x in options.table]
     if options.what == "move":
@@ -69,6 +73,8 @@ def main(args: list[str]) -> int:
             return made(f"{name}:{key}"), lambda: [JoinTable(spark.read.parquet(f"{options.source}/{link}.parquet"), column, join_column)]
 
         tables = tenant_tables(column, value, tables, [linked(x) for x in options.joined], [made(x) for x in options.keyed])
+    if options.group:
+        StoreGroup(spark, f"{options.target}/{options.group}", {t.name: t.target for t in tables})
     if options.dry_run:
         for t in tables:
             print(f"{t.name}: key {t.key}, {t.rows().count()} rows")
@@ -87,6 +93,7 @@ def main(args: list[str]) -> int:
             spark, tables, T.StructType(), f"{options.target}/_run", state=state, on_error=dump, enforce=options.enforce,
             batch_rows=options.batch_rows, verifier=VERIFIERS[options.verifier](),
         )
+        run.stop_on()
         print(run.run().dumps())
         return 0
     bad = 0

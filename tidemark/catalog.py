@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import change_log, reports, runs, scans, verification  # noqa: F401  they register their queries
+from .plans import change_log, logs, reports, runs, scans, verification  # noqa: F401  they register their queries
 from .plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

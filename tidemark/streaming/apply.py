@@ -51,15 +51,15 @@ def fold(store: TableStore, events: DataFrame, log: str, last: int) -> bool:
     return store.update(fresh.select(F.col("key").alias(store.key)), lambda rows: changes.apply_changes(rows, fresh, store.key), (log, last))
 
 
-def start(stream: DataFrame, run: Listener, checkpoint: str, seconds: float | None = 0.0) -> StreamingQuery:
+def start(stream: DataFrame, run: Listener, checkpoint: str, seconds: float | None = 0.0, mode: str = "append") -> StreamingQuery:
     """Apply batch after batch, looking for more every so many seconds; None: those files that are there, and stop."""
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def drain(stream: DataFrame, run: Listener, checkpoint: str) -> list[dict]:
+def drain(stream: DataFrame, run: Listener, checkpoint: str, mode: str = "append") -> list[dict]:
     """Apply all that is there, in as many batches as the source makes of it, and stop; a report of each batch with events."""
-    query = start(stream, run, checkpoint)
+    query = start(stream, run, checkpoint, mode=mode)
     try:
         query.processAllAvailable()
         return [p for p in map(_report, query.recentProgress) if p["rows"]]
