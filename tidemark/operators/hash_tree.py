@@ -38,7 +38,7 @@ def _numeric(kind: T.DataType) -> bool:
 
 
 class Tree:
-    """The ranges of two tables' keys. Keys whose type has no numbers are one range; a null key is in the first."""
+    """The ranges of two tables' keys. Keys whose type has no numbers are one range. Keys are not null: rows without one, in the first range, match no row where that differs."""
 
     def __init__(self, source: DataFrame, target: DataFrame, key: str, ignored: Iterable[str] = ()):
         self.key, self.ignored, self.kind = key, list(ignored), source.schema[key].dataType
