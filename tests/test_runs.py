@@ -735,7 +735,7 @@ def test_errors_are_posted_once_with_the_state(spark, tmp_path):
     with pytest.raises(VerificationFailed):
         m.run()
     report("{}", ValueError())
-    assert len(got) == 1 and got[0]["run"] == "r" and got[0]["error"].startswith("VerificationFailed") and got[0]["state"]["version"] == "1"
+    assert len(got) == 1 and got[0]["run"] == "r" and got[0]["error"].startswith("VerificationFailed") and got[0]["state"]["version"] == "2"
     with pytest.raises(Exception, match="500"):
         reporter(f"http://127.0.0.1:{server.server_port}/")("{}", ValueError())
     server.shutdown()
