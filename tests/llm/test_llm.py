@@ -247,6 +247,41 @@ def test_members_of_a_bucket_meet_all_that_are_not_connected(spark, monkeypatch,
     assert got == {(a, b) for k, a, x, m in rows for q, b, y, n in rows if a < b and k == q and m != n and (x ^ y).bit_count() <= 6}
 
 
+@pytest.mark.parametrize("n", [0, 1, 30, 300, 3000, 30_000])
+def test_maps_of_sets_never_rule_out_a_pair_that_is_alike(n):
+    rng = np.random.default_rng(n)
+    described = lambda h: np.array([len(h), *simhash._set_map(h)], dtype=np.uint64)
+    refused = {}
+    for share in (0.2, 0.5, 0.7, 0.8, 0.9, 1.0):  # of a set's elements that the other has too
+        both = rng.integers(0, 2**64, round(n * share), dtype=np.uint64)
+        a, b = (np.unique(np.r_[both, rng.integers(0, 2**64, n - len(both), dtype=np.uint64)]) for _ in range(2))
+        a = np.r_[a, rng.integers(0, 2**64, rng.integers(0, 3), dtype=np.uint64)]
+        x, y = set(a.tolist()), set(b.tolist())
+        alike = len(x & y) / max(1, len(x | y))
+        for limit in (0.5, 0.8, alike):
+            told = bool(simhash._may_be_alike(described(a), described(b), limit))
+            assert told or alike < limit
+            refused[share, limit] = not told
+    if n in (30, 300):  # of small sets it says more than their sizes do
+        assert refused[0.5, 0.8] and refused[0.7, 0.8]
+
+
+def test_members_that_sets_rule_out_do_not_meet(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(140, 200)], rng.integers(0, 2**64, rng.integers(0, 20), dtype=np.uint64)]) for _ in range(90)]
+    signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64).tolist()
+    rows = [(i % 2, i, i // 10, 0, *signed([len(h), *simhash._set_map(h)])) for i, h in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key bigint, id bigint, label bigint, word bigint, " + ", ".join(f"{c} bigint" for c in simhash.SET_COLUMNS))
+    as_sets = [set(h.tolist()) for h in sets]
+    pairs = {(a, b) for a in range(90) for b in range(a + 1, 90) if a % 2 == b % 2 and a // 10 != b // 10}
+    alike = {(a, b) for a, b in pairs if likeness(as_sets[a], as_sets[b]) >= 0.8}
+    got = {(r["a"], r["b"]) for r in simhash.unlinked(df, 0, 0.8).collect()}
+    assert alike and alike <= got < pairs
+    met = {r["id"] for r in simhash.bucket_members(df.drop("label"), 0, 0.8).collect()}
+    assert met >= {i for pair in alike for i in pair}
+
+
 def test_no_member_of_a_crowded_bucket_is_lost(spark, monkeypatch):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

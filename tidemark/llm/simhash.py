@@ -38,6 +38,8 @@ PAIRS = 1 << 22
 #: Hashes whose bits are summed at once; bounds the memory of a long text.
 BLOCK = 1 << 15
 _ODD = 0x9E3779B97F4A7C15
+#: Words of the map of a set of shingles; sets of more than a few thousand shingles fill it, and it then rules out nothing.
+MAP_WORDS = 16
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -115,7 +117,36 @@ def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _set_map(h: np.ndarray) -> np.ndarray:
+    """``MAP_WORDS`` words with a bit for each place that the upper bits of a set's hashes name."""
+    marked = np.zeros(64 * MAP_WORDS, dtype=bool)
+    marked[(h >> np.uint64(32)) * np.uint64(64 * MAP_WORDS) >> np.uint64(32)] = True
+    return np.packbits(marked, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets (size, map) can have the Jaccard likeness; never false of sets that have it.
+
+    Each bit of a map that the other lacks is an element at least that the other
+    set lacks, which bounds what both share.
+    """
+    (n, m), (x, y) = ((side[..., 0].astype(np.int64) for side in (x, y)), (x[..., 1:], y[..., 1:]))
+    shared = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+    return shared / np.maximum(n + m - shared, 1) >= similarity
+
+
+def _near(x: np.ndarray, y: np.ndarray, bits: int, similarity: float | None = None) -> np.ndarray:
+    """Whether rows of words differ in at most ``bits`` bits and, with ``similarity``, whose last words are size and map of a set, can be alike."""
+    if similarity is None:
+        return _differing(x, y) <= bits
+    width = x.shape[-1] - 1 - MAP_WORDS
+    near = _differing(x[..., :width], y[..., :width]) <= bits
+    at, shape = np.nonzero(near), (*near.shape, 1 + MAP_WORDS)
+    near[at] = _may_be_alike(np.broadcast_to(x[..., width:], shape)[at], np.broadcast_to(y[..., width:], shape)[at], similarity)
+    return near
+
+
+def _spanning(ids: np.ndarray, words: np.ndarray, bits: int, similarity: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect all members of a bucket that links connect.
 
     Breadth first: each member is compared with those not reached yet, so
@@ -126,7 +157,7 @@ def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.nd
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _differing(words[left], words[x]) <= bits
+            near = _near(words[left], words[x], bits, similarity)
             hit = left[near]
             if len(hit):
                 out.append((np.full(len(hit), ids[x]), ids[hit]))
@@ -135,23 +166,23 @@ def _spanning(ids: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.nd
     return out
 
 
-def _across(ids: np.ndarray, words: np.ndarray, labels: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket that differ in label and in at most ``bits`` bits."""
+def _across(ids: np.ndarray, words: np.ndarray, labels: np.ndarray, bits: int, similarity: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket that differ in label and are near."""
     order = np.argsort(labels, kind="stable")
     ids, words, labels = ids[order], words[order], labels[order]
     # rows are sorted by label: each is compared with those behind its own label's last
     behind = np.searchsorted(labels, labels, side="right")
     block = max(1, PAIRS // words.size)
     for at in range(0, len(ids), block):
-        near = _differing(words[at : at + block, None], words[None, :]) <= bits
+        near = _near(words[at : at + block, None], words[None, :], bits, similarity)
         near &= np.arange(len(ids)) >= behind[at : at + block, None]
         x, y = np.nonzero(near)
         if len(x):
             yield ids[at + x], ids[y]
 
 
-def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pairwise: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among rows sorted by key: pairs with equal keys whose words differ in at most ``bits`` bits.
+def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pairwise: int = 0, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among rows sorted by key: pairs with equal keys that are near.
 
     In a bucket of more than ``pairwise`` members edges that span what is linked.
     """
@@ -160,7 +191,7 @@ def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pai
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[cut, len(keys)])
     for s, n in zip(cut[size > pairwise].tolist(), size[size > pairwise].tolist(), strict=True):
-        for x, y in _spanning(ids[s : s + n], words[s : s + n], bits):
+        for x, y in _spanning(ids[s : s + n], words[s : s + n], bits, similarity):
             a.append(x)
             b.append(y)
     small = np.repeat(size <= pairwise, size)
@@ -168,7 +199,7 @@ def _linked(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, bits: int, pai
     at, lag = np.arange(len(keys) - 1), 1
     while len(at):
         at = at[keys[at] == keys[at + lag]]
-        near = at[_differing(words[at], words[at + lag]) <= bits]
+        near = at[_near(words[at], words[at + lag], bits, similarity)]
         a.append(ids[near])
         b.append(ids[near + lag])
         lag += 1
@@ -225,19 +256,19 @@ def colliding(variants: DataFrame, bits: int) -> DataFrame:
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def bucket_members(variants: DataFrame, bits: int) -> DataFrame:
-    """key, id, least, near: rows (key, id, words ...) whose words differ in at most ``bits`` bits from another's of their bucket.
+def bucket_members(variants: DataFrame, bits: int, similarity: float | None = None) -> DataFrame:
+    """key, id, least, near: rows (key, id, words ...) that are near another of their bucket (``_near``).
 
     Rows that meet by chance are left out here, before anything is written.
     ``least`` is the least id of the rows left of a bucket, ``near`` whether
-    that is within those bits. Buckets of the same rows, which neighbouring
+    the row is near that. Buckets of the same rows, which neighbouring
     variants make, are one: their key is a hash of their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, *columns in _buckets(batches):
             words, met = _wordy(columns), np.zeros(len(keys), dtype=bool)
-            for side in _linked(keys, np.arange(len(keys)), words, bits):
+            for side in _linked(keys, np.arange(len(keys)), words, bits, similarity=similarity):
                 met[side] = True
             if not met.any():
                 continue
@@ -247,7 +278,7 @@ def bucket_members(variants: DataFrame, bits: int) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             size = np.diff(np.r_[cut, len(keys)])
             first = np.repeat(cut, size)
-            near = _differing(words, words[first]) <= bits
+            near = _near(words, words[first], bits, similarity)
             view = memoryview(ids).cast("B")
             named = np.array([xxhash.xxh64_intdigest(view[8 * c : 8 * (c + n)]) for c, n in zip(cut.tolist(), size.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(named, size), ids, ids[first], near)], names=["key", "id", "least", "near"])
@@ -255,8 +286,8 @@ def bucket_members(variants: DataFrame, bits: int) -> DataFrame:
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, id bigint, least bigint, near boolean").distinct()
 
 
-def unlinked(members: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, label, words ...) that share a key, differ in label and in at most ``bits`` bits."""
+def unlinked(members: DataFrame, bits: int, similarity: float | None = None) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, label, words ...) that share a key, differ in label and are near (``_near``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, labels, *columns in _buckets(batches):
@@ -266,7 +297,7 @@ def unlinked(members: DataFrame, bits: int) -> DataFrame:
             end = np.r_[cut[1:], len(keys)]
             found, held = [], 0
             for s, e in zip(cut[mixed].tolist(), end[mixed].tolist(), strict=True):
-                for pair in _across(ids[s:e], words[s:e], labels[s:e], bits):
+                for pair in _across(ids[s:e], words[s:e], labels[s:e], bits, similarity):
                     found.append(pair)
                     held += len(pair[0])
                     if held > PAIRS // 4:
@@ -356,21 +387,24 @@ def band_variants(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
     return v.select(F.expr(f"shiftleft(cast(t as bigint), {bits})").bitwiseOR(band.bitwiseXOR(flip)).alias("key"), F.col("node").alias("id"), "word")
 
 
+#: Size and map of a set of shingles.
+SET_COLUMNS = ["size", *(f"m{j}" for j in range(MAP_WORDS))]
+
+
 def with_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, th, node (hash of the set of shingles), size (of the set), fp0, fp1, ... of every row."""
-    schema = "doc_id bigint, th bigint, node bigint, size bigint, " + ", ".join(f"fp{j} bigint" for j in range(width))
+    """doc_id, th, node (hash of the set of shingles), fp0, fp1, ..., size and map (m0, m1, ...) of the set, of every row."""
+    names = ["node", *(f"fp{j}" for j in range(width)), *SET_COLUMNS]
+    schema = "doc_id bigint, th bigint, " + ", ".join(f"{c} bigint" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((batch.num_rows, 2 + width), dtype=np.uint64)
+            rows = np.zeros((batch.num_rows, len(names)), dtype=np.uint64)
             for i, t in enumerate(batch.column(2)):
                 h = np.unique(shingle_hashes(t.as_py(), words))
-                rows[i] = [xxhash.xxh64_intdigest(h.tobytes()), len(h), *_wide(h, width)]
+                rows[i] = [xxhash.xxh64_intdigest(h.tobytes()), *_wide(h, width), len(h), *_set_map(h)]
             rows = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(2 + width))],
-                names=["doc_id", "th", "node", "size", *(f"fp{j}" for j in range(width))],
-            )
+            columns = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", *names])
 
     rows = text_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
@@ -390,18 +424,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard likeness of ``similarity`` or more, as a staged table.
-
-    Pairs that the sets' sizes rule out are left out first.
-    """
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"))
-    sized = F.least("na", "nb") / F.greatest("na", "nb") >= similarity
-    may = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).select("a", "b", "na", "nb"), "pairs")
+    """The pairs (a, b) whose sets of shingles have a Jaccard likeness of ``similarity`` or more, as a staged table."""
+    may = staged(pairs, "pairs")
     wanted = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
     sets = staged(shingle_sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "th"), words), "sets")
     own = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
-    counted = may.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("n"))
-    found = staged(counted.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b"), "links")
+    counted = may.join(own("a"), "a").join(own("b"), "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    found = staged(counted.where(F.col("n") / (F.col("both") - F.col("n")) >= similarity).select("a", "b"), "links")
     discard(may, sets)
     return found
 
@@ -418,7 +447,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Two texts link if their sets of ``words``-word shingles have the given
     Jaccard likeness or more, which is counted on the sets. Candidates share a
     variant of a band of a SimHash of the set, and differ in no more bits than
-    three deviations above the mean at that likeness: at 0.8 a pair becomes one
+    three deviations above the mean at that likeness, unless size and map of
+    their sets prove them less alike: at 0.8 a pair becomes one
     with probability 0.96, at 0.85 with 0.99. A bucket's members meet its least
     one first; then members of a bucket that are not connected by that meet
     each other. So no link between candidates is lost and a large group does
@@ -430,22 +460,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     width, bands = bands_for(docs.count())
     names = [f"fp{j}" for j in range(words_for(bands))]
     prints = staged(with_sets(docs, words, len(names)), "docs")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ["size", *names])), "nodes")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in [*names, *SET_COLUMNS])), "nodes")
     bits = 64 * len(names)
     mean = bits_at(similarity, len(names))
     # one word of 64 bits stands for all at first
     loose = above(mean, 64, bits)
     limit = above(mean, bits, bits)
     check = lambda pairs: alike(pairs, nodes, docs, words, similarity)
-    prints_of = nodes.select(F.col("node").alias("id"), *names)
+    told = [*names, *SET_COLUMNS]
+    prints_of = nodes.select(F.col("node").alias("id"), *told)
     # a node's buckets are a list, of at most as many as it has variants, so that it meets its words and label once
     listed = lambda df: df.groupBy("id").agg(F.collect_list("key").alias("keys"))
     met = staged(listed(bucket_members(band_variants(nodes, width, bands), loose)), "buckets")
-    members = staged(bucket_members(met.join(prints_of, "id").select(F.explode("keys").alias("key"), "id", *names), limit), "members")
+    members = staged(bucket_members(met.join(prints_of, "id").select(F.explode("keys").alias("key"), "id", *told), limit, similarity), "members")
     links = check(members.where("near AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     label = components(links).withColumnRenamed("node", "id")
     rest = listed(members.where("id <> least")).join(label, "id", "left").join(prints_of, "id")
-    pairs = unlinked(rest.select(F.explode("keys").alias("key"), "id", F.coalesce("label", "id").alias("label"), *names), limit)
+    pairs = unlinked(rest.select(F.explode("keys").alias("key"), "id", F.coalesce("label", "id").alias("label"), *told), limit, similarity)
     groups = _spread(nodes.select("node", "least", "n"), components(links.unionByName(check(pairs))), "node", "label")
     discard(met, members, nodes)
     rows = joined_by_size(prints.groupBy("doc_id", "th", "node").agg(F.count("*").alias("rows")), groups, "node", "n")
