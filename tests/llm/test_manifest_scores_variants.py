@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,19 @@ def test_odd_tables_have_a_score_a_row(spark, rows):
     assert lm_scoring.score(frame(spark, rows)).where("score IS NULL OR score > 0 OR isnan(score)").isEmpty()
 
 
+def test_words_by_arrow_are_those_of_bytes():
+    texts = ["", None, " \t\n", "A b", "  \x0b\x0cÀ\u00a0É\u2003x \r", "\x1cq\x85 Ǆ", "İ\x00 z" * 3, "ends\n", "K K"]
+    sizes, words = lm_scoring.tokens(pa.array(texts, pa.string()))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+    sizes, words = lm_scoring.tokens(pa.array(texts, pa.string()).slice(3, 4))
+    assert sizes.tolist() == [len(w) for w in want[3:7]] and words.to_pylist() == [x for w in want[3:7] for x in w]
+
+
+def test_a_step_moves_each_matrix_once_however_many_classes(monkeypatch):
+    counts, rng, moved = np.arange(900, 0, -1), np.random.default_rng(2), []
+    model, move = lm_scoring.LogBilinear(counts), lm_scoring.LogBilinear._move
+    assert len(model.classes) > 10
+    monkeypatch.setattr(lm_scoring.LogBilinear, "_move", lambda self, name, *a: moved.append(name) or move(self, name, *a))
+    model.step(rng.integers(0, 900, 5000).astype(np.int16), rng.integers(0, 900, (5000, lm_scoring.CONTEXT)).astype(np.int16), rng)
+    assert sorted(moved) == sorted(model.MATRICES)

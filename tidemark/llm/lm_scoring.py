@@ -23,13 +23,12 @@ counts in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,32 +59,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z lower-cased; these methods of bytes know ASCII letters and white space only."""
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all (binary), A-Z lower-cased; Arrow's ASCII functions know no other letters and white space."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    to = split.offsets.to_numpy()
+    return np.diff(before[to - to[0]]), words.filter(real)
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """word (binary) and n: how often each token occurs in the texts, their ends too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held = _words(pa.array([], pa.binary()), pa.array([], pa.int64()))
         for batch in batches:
-            held[END] += batch.num_rows
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                if text:
-                    held.update(tokens(text))
-                if len(held) >= HELD:
-                    yield _words(held)
-                    held.clear()
-        if held:
-            yield _words(held)
+            found = tokens(batch.column(0))[1].value_counts()
+            ends = _words(pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64()))
+            both = pa.concat_tables([held, _words(*found.flatten()), ends])
+            held = both.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            if held.num_rows >= HELD:
+                yield from held.to_batches()
+                held = held.slice(0, 0)
+        yield from held.to_batches()
 
     return text_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _words(n: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+def _words(word: pa.Array, n: pa.Array) -> pa.Table:
+    return pa.table({"word": word, "n": n})
 
 
 def bucket(word: bytes) -> int:
@@ -154,37 +157,34 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {w: i for i, w in enumerate(known.words)}.get
+        words = pa.array(known.words, pa.binary())
         log = np.log10(known.counts + 1.0)
         of_bucket = np.array([bucket(w) for w in known.words], dtype=np.int64)
         inside = np.where(known.own, 0.0, log - known.bucket_log[of_bucket]) if len(log) else log
-        ended = np.log10(known.end_count + 1.0)
+        # after the known words' values stands the end's
+        ids, log, inside = np.append(known.ids, np.int16(known.end_id)), np.append(log, np.log10(known.end_count + 1.0)), np.append(inside, 0.0)
         for batch in batches:
-            ids, n_known, seen, within, rest_words, rest_n, rest_to = [], [], [], [], [], [], [0]
-            for text in batch.column(4).cast(pa.binary()).to_pylist():
-                words = tokens(text) if text else []
-                at = np.array(list(map(get, words, repeat(-1))), dtype=np.int64)
-                there = at >= 0
-                out = np.full(len(at) + 1, known.end_id, np.int16)
-                found = at if (whole := there.all()) else at[there]
-                if whole:
-                    out[:-1] = known.ids[found]
-                else:
-                    out[:-1][there] = known.ids[found]
-                    strange = [words[i] for i in np.flatnonzero(~there).tolist()]
-                    other = Counter(strange)
-                    of = {w: bucket(w) for w in other}
-                    out[:-1][~there] = known.bucket_ids[[of[w] for w in strange]]
-                    rest_words += other.keys()
-                    rest_n += other.values()
-                ids.append(out.tobytes())
-                n_known.append(len(found) + (known.end_count > 0))
-                seen.append(float(log[found].sum() + ended))
-                within.append(float(inside[found].sum() - (0 if whole else known.bucket_log[[of[w] for w in strange]].sum())))
-                rest_to.append(len(rest_words))
-            pairs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int32())], names=["word", "n"])
+            sizes, found = tokens(batch.column(4))
+            ends = np.cumsum(sizes + 1) - 1
+            at = np.full(len(found) + len(sizes), len(words), np.int32)
+            real = np.ones(len(at), bool)
+            real[ends] = False
+            at[real] = pc.fill_null(pc.index_in(found, value_set=words), -1).to_numpy(zero_copy_only=False)
+            strange = np.flatnonzero(at < 0)
+            coded = found.filter(pa.array(at[real] < 0)).dictionary_encode()
+            code, other = coded.indices.to_numpy(), coded.dictionary
+            buckets = np.array([bucket(w) for w in other.to_pylist()], dtype=np.int64)[code]
+            of, seen, within, there = ids[at], log[at], inside[at], (at >= 0).astype(np.int64)
+            of[strange], seen[strange], within[strange] = known.bucket_ids[buckets], 0.0, -known.bucket_log[buckets]
+            there[ends] = known.end_count > 0
+            starts = ends - sizes
+            pairs, n = np.unique(np.searchsorted(ends, strange) * len(other) + code, return_counts=True)
+            text = pairs // max(len(other), 1)
+            rest = pa.StructArray.from_arrays([other.take(pa.array(pairs - text * len(other))), pa.array(n, pa.int32())], names=["word", "n"])
+            rest_to = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+            sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (there, seen, within)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(ids, pa.binary()), pa.array(n_known, pa.int64()), pa.array(seen, pa.float64()), pa.array(within, pa.float64()), pa.ListArray.from_arrays(pa.array(rest_to, pa.int32()), pairs)],
+                [*(batch.column(i) for i in range(4)), pa.array([of[a : b + 1].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), *map(pa.array, sums), pa.ListArray.from_arrays(rest_to, rest)],
                 names=["row", "doc_id", "held_out", "share", "ids", "n_known", "seen", "within", "rest"],
             )
 
@@ -194,7 +194,12 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.minimum(-x, np.float32(60))))
+    """In the place of ``x``."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(60), out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
@@ -230,27 +235,42 @@ class LogBilinear:
         at[some] += step * (rate[:, None] if step.ndim == 2 else rate)
         self.used[name][some] += times
 
-    def _contrast(self, q: np.ndarray, rows: np.ndarray, noise: np.ndarray, some: slice, table: str, bias: str, log_noise: np.ndarray) -> np.ndarray:
-        """Tell the data's ``rows`` (sorted) from ``noise`` rows that the whole batch shares; what this asks of q.
+    def _contrast(self, q: np.ndarray, rows: np.ndarray, noise: np.ndarray, some: slice, table: str, bias: str, log_noise: np.ndarray, parts: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """Tell the data's ``rows`` (sorted) from ``noise`` rows that the whole batch shares, or each of its ``parts`` has of its own; what this asks of q.
 
-        Both are rows of the slice ``some`` of a table. ``log_noise``: the log of how often noise has each, of as many draws.
+        All are rows of the slice ``some`` of a table. ``log_noise``: the log of how often noise has each, of as many draws.
         """
+        parts, noise = parts or [(0, len(q))], np.atleast_2d(noise)
         values, offset = getattr(self, table)[some], getattr(self, bias)[some] - log_noise[some]
-        own, other = values[rows], values[noise]
-        up = _sigmoid(-(np.einsum("bd,bd->b", q, own) + offset[rows]))
-        down = _sigmoid(q @ other.T + offset[noise])
+        own, others, offsets = values[rows], values[noise], offset[noise]
+        up = np.einsum("bd,bd->b", q, own)
+        up += offset[rows]
+        up = _sigmoid(np.negative(up, out=up))
+        down = np.empty((len(q), noise.shape[1]), q.dtype)
+        for k, (a, b) in enumerate(parts):
+            np.matmul(q[a:b], others[k].T, out=down[a:b])
+            down[a:b] += offsets[k]
+        down = _sigmoid(down)
         own *= up[:, None]
-        own -= down @ other
         starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         firsts = rows[starts]
         dv, db, n = np.zeros_like(values), np.zeros_like(offset), np.zeros_like(offset)
         dv[firsts], db[firsts] = np.add.reduceat(up[:, None] * q, starts, axis=0), np.add.reduceat(up, starts)
         n[firsts] = np.diff(starts, append=len(rows))
-        np.subtract.at(dv, noise, down.T @ q)
-        np.subtract.at(db, noise, down.sum(axis=0))
+        asked, total = np.empty(others.shape, q.dtype), np.empty(offsets.shape, q.dtype)
+        for k, (a, b) in enumerate(parts):
+            mine = down[a:b]
+            own[a:b] -= mine @ others[k]
+            np.matmul(mine.T, q[a:b], out=asked[k])
+            mine.sum(axis=0, out=total[k])
+        np.subtract.at(dv, noise.ravel(), asked.reshape(-1, asked.shape[2]))
+        np.subtract.at(db, noise.ravel(), total.ravel())
         n[noise] += 1
-        self._move(table, some, dv, n)
-        self._move(bias, some, db, n)
+        # rows without a step stay as they are
+        moved = np.flatnonzero(n)
+        at = moved + (some.start or 0)
+        self._move(table, at, dv[moved], n[moved])
+        self._move(bias, at, db[moved], n[moved])
         return own
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
@@ -267,14 +287,16 @@ class LogBilinear:
         q = self.predicted(before)
         of = ids // self.size
         drawn = np.searchsorted(self.class_cumulated, rng.random(NOISE_CLASSES) * self.class_cumulated[-1], side="right")
-        dq = self._contrast(q, of, np.minimum(drawn, len(self.class_noise) - 1), slice(0, len(self.class_noise)), "classes", "class_bias", self.class_log_noise)
+        noise = np.minimum(drawn, len(self.class_noise) - 1)
+        dq = self._contrast(q, of, noise, slice(0, len(self.class_noise)), "classes", "class_bias", self.class_log_noise)
         ends = np.flatnonzero(np.concatenate((of[1:] != of[:-1], [True]))) + 1
         drawn = rng.random((len(ends), NOISE_IDS))
-        for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+        parts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        noise = np.empty(drawn.shape, np.int64)
+        for k, (a, _) in enumerate(parts):
             chances = self.cumulated[of[a]]
-            noise = np.minimum(np.searchsorted(chances, drawn[k] * chances[-1], side="right"), len(chances) - 1)
-            low = int(of[a]) * self.size
-            dq[a:b] += self._contrast(q[a:b], ids[a:b] - low, noise, slice(low, low + len(chances)), "ids", "bias", self.log_noise)
+            noise[k] = np.minimum(np.searchsorted(chances, drawn[k] * chances[-1], side="right"), len(chances) - 1) + of[a] * self.size
+        dq += self._contrast(q, ids, noise, slice(0, len(self.ids)), "ids", "bias", self.log_noise, parts)
         asked, times, places = np.zeros_like(self.before), np.zeros(len(self.before), np.float32), np.zeros_like(self.place)
         for c in range(CONTEXT):  # what an id is asked for at a place is the sum over where it stands there
             by = np.argsort(before[:, c], kind="stable")
@@ -296,11 +318,11 @@ class LogBilinear:
         sorted_ids = ids[order].astype(np.int64)
         q = self.predicted(before[order])
         of = sorted_ids // self.size
-        out = _log_share(q @ self.classes.T + self.class_bias, of).astype(np.float64)
+        out = _log_share(_scores(q, self.classes, self.class_bias), of).astype(np.float64)
         ends = np.flatnonzero(np.concatenate((of[1:] != of[:-1], [True]))) + 1
         for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
             low = of[a] * self.size
-            out[a:b] += _log_share(q[a:b] @ self.ids[low : low + self.size].T + self.bias[low : low + self.size], sorted_ids[a:b] - low)
+            out[a:b] += _log_share(_scores(q[a:b], self.ids[low : low + self.size], self.bias[low : low + self.size]), sorted_ids[a:b] - low)
         back = np.empty(len(ids), np.float64)
         back[order] = out / np.log(10)
         return back
@@ -328,6 +350,12 @@ class LogBilinear:
             self.used[k][:] = 0
 
 
+def _scores(q: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = q @ table.T
+    out += bias
+    return out
+
+
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The log of the chosen column's share of each row's exponentials; ``scores`` is used up."""
     own = scores[np.arange(len(chosen)), chosen]
@@ -335,7 +363,7 @@ def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         most = scores.max(axis=1)
         return own - most - np.log(np.exp(scores - most[:, None]).sum(axis=1))
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=1))
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def _with_before(texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
