@@ -862,3 +862,26 @@ def test_an_address_in_many_documents_returns_to_each(spark):
     out = {r["doc_id"]: r["text"] for r in pii.replace_entities(frame(spark, rows), "k").collect()}
     assert len({out[i].split()[2] for i in range(300)}) == 1 and len({out[1000 + i].split()[2] for i in range(20)}) == 20
     assert all("@" in out[i] and "common.name" not in out[i] and "rare" not in out[i].split()[2][:4] for i in out)
+
+
+def test_more_links_of_lines_give_the_components_of_all(spark):
+    rng = random.Random(5)
+    rounds = [[(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (60, 40, 1, 30)]
+    frames = [spark.createDataFrame([(a, b) for a, b in r if a != b], "a bigint, b bigint") for r in rounds]
+    known, all_ = common.staged(common.components(frames[0])), frames[0]
+    for more in [*frames[1:], frames[0].limit(0)]:
+        known, all_ = common.staged(line_dedup.relabelled(known, more)), all_.unionByName(more)
+        want = sorted(tuple(r) for r in common.components(all_).select("node", "label").collect())
+        assert sorted(tuple(r) for r in known.select("node", "label").collect()) == want
+
+
+def test_pairs_of_lines_are_verified_in_tasks_by_their_number(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, f"the same line but for its number {i // 2}") for i in range(400)], "lid bigint, line string")
+    pairs = common.staged(spark.createDataFrame([(i, i + 1) for i in range(0, 399)], "a bigint, b bigint"))
+    monkeypatch.setattr(line_dedup, "PAIRS_A_TASK", 20)
+    got = line_dedup.verified(pairs, lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[b#\d+L?\], {399 // 20}\b", plan)
+    assert plan.count("regexp_extract_all") == 2  # the sets of a pair are built once
+    sets = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, s in ((r["lid"], r["line"]) for r in lines.collect())}
+    assert {tuple(r) for r in got.collect()} == {(i, i + 1) for i in range(399) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}

@@ -36,6 +36,8 @@ MINIMA = BANDS * ROWS
 STARS = 4
 #: Lines whose numbers are broadcast at most, to pick their texts.
 FEW = 1_000_000
+#: Pairs that a task verifies, and such tasks at most.
+PAIRS_A_TASK, TASKS = 500, 2000
 
 
 def differing_at(jaccard: float, deviations: float = 3.0) -> int:
@@ -70,7 +72,7 @@ def _shingle(line16: Column, at: Column) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """The distinct shingles of a line; all at once by a pattern, which takes a fifth of the time of a function by position."""
-    all_ = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    all_ = F.regexp_extract_all(line, F.lit(f"(?s)(?=({'.' * SHINGLE}))"), F.lit(1))
     return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(all_))
 
 
@@ -125,13 +127,25 @@ def _near(a: str, b: str) -> Column:
 def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
     """The pairs (a, b), a staged table, whose shingle sets have a Jaccard likeness of SIMILARITY or more. ``of``: lid, line."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    wanted = F.broadcast(wanted) if 2 * pairs.count() <= FEW else wanted
+    n = pairs.count()
+    wanted = F.broadcast(wanted) if 2 * n <= FEW else wanted
     texts = of.join(wanted, "lid", "left_semi").select("lid", "line")
     side = lambda k: texts.select(F.col("lid").alias(k), F.col("line").alias(f"w{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sets = both.select("a", "b", shingle_set(F.col("wa")).alias("sa"), shingle_set(F.col("wb")).alias("sb"))
-    counted = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return counted.where(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    # dealt by their number: a few MB of pairs are seconds of work
+    both = pairs.join(side("a"), "a").repartition(min(max(1, n // PAIRS_A_TASK), TASKS), "b").join(side("b"), "b")
+    # variables of lambdas hold the sets and their common part: columns would be worked out anew wherever the condition names them
+    like = lambda p, n: n >= SIMILARITY * (F.size(p["sa"]) + F.size(p["sb"]) - n)
+    sets = F.array(F.struct(shingle_set(F.col("wa")).alias("sa"), shingle_set(F.col("wb")).alias("sb")))
+    return both.where(F.exists(sets, lambda p: F.exists(F.array(F.size(F.array_intersect(p["sa"], p["sb"]))), lambda n: like(p, n)))).select("a", "b")
+
+
+def relabelled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after more links (a, b); ``known``, a staged table, has those before. Only labels that the links connect are walked again."""
+    at = lambda k: known.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = components(ends)
+    moved = known.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(new.join(known.select("node"), "node", "left_anti"))
 
 
 def line_components(of: DataFrame) -> DataFrame:
@@ -141,16 +155,16 @@ def line_components(of: DataFrame) -> DataFrame:
     members = staged(band_members(signed).select("key", "lid", F.col("lid").alias("label")), "bands")
     release(of.sparkSession)
     bits = lambda k: signed.select(F.col("lid").alias(k), F.struct("low", "high").alias(f"s{k}"))
-    links = None
+    known = None
     for _ in range(STARS):
         own = members.groupBy("key").agg(F.min(F.struct("lid", "label")).alias("centre")).select("key", F.col("centre.lid").alias("a"), F.col("centre.label").alias("own"))
         met = members.join(own, "key")
         pairs = met.where("label <> own").select("a", F.col("lid").alias("b")).distinct()
         near = staged(pairs.join(bits("a"), "a").join(bits("b"), "b").where(_near("sa", "sb")).select("a", "b"), "stars")
         found = staged(verified(near, of), "links")
-        discard(near)
-        links = found if links is None else links.unionByName(found)
-        label = components(links).withColumnsRenamed({"node": "lid", "label": "to"})
+        earlier, known = known, staged(components(found) if known is None else relabelled(known, found), "labels")
+        discard(near, found, *([earlier] if earlier else []))
+        label = known.withColumnsRenamed({"node": "lid", "label": "to"})
         # a centre has met all of its band; bands whose lines are all connected are done
         rest = met.where("lid <> a").select("key", "lid").join(label, "lid", "left").select("key", "lid", F.coalesce("to", "lid").alias("label"))
         rest = staged(rest, "rest")
@@ -160,7 +174,7 @@ def line_components(of: DataFrame) -> DataFrame:
     a, b = (members.join(bits("lid").withColumnRenamed("slid", "s"), "lid").alias(x) for x in "ab")
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.lid") < F.col("b.lid")) & (F.col("a.label") != F.col("b.label")) & _near("a.s", "b.s")
     pairs = staged(a.join(b, met).select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct(), "pairs")
-    return components(links.unionByName(verified(pairs, of)))
+    return relabelled(known, verified(pairs, of))
 
 
 def line_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
