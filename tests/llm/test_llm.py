@@ -885,3 +885,31 @@ def test_pairs_of_lines_are_verified_in_tasks_by_their_number(spark, monkeypatch
     assert plan.count("regexp_extract_all") == 2  # the sets of a pair are built once
     sets = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, s in ((r["lid"], r["line"]) for r in lines.collect())}
     assert {tuple(r) for r in got.collect()} == {(i, i + 1) for i in range(399) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+
+
+def test_unlike_lines_of_a_band_are_no_pairs_and_no_link_is_lost(spark):
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    long, words = line(420), [line(9) for _ in range(40)]
+
+    def changed(k):
+        at = sorted(rng.sample(range(0, 410, 10), k))
+        out = long
+        for i in at:
+            out = out[:i] + rng.choice(words) + out[i + 9 :]
+        return out
+
+    texts = list({changed(rng.choice([2, 8, 10, 12, 14])) for _ in range(150)}) + ["\U0001f600" * 3 + long, "-" * 300, "-" * 7, "abc"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "lid bigint, line string")
+    # all lines in two bands that they share, with the same bits: only sets and maps tell them apart
+    signed = lines.select("lid", F.array(*(F.lit(j) if j in (3, 5) else F.col("lid") * 8 + 100 + j for j in range(line_dedup.BANDS))).cast("array<bigint>").alias("keys"), F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
+    members = lines.select(F.explode(F.array(F.lit(3).cast("bigint"), F.lit(5).cast("bigint"))).alias("key"), "lid", F.col("lid").alias("label"))
+    got = [tuple(r) for r in line_dedup.pairs_within(common.staged(members), common.staged(signed), lines).collect()]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    n = len(texts)
+    links = {(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4}
+    assert len(got) == len(set(got)) and links <= set(got)  # each pair once, and no link is missing
+    assert 50 < len(links) and len(got) < n * (n - 1) // 4  # of all pairs most are told apart before they are made
+    # lines with a label in common are not paired
+    one = common.staged(members.withColumn("label", F.lit(0).cast("bigint")))
+    assert line_dedup.pairs_within(one, common.staged(signed), lines).count() == 0

@@ -13,7 +13,9 @@
 - Likeness is verified exactly on the shingle sets. In STARS rounds a centre of
   each band meets the band's lines that are not connected with it, a line that
   was no centre yet each time; lines of a band that are not connected by then
-  meet each other, where those bits decide before a pair is made. So no link
+  meet each other in the first band they share. Before such a pair is made, those
+  bits, the sizes of its shingle sets and maps of them decide: a map of 2,048 bits
+  bounds what two sets have in common, so no pair at 0.8 is left out. So no link
   between candidates is lost, and a group of near copies does not become all its
   pairs.
 - Union-find by alternating stars; the first line of a component stays.
@@ -22,6 +24,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,10 @@ BANDS, ROWS = 8, 4
 MINIMA = BANDS * ROWS
 #: Rounds in which a band's lines meet one of it.
 STARS = 4
-#: Lines whose numbers are broadcast at most, to pick their texts.
+#: Lines, or bands, whose numbers are broadcast at most, to pick texts or members.
 FEW = 1_000_000
+#: Longs of 64 bits in the map of a shingle set.
+MAP = 32
 #: Pairs that a task verifies, and such tasks at most.
 PAIRS_A_TASK, TASKS = 500, 2000
 
@@ -92,26 +97,27 @@ def signatures(of: DataFrame) -> DataFrame:
     halves = (lambda x: F.shiftrightunsigned(x, 32), lambda x: F.col(x).bitwiseAND(0xFFFFFFFF))
     pairs = hashed.select("lid", *(F.least(half(f"x{j}_0"), half(f"x{j}_1")).alias(f"m{2 * j + k}") for j in range(MINIMA // 2) for k, half in enumerate(halves)))
     least = pairs.groupBy("lid").agg(*(F.min(f"m{j}").alias(f"m{j}") for j in range(MINIMA)))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    # an array from here on: with 32 columns the generated method is longer than the JVM compiles
+    minima = least.select("lid", F.array(*(f"m{j}" for j in range(MINIMA))).alias("m"))
+    keys = F.array(*(F.xxhash64(F.lit(b), *(F.col("m")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
 
     def bits(k: int) -> Column:
-        out = F.lit(0).cast("bigint")
-        for at in range(2 * MINIMA):  # a bit of all minima in the lower half, another in the upper
-            one = F.shiftright(F.col(f"m{at % MINIMA}"), k + at // MINIMA).bitwiseAND(F.lit(1).cast("bigint"))
-            out = out.bitwiseOR(F.shiftleft(one, at))
-        return out
+        """A bit of all minima in the lower half, another in the upper."""
+        bit = lambda x, at: x.bitwiseAND(F.lit(1 << at).cast("bigint"))
+        both = lambda x: F.shiftright(bit(x, k), k).bitwiseOR(F.shiftleft(bit(x, k + 1), MINIMA - 1 - k))
+        return F.aggregate("m", F.lit(0).cast("bigint"), lambda out, x: F.shiftleft(out, 1).bitwiseOR(both(x)))
 
-    return least.select("lid", keys.alias("keys"), bits(0).alias("low"), bits(2).alias("high"))
+    return minima.select("lid", keys.alias("keys"), bits(0).alias("low"), bits(2).alias("high"))
 
 
 def band_members(signed: DataFrame) -> DataFrame:
-    """key, lid, least: lines of every band that more than one line has.
+    """key, lid: lines of every band that more than one line has.
 
     Bands are counted before lines meet them, so that one task never holds a band.
     """
     rows = signed.select("lid", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most")).where("least <> most").select("key", "least")
-    return rows.join(shared, "key")
+    shared = staged(rows.groupBy("key").agg(F.min("lid").alias("least"), F.max("lid").alias("most")).where("least <> most").select("key"), "shared")
+    return rows.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").select("key", "lid")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -124,6 +130,49 @@ def _near(a: str, b: str) -> Column:
     return _differing(a, b) <= differing_at(SIMILARITY)
 
 
+def maps(lines: DataFrame) -> DataFrame:
+    """lid → n (different shingles), spare (n without the bits that are set) and map (a bit for each shingle by its hash) of every line."""
+    hashed = lines.select("lid", F.explode(shingle_set(F.col("line"))).alias("x")).select("lid", F.xxhash64("x").alias("h"))
+    word, bit = F.col("h").bitwiseAND(MAP - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("h", 58).cast("int"))
+    made = hashed.select("lid", word.alias("w"), bit.alias("bit")).groupBy("lid").agg(
+        F.count("*").alias("n"), *(F.bit_or(F.when(F.col("w") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(MAP))
+    )
+    ones = reduce(Column.__add__, (F.bit_count(f"m{k}") for k in range(MAP)))
+    return made.select("lid", "n", (F.col("n") - ones).alias("spare"), F.array(*(f"m{k}" for k in range(MAP))).alias("map"))
+
+
+def _may_be_like(a: str, b: str) -> Column:
+    """Whether the sets can be SIMILARITY alike: they have no more in common than their maps, and what either has beyond its bits.
+
+    In integers, as a sum rounded down would lose a pair at the very bound: I >= 0.8 (A + B - I) is 9 I >= 4 (A + B).
+    """
+    # over arrays: generated code with all longs of two rows is more than the JVM compiles
+    in_both = F.aggregate(F.zip_with(f"{a}.map", f"{b}.map", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    return 9 * (F.least(f"{a}.spare", f"{b}.spare") + in_both) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def pairs_within(members: DataFrame, signed: DataFrame, of: DataFrame) -> DataFrame:
+    """A staged table of the pairs (a, b) of lines of a band (key, lid, label) that are not connected and may be alike, each once.
+
+    A pair meets in the first band that its lines share. Where they are no
+    members of that one any more, one has met the other or both have a label.
+    """
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
+    bits = members.join(signed.select("lid", "low", "high"), "lid")
+    # most lines have none near them, and need no map
+    some = staged(bits.alias("a").join(bits.alias("b"), met & (F.col("a.lid") != F.col("b.lid")) & _near("a", "b"), "left_semi"), "near")
+    release(of.sparkSession)
+    mapped = staged(maps(of.join(some.select("lid").distinct(), "lid", "left_semi")), "maps")
+    release(of.sparkSession)
+    keys = signed.select("lid", *(F.col("keys")[j].alias(f"k{j}") for j in range(BANDS)))
+    a, b = (some.join(keys, "lid").join(mapped, "lid").alias(x) for x in "ab")
+    first = F.coalesce(*(F.when(F.col(f"a.k{j}") == F.col(f"b.k{j}"), F.col(f"a.k{j}")) for j in range(BANDS)))
+    pairs = a.join(b, met & (F.col("a.lid") < F.col("b.lid")) & (first == F.col("a.key")) & _near("a", "b") & _may_be_like("a", "b"))
+    pairs = staged(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")), "pairs")
+    discard(some, mapped)
+    return pairs
+
+
 def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
     """The pairs (a, b), a staged table, whose shingle sets have a Jaccard likeness of SIMILARITY or more. ``of``: lid, line."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
@@ -155,7 +204,7 @@ def line_components(of: DataFrame) -> DataFrame:
     members = staged(band_members(signed).select("key", "lid", F.col("lid").alias("label")), "bands")
     release(of.sparkSession)
     bits = lambda k: signed.select(F.col("lid").alias(k), F.struct("low", "high").alias(f"s{k}"))
-    known = None
+    known, all_lines = None, of
     for _ in range(STARS):
         own = members.groupBy("key").agg(F.min(F.struct("lid", "label")).alias("centre")).select("key", F.col("centre.lid").alias("a"), F.col("centre.label").alias("own"))
         met = members.join(own, "key")
@@ -171,10 +220,9 @@ def line_components(of: DataFrame) -> DataFrame:
         mixed = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         before, members = members, staged(rest.join(mixed, "key", "left_semi"), "bands")
         discard(before, rest)
-    a, b = (members.join(bits("lid").withColumnRenamed("slid", "s"), "lid").alias(x) for x in "ab")
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.lid") < F.col("b.lid")) & (F.col("a.label") != F.col("b.label")) & _near("a.s", "b.s")
-    pairs = staged(a.join(b, met).select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct(), "pairs")
-    return relabelled(known, verified(pairs, of))
+        if of is all_lines:  # what later rounds read
+            of = staged(of.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), "unconnected")
+    return relabelled(known, verified(pairs_within(members, signed, of), of))
 
 
 def line_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
