@@ -1,5 +1,6 @@
 """Scans, selection, differences, changes, state."""
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -80,6 +81,20 @@ def test_mismatch_kinds_and_message(spark):
     assert r["incorrect_tables"] == ["default.attachments", "default.posts", "default.users"]
 
 
+@pytest.mark.parametrize("orders", [80_000, 3])
+def test_a_message_of_all_keys_is_that_of_the_sql(spark, tmp_path, monkeypatch, orders):
+    from tidemark import catalog
+
+    monkeypatch.setattr(scan, "TEXTS_AT_ONCE", 100)
+    columns = "id AS o_orderkey, id % 97 AS o_custkey, 'O' AS o_orderstatus, id / 100.0D AS o_totalprice, '1-URGENT' AS o_orderpriority"
+    spark.range(orders).selectExpr(*columns.split(", ")).write.parquet(f"file://{tmp_path}/orders.parquet")
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [r["message"] for r in catalog.QUERIES["mismatch_message"](spark, f"file://{tmp_path}").collect()]
+    assert got == [r[0] for r in want.execute(catalog.ORACLES["mismatch_message"]).fetchall()]
+    assert (got[0] or "").count("type: ") > 2 * diff.NAMED if orders > 3 else got == [None]
+
+
 def test_a_column_that_one_side_lacks(spark):
     s = spark.createDataFrame([(1, "a", "b")], "k bigint, v string, w string")
     got = diff.by_column(s, s.drop("w"), "k", ["v", "w"]).first()

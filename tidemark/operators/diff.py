@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import column_md5, row_fingerprint, table_checksum
+from .scan import joined_texts
 
 #: The kinds of mismatch.
 MISSING_ON_SOURCE, MISSING_ON_TARGET = "row missing on source", "row missing on target"
@@ -83,13 +84,14 @@ def merged(by_hash: DataFrame, by_value: DataFrame, key: str) -> DataFrame:
     return h.join(v, key, "full_outer").select(key, F.coalesce("v", "h").alias("m")).select(key, "m.*")
 
 
-def message(mismatches: DataFrame, most: int = NAMED) -> DataFrame:
+def message(mismatches: DataFrame, most: int | None = NAMED) -> DataFrame:
     """One row: the text that names the mismatches, tables and keys in order.
 
     ``mismatches``: db, table_name, pk (text, with ``pk_order`` to sort by),
     mismatch_type, source_md5, target_md5, mismatch_column. Of a table's keys
     the first ``most`` are named, which Spark picks where the rows are; the
-    rest is counted. The whole list is the table ``mismatches`` itself.
+    rest is counted. None names all, in a text of about 94 bytes a row. The
+    whole list is the table ``mismatches`` itself.
     """
     def part(label: str, c: str) -> Column:
         return F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c))).otherwise(F.lit(""))
@@ -97,12 +99,15 @@ def message(mismatches: DataFrame, most: int = NAMED) -> DataFrame:
     by = ["db", "table_name"]
     one = F.concat(F.col("pk"), F.lit(" (type: "), F.col("mismatch_type"), part(", source: ", "source_md5"), part(", target: ", "target_md5"), part(", column: ", "mismatch_column"), F.lit(") "))
     lines = mismatches.select(*by, "pk_order", one.alias("text"))
-    counts = lines.groupBy(*by).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("pk_order", "text"))
-    first = lines.withColumn("place", place).where(F.col("place") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("rows"))
-    more = F.when(F.col("n") > most, F.concat(F.lit("and "), (F.col("n") - most).cast("string"), F.lit(" more "))).otherwise(F.lit(""))
-    tables = first.join(counts, by)
-    text = F.concat("db", F.lit("."), "table_name", F.lit(" [PKs: "), F.array_join(F.col("rows.text"), ""), more, F.lit("] "))
+    if most is None:
+        tables, named = joined_texts(lines, by, ["pk_order", "text"], "text"), F.col("text")
+    else:
+        counts = lines.groupBy(*by).agg(F.count("*").alias("n"))
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("pk_order", "text"))
+        first = lines.withColumn("place", place).where(F.col("place") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("rows"))
+        more = F.when(F.col("n") > most, F.concat(F.lit("and "), (F.col("n") - most).cast("string"), F.lit(" more "))).otherwise(F.lit(""))
+        tables, named = first.join(counts, by), F.concat(F.array_join(F.col("rows.text"), ""), more)
+    text = F.concat("db", F.lit("."), "table_name", F.lit(" [PKs: "), named, F.lit("] "))
     all_ = tables.agg(F.array_sort(F.collect_list(F.struct("db", "table_name", text.alias("text")))).alias("tables"))
     return all_.select(F.concat(F.lit(FAILED), F.array_join(F.col("tables.text"), "")).alias("message"), F.transform("tables", lambda x: F.concat_ws(".", x["db"], x["table_name"])).alias("incorrect_tables"))
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 
+#: Texts that are joined at a time.
+TEXTS_AT_ONCE = 10_000
+
 
 def keyset_page(df: DataFrame, key: str, last: object | None, rows: int, columns: Sequence[str] | None = None) -> DataFrame:
     """The next ``rows`` rows after key ``last`` (None: from the start), in key order.
@@ -63,6 +66,18 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, name: str) -> Da
     return summed.select(*df.columns, (F.col("__in") + F.col("__before")).alias(name))
 
 
+def joined_texts(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """by and ``text``: the texts of each group as one, in order and however many they are.
+
+    Rows are sorted in ranges and joined there, ``TEXTS_AT_ONCE`` at a time; a
+    task that ends a group gets a text for so many rows, and no row.
+    """
+    marked = _in_ranges(df, [*by, *order])
+    joined = lambda *places: F.array_join(F.array_sort(F.collect_list(F.struct(*places, text))).getField(text), "").alias(text)
+    some = marked.groupBy(*by, "__part", F.floor(F.col("__place") / TEXTS_AT_ONCE).alias("__some")).agg(joined("__place"))
+    return some.groupBy(*by).agg(joined("__part", "__some"))
+
+
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
