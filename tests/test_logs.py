@@ -2,12 +2,17 @@
 
 import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import positions
 from tidemark.operators import diff, hash_tree
+from tidemark.sources import change_log
 from tidemark.sources.change_log import log_stream
 from tidemark.streaming.apply import drain
 from tidemark.streaming.counts import counted_changes
@@ -99,6 +104,58 @@ def test_ignored_columns_do_not_differ(spark):
     assert hash_tree.differences(a, b, "k", ["v"]).isEmpty() and hash_tree.differences(a, b, "k").count() == 50
 
 
+# --- ends of batches ---
+
+
+def _files(path, events, files, rng):
+    """A log of (position, resumable_position) in files that overlap."""
+    dealt = [[] for _ in range(files)]
+    for e in events:
+        dealt[rng.randrange(files)].append(e)
+    for i, some in enumerate(d for d in dealt if d):
+        columns = [pa.array(c, pa.int64()) for c in zip(*some, strict=True)]
+        pq.write_table(pa.table(columns, names=["position", "resumable_position"]), path / f"{i}.parquet", row_group_size=rng.randrange(1, 9))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ends_of_batches_are_those_of_all_positions_sorted(tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(change_log, "EVENTS_A_TASK", 3)
+    rng = random.Random(seed)
+    positions, end, events = sorted(rng.choices(range(60), k=rng.randrange(1, 50))), -1, []
+    for p in dict.fromkeys(positions):
+        end = p if rng.random() < rng.choice([0.1, 0.5, 1]) else end
+        events += [(p, end)] * positions.count(p)
+    rng.shuffle(events)
+    _files(tmp_path, events, rng.choice([1, 3]), rng)
+    folder = change_log.LogFolder(f"file://{tmp_path}")
+    for last in range(-1, 60, 7):
+        for most in (1, 2, 5, 17, 60):
+            after = [e for e in events if e[0] > last]
+            ends = sorted({p for p, r in after if p == r})
+            fit = [p for p in ends if sum(q <= p for q, _ in after) <= most]
+            position, file = folder.next_end(last, most)
+            assert position == (fit[-1] if fit else ends[0] if ends else last)
+            assert not ends or position in pq.read_table(tmp_path / file)["position"].to_pylist()
+
+
+def test_a_batch_is_planned_in_memory_for_its_events_however_files_overlap(tmp_path, monkeypatch):
+    monkeypatch.setattr(change_log, "EVENTS_A_TASK", 10_000)
+    for i in range(20):
+        position = pa.array(np.arange(100_000) * 20 + i)
+        pq.write_table(pa.table([position, position], names=["position", "resumable_position"]), tmp_path / f"{'x' * 60}{i}.parquet")
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        assert change_log.LogFolder(f"file://{tmp_path}").next_end(999, 1000)[0] == 1999
+        held = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert held < 20e6  # all positions are 16 MB, with their files' names 150
+
+
 # --- keyed state ---
 
 EVENTS = "position bigint, key string"

@@ -13,7 +13,7 @@ from ..operators.verifiers import NoVerifier
 from ..scratch import scratch_path
 from ..session import table
 from ..sources import fixtures
-from ..sources.change_log import log_stream
+from ..sources.change_log import append, log_stream
 from ..sources.store import StoreGroup, TableStore
 from ..state import RunState
 from ..streaming.apply import applier, drain
@@ -39,7 +39,7 @@ def in_parts(log: DataFrame, path: str, parts: int = PARTS):
     share = -(-(last + 1) // parts)
     share += share % TRANSACTION == 0
     held = log.sparkSession.read.schema(log.schema).parquet(_held(log, path))
-    return [lambda a=a: held.where((F.col("position") >= a) & (F.col("position") < a + share)).write.mode("append").parquet(path) for a in range(0, last + 1, share)]
+    return [lambda a=a: append(held.where((F.col("position") >= a) & (F.col("position") < a + share)), path) for a in range(0, last + 1, share)]
 
 
 def _held(log: DataFrame, path: str) -> str:
@@ -104,7 +104,7 @@ def _moving(spark: SparkSession, path: str, name: str, log: DataFrame, base: Dat
     source, target = (TableStore(spark, f"{path}/{side}-{name}", base.schema, "k") for side in ("source", "target"))
     source.replace(apply_changes(base, log, "k"))
     target.replace(base)
-    log.write.parquet(f"{path}/log-{name}")
+    append(log, f"{path}/log-{name}")
     return source, Table(name, "k", source.read, target, log=f"{path}/log-{name}", log_schema=log.schema)
 
 

@@ -11,7 +11,7 @@ from ..operators.selection import JoinTable
 from ..scratch import scratch_path
 from ..session import table
 from ..sources import fixtures
-from ..sources.change_log import log_stream
+from ..sources.change_log import append, log_stream
 from ..sources.store import TableStore
 from ..streaming.apply import ReverifyStore, applier, drain
 from .register import BALANCES, query
@@ -47,8 +47,8 @@ def _part(log: DataFrame, parted: str, part: int) -> DataFrame:
 
 
 def _deliver(log: DataFrame, parted: str, path: str, part: int) -> None:
-    """One part of a log, in as many files as it was written in."""
-    _part(log, parted, part).write.mode("append").parquet(path)
+    """One part of a log, at its end."""
+    append(_part(log, parted, part), path)
 
 
 @query(_FINAL)

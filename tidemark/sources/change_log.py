@@ -14,9 +14,10 @@ positions it is given, which the stores that are written to hold, so it does not
 matter what a checkpoint remembers.
 
 What is read to plan a batch are footers, and the two position columns of the
-row groups from the last end to the next. Events are read in tasks, by row
-group, as Arrow batches. Files are opened by Arrow's file systems (local,
-HDFS, S3, GCS).
+row groups from the last end to the next. Where row groups overlap, more are
+read, but of no more positions than a batch has is anything kept. Events are
+read in tasks, by row group, as Arrow batches. Files are opened by Arrow's file
+systems (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -92,46 +94,70 @@ class LogFolder:
             out.append(Unit(name, g, low, high, group.num_rows))
         return out
 
+    def _positions(self, unit: Unit, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The positions of a row group after ``last``, and which are ends, so many at a time."""
+        file = self.open(unit.file)
+        names = [n for n in (POSITION, ENDED) if n in file.schema_arrow.names]
+        for part in file.iter_batches(EVENTS_A_TASK, row_groups=[unit.group], columns=names):
+            part = pa.Table.from_batches([part]).filter(pc.field(POSITION) > last)
+            position = part[POSITION].to_numpy()
+            yield position, pc.fill_null(pc.equal(part[ENDED], part[POSITION]), False).to_numpy() if ENDED in names else np.ones(len(position), bool)
+
     def next_end(self, last: int, events: int) -> tuple[int, str]:
-        """The last end of a transaction within ``events`` events after ``last``, else the first end after those, else ``last`` itself; and its file."""
+        """The last end of a transaction within ``events`` events after ``last``, else the first end after those, else ``last`` itself; and its file.
+
+        A position that several rows share is taken whole or not at all. In
+        memory are so many positions and ends, however the rows lie in the
+        files and however long a transaction is.
+        """
         units = [u for u in self.units() if u.high > last]
-        read: list[pa.Table] = []
-        rows, wanted = 0, events
+        least, ends, rows = _Least(events + 1), _Least(events), 0
         for i, unit in enumerate(units):
-            names = [n for n in (POSITION, ENDED) if n in (file := self.open(unit.file)).schema_arrow.names]
-            part = file.read_row_group(unit.group, columns=names)
-            part = part.append_column("end", pc.equal(part[ENDED], part[POSITION]) if ENDED in names else pa.array([True] * part.num_rows))
-            read.append(part.select([POSITION, "end"]).append_column("file", pa.array([unit.file] * part.num_rows)))
-            rows += part.num_rows
+            for position, end in self._positions(unit, last):
+                least.add(position)
+                ends.add(position[end])
+                rows += len(position)
             below = units[i + 1].low if i + 1 < len(units) else None  # of the positions before the next row group nothing is missing
-            if below is not None and rows < wanted:
+            if below is not None and (rows < events or (least.found() < below).sum() < events):
                 continue
-            ready = pa.concat_tables(read).filter(pc.field(POSITION) > last)
-            if below is not None:
-                ready = ready.filter(pc.field(POSITION) < below)
-                if ready.num_rows < events:
-                    continue
-            wanted = 2 * rows  # a transaction of more events is looked through again when as many more are there
-            ready = ready.sort_by(POSITION)
-            at = [n for n, end in enumerate(ready["end"].to_pylist()) if end]
-            if at:
-                fit = [n for n in at if n < events]
-                chosen = ready["position"][fit[-1] if fit else at[0]].as_py()
-                # a position that several rows share is taken whole or not at all
-                if fit and pc.sum(pc.less_equal(ready[POSITION], chosen)).as_py() > events:
-                    lower = [n for n in fit if ready[POSITION][n].as_py() < chosen]
-                    chosen = ready[POSITION][lower[-1]].as_py() if lower else chosen
-                return chosen, ready.filter(pc.field(POSITION) == chosen)["file"][0].as_py()
+            found = least.found()
+            fit = ends.found()[ends.found() < found.max()] if len(found) > events else ends.found()
+            first = ends.found().min(initial=np.iinfo(np.int64).max)
+            if len(fit) or len(ends.found()) and (below is None or first < below):
+                chosen = int(fit.max() if len(fit) else first)
+                return chosen, next(u.file for u in units if u.low <= chosen <= u.high and any((p[e] == chosen).any() for p, e in self._positions(u, last)))
         return last, ""
 
     def read(self, groups: list[tuple[str, int]], low: int, high: int, log: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for name, group in groups:
             file = self.open(name)
             here = [f.name for f in schema if f.name in file.schema_arrow.names]
-            table = file.read_row_group(group, columns=here)
-            table = table.filter((pc.field(POSITION) > low) & (pc.field(POSITION) <= high))
-            columns = [table[f.name].cast(f.type) if f.name in here else pa.array([log] * table.num_rows, f.type) if f.name == "log" else pa.nulls(table.num_rows, f.type) for f in schema]
-            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(10_000)
+            for part in file.iter_batches(10_000, row_groups=[group], columns=here):
+                table = pa.Table.from_batches([part]).filter((pc.field(POSITION) > low) & (pc.field(POSITION) <= high))
+                columns = [table[f.name].cast(f.type) if f.name in here else pa.array([log] * table.num_rows, f.type) if f.name == "log" else pa.nulls(table.num_rows, f.type) for f in schema]
+                yield from pa.Table.from_arrays(columns, schema=schema).to_batches()
+
+
+class _Least:
+    """The least of many numbers, ``most`` of them."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.parts = most, 0, [np.empty(0, np.int64)]
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.parts.append(numbers)
+        self.held += len(numbers)
+        if self.held > self.most + EVENTS_A_TASK:
+            self.found()
+
+    def found(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            least = np.concatenate(self.parts)
+            if len(least) > self.most:
+                least.partition(self.most - 1)
+                least = least[: self.most].copy()
+            self.parts, self.held = [least], len(least)
+        return self.parts[0]
 
 
 def spans(log: str, folder: str, units: list[Unit], low: int, high: int) -> list[Span]:
@@ -231,6 +257,11 @@ class ChangeLog(DataSource):
         return LogRead(schema, self.options)
 
 
+def append(events: DataFrame, folder: str) -> None:
+    """Append events to a log, in files of neighbouring positions, as one who writes a log does."""
+    events.repartitionByRange(POSITION).sortWithinPartitions(POSITION).write.mode("append").parquet(folder)
+
+
 def _options(reader, logs: dict[str, str], schema: T.StructType, after: dict[str, int] | None, events: int):
     return reader.format("change_log").schema(schema).option("logs", json.dumps(logs)).option("after", json.dumps(after or {})).option("events_per_batch", events)
 
