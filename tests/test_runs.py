@@ -295,6 +295,26 @@ def test_a_stopped_copy_goes_on_after_its_last_batch(spark, tmp_path):
     assert again == [10] and rows(target.read()) == sorted(source)
 
 
+def test_small_batches_that_nobody_looks_at_are_loaded_several_a_job(spark, tmp_path):
+    class Told(InlineVerifier):
+        def copied(self, table, span, enforce):
+            super().copied(table, span, enforce)
+            spans.append(span)
+            if len(spans) == 2:
+                self.run.stop()
+
+    source, spans, dumps = [(i, str(i)) for i in range(400)], [], []
+    m, target = migration(spark, tmp_path, source, batch_rows=10, verifier=Told(), on_error=lambda state, error: dumps.append(state))
+    with pytest.raises(Stopped):
+        m.run()
+    state = RunState.loads(dumps[0])
+    assert spans == [(None, "9"), ("9", "49")] and state.last_keys == {"t": "49"} and target.read().count() == 50
+    m, target = migration(spark, tmp_path, source, batch_rows=10, state=state)
+    m.run()
+    assert rows(target.read()) == sorted(source) and m.copied["t"]["rows"] == 350
+    assert m.state.last_keys == {"t": "399"} and target.manifest()["version"] <= 6  # 40 batches in as many jobs before
+
+
 def test_an_interrupt_dumps_the_state(spark, tmp_path):
     def interrupted(table):
         raise KeyboardInterrupt

@@ -19,7 +19,7 @@ from ..metrics import Metrics
 from ..scratch import written
 from ..sources.catalog import Handlers, check_columns, handled
 from ..sources.change_log import EVENTS_A_BATCH, log_stream
-from ..sources.store import TableStore
+from ..sources.store import ROWS_A_BUCKET, TableStore
 from ..state import RunState
 from ..streaming.apply import ReverifyStore, drain, fold
 from . import changes, progress, scan
@@ -42,6 +42,8 @@ class Stage(Enum):
 ALMOST = 10.0
 #: Rows between two places at which a batch may end.
 STEP = 1000
+#: Seconds that a job takes from which on it loads fewer batches, and how many times as many the next one loads until then.
+JOB_SECONDS, JOB_GROWTH = 30.0, 4
 
 
 class Stopped(RuntimeError):
@@ -164,6 +166,9 @@ class Migration:
     ``events_per_batch`` events at most unless one has more.
     ``batch_rows``: rows of a copied batch, or a function that is asked before
     each; None copies a table at once, which Spark does in parallel anyway.
+    Where nobody looks at batches one by one (``on_batch``, or such a function),
+    a job loads several neighbours, more and more while it is short; what then
+    holds for each batch holds for those together.
     """
 
     spark: SparkSession
@@ -240,14 +245,14 @@ class Migration:
         self.metrics.count("copied_bytes", size, {"table": table.name})
 
     def _batches(self, table: Table, rows: DataFrame, last: str | None) -> Iterable[tuple[DataFrame, str | None, str]]:
-        """Rows by key, in the order of keys and after ``last``, with the key before each batch and its last one as text."""
+        """Rows by key, in the order of keys and after ``last``, with the key before each batch, or those of a job, and its last one as text."""
         kind, key = table.target.schema[table.key].dataType, F.col(table.key)
         if last is not None:
             rows = rows.where(key > key_value(F.lit(last), kind))
         size = self.batch_rows if callable(self.batch_rows) else lambda: self.batch_rows
         step = max(1, min(STEP, size()))
         steps = written(scan.key_batches(rows, table.key, step).select("batch", key_text(F.col("last_key"), kind).alias("last_key")), "steps")
-        low, taken, end = last, 0, None
+        low, taken, end, together = last, 0, None, 1
         wanted = -(-size() // step)
 
         def between(low: str | None, high: str) -> DataFrame:
@@ -257,9 +262,15 @@ class Migration:
         for r in steps.orderBy("batch").toLocalIterator():  # one row at a time, and as few as there are steps
             taken, end = taken + 1, r["last_key"]
             if taken >= wanted:
+                began = time.monotonic()
                 yield between(low, end), low, end
-                low, taken = end, 0
-                wanted = -(-size() // step)
+                low, taken, rows_now = end, 0, size()
+                if self.on_batch or callable(self.batch_rows):
+                    together = 1
+                else:
+                    together = together * JOB_GROWTH if time.monotonic() - began < JOB_SECONDS else together // JOB_GROWTH
+                    together = max(1, min(together, ROWS_A_BUCKET // max(1, rows_now)))  # a job's rows are one file of the target
+                wanted = -(-rows_now // step) * together
         if taken:
             yield between(low, end), low, end
 

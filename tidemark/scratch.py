@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds between two collections that ``release`` asks for.
+RELEASE_SECONDS = 5.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left in the driver and of their shuffle files, which stay until its JVM has collected what refers to them."""
+    global _released
+    if time.monotonic() - _released >= RELEASE_SECONDS:
+        spark._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import key_text, key_value
+from ..scratch import release
 
 #: Rows of a file of the base, deltas or small files of one level that are merged, and the share of the base's rows that deltas may hold.
 ROWS_A_BUCKET, FAN, DELTA_SHARE = 1_000_000, 8, 0.25
@@ -131,6 +132,7 @@ class TableStore:
             self.group.changed(self.member, name)
         if manifest["version"] % KEPT_VERSIONS == 0:
             self.vacuum()
+        release(self.spark)  # a run makes change after change in one driver
 
     # --- reading ---
 
