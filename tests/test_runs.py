@@ -315,6 +315,15 @@ def test_small_batches_that_nobody_looks_at_are_loaded_several_a_job(spark, tmp_
     assert m.state.last_keys == {"t": "399"} and target.manifest()["version"] <= 6  # 40 batches in as many jobs before
 
 
+def test_small_batches_of_unsigned_keys_are_loaded_several_a_job(spark, tmp_path):
+    source = spark.range(400).selectExpr("cast(cast('18446744073709551615' as decimal(20,0)) - id as decimal(20,0)) AS k", "cast(id as string) AS v")
+    target = TableStore(spark, f"file://{tmp_path}/target", source.schema, "k", 2)
+    m = Migration(spark, [Table("t", "k", lambda: source, target)], None, f"file://{tmp_path}/cp", batch_rows=10, enforce=True)
+    m.copy()
+    assert rows(target.read()) == rows(source) and m.state.last_keys == {"t": "18446744073709551615"}
+    assert target.manifest()["version"] <= 5
+
+
 def test_an_interrupt_dumps_the_state(spark, tmp_path):
     def interrupted(table):
         raise KeyboardInterrupt
