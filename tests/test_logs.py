@@ -156,6 +156,22 @@ def test_a_batch_is_planned_in_memory_for_its_events_however_files_overlap(tmp_p
     assert held < 20e6  # all positions are 16 MB, with their files' names 150
 
 
+def test_delivered_logs_lie_in_the_order_of_positions(spark, tmp_path):
+    from tidemark.plans import runs
+
+    log = spark.range(3000).selectExpr("id AS position", "id % 7 AS key").repartition(4, "key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parted = runs._parted(log, f"file://{tmp_path}/parts")
+        for part in range(runs.PARTS):
+            runs._deliver(log, parted, f"file://{tmp_path}/log", part)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    units = change_log.LogFolder(f"file://{tmp_path}/log").units()
+    assert sum(u.rows for u in units) == 3000 and len(units) > runs.PARTS
+    assert all(a.high < b.low for a, b in zip(units, units[1:], strict=False))  # so a batch reads its own row groups only
+
+
 # --- keyed state ---
 
 EVENTS = "position bigint, key string"
